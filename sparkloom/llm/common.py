@@ -74,19 +74,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_map(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, rows: int = 256) -> DataFrame:
-    """Run ``fn`` over Python rows of ``df`` in slices of at most ``rows`` rows and yield its tuples as ``schema``.
+def bound_batches(spark: SparkSession, records: int = 2000, size: int = 16 << 20) -> None:
+    """Bound what one Arrow batch holds, in rows and in bytes, so that long texts can't fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
-    ``fn`` gets one list of row tuples at a time and returns a list of output tuples, so memory is
-    bounded by a slice however large an Arrow batch is.
-    """
-    from pyspark.sql.types import _parse_datatype_string
+
+def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
+def text_map(df: DataFrame, start: Callable[[], Callable[[list[tuple]], list[tuple]]], schema: str, rows: int = 256) -> DataFrame:
+    """Run Python code over slices of at most ``rows`` rows of ``df`` and return its tuples as ``schema``.
+
+    ``start`` runs once per task and returns a function from a list of row tuples to a list of output
+    tuples, so memory is bounded by a slice however large an Arrow batch is.
+    """
+    bound_batches(df.sparkSession)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = fn()
+        step = start()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import matroska
+import public_tokenizers
+
+from . import byte_bpe, matroska, token_index
 from .common import table
 
 
@@ -10,7 +12,17 @@ def op6_matroska(spark, sf_dir):
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
 
+def op9_token_index(spark, sf_dir):
+    return token_index.encode_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_byte_bpe(spark, sf_dir):
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
+
+
 QUERIES = {
     "op6_matroska": op6_matroska,
+    "op9_token_index": op9_token_index,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
