@@ -4,14 +4,26 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, matroska, token_index
+from . import byte_bpe, matroska, ppm_language, simhash, token_index, toxicity
 from .common import table
 
 
+def op4_ppm_language(spark, sf_dir):
+    return ppm_language.detect(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_matroska(spark, sf_dir):
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark, sf_dir):
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op9_token_index(spark, sf_dir):
     return token_index.encode_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -21,7 +33,10 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_ppm_language": op4_ppm_language,
+    "op5_toxicity": op5_toxicity,
     "op6_matroska": op6_matroska,
+    "op7_simhash": op7_simhash,
     "op9_token_index": op9_token_index,
     "op10_byte_bpe": op10_byte_bpe,
 }
