@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, matroska, ppm_language, simhash, token_index, toxicity
+from . import byte_bpe, cross_polytope, matroska, ppm_language, simhash, token_index, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op7_simhash(spark, sf_dir):
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_cross_polytope(spark, sf_dir):
+    return cross_polytope.groups(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_index(spark, sf_dir):
     return token_index.encode_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_matroska": op6_matroska,
     "op7_simhash": op7_simhash,
+    "op8_cross_polytope": op8_cross_polytope,
     "op9_token_index": op9_token_index,
     "op10_byte_bpe": op10_byte_bpe,
 }
