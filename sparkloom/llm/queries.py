@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, cross_polytope, matroska, ppm_language, simhash, token_index, toxicity
+from . import byte_bpe, cross_polytope, matroska, ppm_language, simhash, suffix_array, suffix_tree, token_index, toxicity
 from .common import table
 
 
+def op2_suffix_array(spark, sf_dir):
+    return suffix_array.remove(table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_tree(spark, sf_dir):
+    return suffix_tree.remove(table(spark, sf_dir, "documents"))
+
+
 def op4_ppm_language(spark, sf_dir):
     return ppm_language.detect(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_suffix_array": op2_suffix_array,
+    "op3_suffix_tree": op3_suffix_tree,
     "op4_ppm_language": op4_ppm_language,
     "op5_toxicity": op5_toxicity,
     "op6_matroska": op6_matroska,
