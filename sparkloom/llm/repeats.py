@@ -200,8 +200,10 @@ def spans(
     dealt = contexts.where(~F.col("hot")).select("key", "uid", "st", "off", "n", "context").repartition(n, "key").sortWithinPartitions("key")
     cold = dealt.mapInArrow(match, "uid long, a int, b int")
 
+    burst_ddl = "key long, off int, w long, v long, uid long, a int"
+    schema = arrow_schema(burst_ddl)
+
     def burst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("key long, off int, w long, v long, uid long, a int")
         for batch in batches:
             for key, uid, st, off, k, ctx in zip(*(c.to_pylist() for c in batch.columns)):
                 x = spread(np.frombuffer(ctx, dtype))
@@ -209,7 +211,7 @@ def spans(
                 v = windows(_mix(x), length).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, key)), pa.array((off - i).astype(np.int32)), pa.array(w), pa.array(v), pa.array(np.full(k, uid)), pa.array((st + i).astype(np.int32))], schema=schema)
 
-    single = contexts.where("hot").select("key", "uid", "st", "off", "n", "context").mapInArrow(burst, "key long, off int, w long, v long, uid long, a int")
+    single = contexts.where("hot").select("key", "uid", "st", "off", "n", "context").mapInArrow(burst, burst_ddl)
     if contexts.where("hot").isEmpty():
         hot = None
     else:
