@@ -111,3 +111,20 @@ def text_map(df: DataFrame, start: Callable[[], Callable[[list[tuple]], list[tup
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id's decimal text, modulo ``m``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
+
+
+def is_key(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether each row has an id of its own."""
+    odd = docs.groupBy(F.col(id_col).alias("k")).agg(F.count("*").alias("c")).where((F.col("c") > 1) | F.col("k").isNull())
+    return odd.isEmpty()
+
+
+def with_key(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", key: str = "__key") -> DataFrame:
+    """``docs`` with a long column ``key`` that tells rows apart and keeps the order of ids.
+
+    It is the id itself where that is a key. Else rows are sorted by id (null last) and content, numbered and written once.
+    """
+    if is_key(docs, id_col):
+        return docs.withColumn(key, F.col(id_col).cast("long"))
+    ordered = docs.orderBy(F.asc_nulls_last(id_col), F.xxhash64(*docs.columns))
+    return scratch.keep(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, cross_polytope, matroska, ppm_language, simhash, suffix_array, suffix_tree, token_index, toxicity
+from . import byte_bpe, cross_polytope, matroska, mixing, ppm_language, simhash, suffix_array, suffix_tree, token_index, toxicity
 from .common import table
 
 
+def op1_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array(spark, sf_dir):
     return suffix_array.remove(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_suffix_array": op2_suffix_array,
     "op3_suffix_tree": op3_suffix_tree,
     "op4_ppm_language": op4_ppm_language,

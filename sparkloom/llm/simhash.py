@@ -9,7 +9,7 @@ the stars are found by rounds of joins. Copies meet before any of this, as only
 are linked. Shards of over ``HOT`` fingerprints are dealt again by a finer choice of blocks, which is exact by itself.
 
 Defined results: null, empty and blank texts have fingerprint zero, which is linked like any other;
-a text of fewer words than a shingle is one shingle; repeated rows and ids each count; an empty table gives no row; extra columns are ignored.
+a text of fewer words than a shingle is one shingle; repeated rows and ids each count; a null doc_id is never a component's label unless no other is there; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, bound_batches, partitions
+from .common import Scratch, arrow_schema, bound_batches, partitions, with_key
 from .components import components
 
 RADIUS = 4
@@ -180,8 +180,7 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, id_col: str
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest doc_id, and of rows that share it the first by text hash."""
-    kept = groups(docs, shingle, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    firsts = docs.join(kept, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return firsts.withColumn("__row", F.row_number().over(order)).where(F.col("__row") == 1).select(*docs.columns)
+    """``docs`` with one document of each group, that of the smallest doc_id; of rows that share it, the first by content."""
+    keyed = with_key(docs, Scratch(docs.sparkSession))
+    kept = groups(keyed, shingle, radius, id_col="__key").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__key"))
+    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)

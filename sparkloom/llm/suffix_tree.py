@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, bound_batches
+from .common import Scratch, arrow_schema, bound_batches, with_key
 from .repeats import covered, numbered, spans
 
 LENGTH = 20
@@ -73,18 +73,19 @@ def equal_windows(texts: list[np.ndarray], keys: np.ndarray, off: np.ndarray, k:
     return out
 
 
-def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``, uid and kept (the kept words joined by spaces)."""
-    spark = docs.sparkSession
-    rows = numbered(docs, id_col, text_col)
-    return _removed(rows, Scratch(spark), length, ["doc_id"], "n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text, keep_text)
+def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256."""
+    rows = numbered(docs, id_col, text_col).select(F.col("uid").alias("__uid"), F.col("text").alias("__text"), "doc_id")
+    return _removed(rows, Scratch(docs.sparkSession), length, ["doc_id"], ("n_words", "n_removed", "kept_sha256"))
 
 
-def _removed(rows: DataFrame, scratch: Scratch, length: int, carried: list[str], made: str, keep_text: bool) -> DataFrame:
-    spark = rows.sparkSession
+def _removed(rows: DataFrame, scratch: Scratch, length: int, carried: list[str], names: tuple[str, str, str], kept_text: str | None = None) -> DataFrame:
+    """Columns ``carried`` of ``rows`` (__uid, __text and others) with the figures and, if named, the kept text."""
     anchor = max(1, length * ANCHOR // LENGTH)
-    found = spans(rows, scratch, length, anchor, _hashes, "u8", lambda t: t, lambda *a: equal_windows(*a, length=length, anchor=anchor))
+    own = rows.select(F.col("__uid").alias("uid"), F.col("__text").alias("text"))
+    found = spans(own, scratch, length, anchor, _hashes, "u8", lambda t: t, lambda *a: equal_windows(*a, length=length, anchor=anchor))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    made = f"`{names[0]}` long, `{names[1]}` long, `{names[2]}` string" + (f", `{kept_text}` string" if kept_text else "")
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), made])
     arrow = arrow_schema(schema)
 
@@ -101,25 +102,23 @@ def _removed(rows: DataFrame, scratch: Scratch, length: int, carried: list[str],
                     kept = w
                 joined = b" ".join(kept)
                 # A text that loses nothing stays as it is, white space included.
-                whole = (text if not got else joined.decode("utf-8", "surrogatepass"),) if keep_text else ()
+                whole = (text if not got else joined.decode("utf-8", "surrogatepass"),) if kept_text else ()
                 out.append((len(w), len(w) - len(kept), hashlib.sha256(joined).hexdigest(), *whole))
             if out:
-                own = [c.cast(f.type) for c, f in zip(batch.columns[2:], arrow)]
-                yield pa.RecordBatch.from_arrays(own + [pa.array(list(c), f.type) for c, f in zip(zip(*out), list(arrow)[len(own) :])], schema=arrow)
+                cols = [c.cast(f.type) for c, f in zip(batch.columns[2:], arrow)]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(list(c), f.type) for c, f in zip(zip(*out), list(arrow)[len(cols) :])], schema=arrow)
 
-    bound_batches(spark)
-    return rows.join(found, "uid", "left").select("text", "spans", *carried).mapInArrow(run, schema)
+    bound_batches(rows.sparkSession)
+    joined = rows.join(found.select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans")), "__uid", "left")
+    return joined.select("__text", "__spans", *(F.col(f"`{c}`") for c in carried)).mapInArrow(run, schema)
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``; a document of which nothing is left goes, n_chars follows."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    plain = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("doc_id").isNull()).isEmpty()
-    if not plain:
-        raise ValueError("doc_id has to be a key here; deduplicate first")
-    rows = docs.withColumn("uid", F.col("doc_id").cast("long"))
-    cut = _removed(rows, Scratch(docs.sparkSession), length, ["doc_id", *extra], "__words long, __removed long, __sha string, __kept string", True)
-    cut = cut.where((F.col("__words") > F.col("__removed")) | (F.col("__removed") == 0)).withColumn("text", F.col("__kept"))
-    if "n_chars" in extra:
+    scratch, carried = Scratch(docs.sparkSession), [c for c in docs.columns if c != "text"]
+    rows = with_key(docs, scratch, key="__uid").withColumnRenamed("text", "__text")
+    cut = _removed(rows, scratch, length, carried, ("__words", "__removed", "__sha"), "text")
+    cut = cut.where((F.col("__words") > F.col("__removed")) | (F.col("__removed") == 0))
+    if "n_chars" in carried:
         cut = cut.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
