@@ -317,3 +317,98 @@ def json_export(spark, sf_dir):
 @add("xjson_export", "SELECT '{\"n_nationkey\":{\"$numberLong\":\"' || n_nationkey || '\"},\"n_name\":\"' || n_name || '\",\"n_regionkey\":{\"$link\":{\"table\":\"region\",\"key\":{\"$numberLong\":\"' || n_regionkey || '\"}}}}' AS json FROM nation")
 def xjson_export(spark, sf_dir):
     return text_files.to_json(spark.read.parquet(f"{sf_dir}/nation.parquet"), "xjson_plus", {"n_regionkey": "region"})
+
+
+# -- other names, lists of links, views, dictionaries in orderings
+
+
+@add("alias_path", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 150000")
+def alias_path(spark, sf_dir):
+    cat = tables.star(spark, sf_dir, "orders", "customer")
+    cat.alias("orders", "segment", "customer.c_mktsegment")
+    cat.alias("orders", "price", "o_totalprice")
+    return Results(cat, "orders", "segment == 'BUILDING' && price > 150000").df().select(*ORD.split())
+
+
+def _baskets(spark, sf_dir):
+    """Orders with the list of their parts, repeats included."""
+    cat = tables.star(spark, sf_dir, "part", "lineitem")
+    baskets = cat.get("lineitem").frame.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("part_keys"))
+    cat.add("basket", baskets, "l_orderkey", [Property("parts", "links", "part_keys", "part")])
+    return cat
+
+
+@add("link_list_sum", "SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING sum(p_size) > 150")
+def link_list_sum(spark, sf_dir):
+    """A part that a list holds twice counts twice."""
+    return Results(_baskets(spark, sf_dir), "basket", "parts.@sum.p_size > 150").df().select("l_orderkey")
+
+
+@add("link_list_backlinks", "SELECT p_partkey FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 HAVING count(*) > 38")
+def link_list_backlinks(spark, sf_dir):
+    return Results(_baskets(spark, sf_dir), "part", "@links.basket.parts.@count > 38").df().select("p_partkey")
+
+
+@add("collection_as_source", "SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey = 3) AND p_size > 10")
+def collection_as_source(spark, sf_dir):
+    return Results(_baskets(spark, sf_dir), "part", "@links.basket.parts.l_orderkey == 3 && p_size > 10").df().select(*PART.split())
+
+
+@add("view_and_view", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice < 50000")
+def view_and_view(spark, sf_dir):
+    cat = tables.star(spark, sf_dir, "orders")
+    return (Results(cat, "orders", "o_orderstatus == 'O'") & Results(cat, "orders", "o_totalprice < 50000")).df().select(*ORD.split())
+
+
+@add("sort_by_dictionary_key", "SELECT o_custkey, round(f, 2) AS f FROM (SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS f FROM orders GROUP BY 1) ORDER BY f DESC NULLS LAST, o_custkey LIMIT 20")
+def sort_by_dictionary_key(spark, sf_dir):
+    cat = tables.star(spark, sf_dir, "orders")
+    by = cat.get("orders").frame.groupBy("o_custkey", "o_orderstatus").agg(F.sum("o_totalprice").alias("v"))
+    cat.add("spent", by.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "v"))).alias("d")), "o_custkey")
+    return Results(cat, "spent", "TRUEPREDICATE SORT(d.F DESC) LIMIT(20)").df().select("o_custkey", F.round(F.try_element_at("d", F.lit("F")), 2).alias("f"))
+
+
+@add("description_round_trip", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE (o_totalprice BETWEEN 1000 AND 90000 OR NOT starts_with(lower(o_orderpriority), '1')) AND o_custkey IN (1, 2, 3, 5, 8, 13, 21)")
+def description_round_trip(spark, sf_dir):
+    cat = tables.star(spark, sf_dir, "orders")
+    first = Results(cat, "orders", "(o_totalprice BETWEEN {1000, 90000} || !(o_orderpriority BEGINSWITH[c] '1')) && o_custkey IN $0", args=[[1, 2, 3, 5, 8, 13, 21]])
+    return Results(cat, "orders", str(first)).df().select(*ORD.split())
+
+
+@add("fluent_chain", "SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25 AND p_size < 20 AND l_returnflag <> 'N'")
+def fluent_chain(spark, sf_dir):
+    r = Results(tables.star(spark, sf_dir, "lineitem", "part"), "lineitem").filter("l_quantity > $0", 25).filter("part.p_size < 20").filter("l_returnflag != 'N'")
+    return r.aggregates(n=("count", ""), total=("sum", "l_extendedprice")).withColumn("total", F.round("total", 2))
+
+
+@add("change_moves", "SELECT o_orderkey, a AS \"from\", b AS \"to\" FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS a, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice / 2 ELSE o_totalprice END, o_orderkey) AS b FROM orders WHERE o_custkey < 200) WHERE a <> b")
+def change_moves(spark, sf_dir):
+    from pyspark.sql import Window
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 200")
+    rank = lambda x: o.select("o_orderkey", F.row_number().over(Window.orderBy(x, "o_orderkey")).cast("bigint").alias("at"))
+    return changes.moves(rank(F.col("o_totalprice")), rank(F.when(F.col("o_orderkey") % 50 == 0, F.col("o_totalprice") / 2).otherwise(F.col("o_totalprice"))), "o_orderkey", "at")
+
+
+@add("live_query_changes", "WITH a AS (SELECT o_orderkey, o_totalprice AS p FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 20000 ELSE o_totalprice END AS p FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) SELECT b.o_orderkey, CASE WHEN coalesce(a.p > 200000, false) THEN 'modification' ELSE 'insertion' END AS change FROM b LEFT JOIN a ON a.o_orderkey = b.o_orderkey WHERE b.p > 200000 AND b.p IS DISTINCT FROM CASE WHEN a.p > 200000 THEN a.p END")
+def live_query_changes(spark, sf_dir):
+    """A live query over a stream of orders, in two micro-batches; the change set that the second one makes."""
+    import tempfile
+    import uuid
+
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-live-")).rstrip("/") + f"/live-{uuid.uuid4().hex}"
+    live, o = changes.Live(spark, root), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    live.subscriptions.put(changes.LiveQuery("large", lambda t: Results(_one(spark, t["orders"]), "orders", "o_totalprice > 200000").df().select(*ORD.split()), "o_orderkey", frozenset({"orders"})))
+    for part, rows in enumerate((o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 20000))):
+        rows.withColumn("seq", F.lit(part)).write.mode("overwrite").parquet(f"{root}/in/{part}")
+        stream = spark.readStream.schema(rows.withColumn("seq", F.lit(part)).schema).parquet(f"{root}/in/{part}")
+        stream.writeStream.foreachBatch(live.apply("orders", "o_orderkey", "seq")).option("checkpointLocation", f"{root}/cp/{part}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(live.path("changes_large", live.versions["query_large"])).select("o_orderkey", "change")
+
+
+def _one(spark, frame):
+    from .plans.catalog import Catalog
+
+    cat = Catalog(spark)
+    cat.add("orders", frame, "o_orderkey")
+    return cat
