@@ -10,7 +10,7 @@ next byte a cell, and the cell holds the cost in every language, computed once.
 over whole batches.
 
 Fitting reads at most ``TRAIN_BYTES`` of text for each of at most ``MAX_LANGUAGES`` languages (the
-documented sample, drawn by a hash of the text); scoring is per row, without a shuffle.
+documented sample, drawn by a hash of id and text); scoring is per row, without a shuffle.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; very long texts are scored
 whole; ties go to the language first by code point; repeated rows get equal results; without any
@@ -155,10 +155,10 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
     return Model(langs, symbol, size, state, cost)
 
 
-def sample(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[bytes]]:
-    """At most TRAIN_DOCS documents and TRAIN_BYTES of folded text for each language, by a hash of the text."""
+def sample(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[bytes]]:
+    """About TRAIN_DOCS documents or TRAIN_BYTES of folded text for each language, by a hash of id and text."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.length(F.col(text_col)).between(1, TRAIN_CHARS)).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")
     )
     # The share to draw follows from counts, so that no task gathers a language and the driver gets a bounded part.
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("size")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
@@ -171,7 +171,9 @@ def sample(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str
         want = want | ((F.col("lang") == lang) & (unit < p))
     out: dict[str, list[bytes]] = {}
     used: dict[str, int] = {}
-    for r in sorted(rows.where(want).select("lang", "text").collect()):
+    # Rows that are equal in id and text are drawn together; the limit bounds them too.
+    drawn = rows.where(want).select("lang", "text").limit(4 * TRAIN_DOCS * len(share)).collect()
+    for r in sorted(drawn):
         t = _fold(r.text)
         if used.get(r.lang, 0) < 2 * TRAIN_BYTES:
             out.setdefault(r.lang, []).append(t)

@@ -60,4 +60,36 @@ QUERIES = {
     "op9_token_index": op9_token_index,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_array": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(len(h) // 2)) AS p FROM d),
+        w AS (SELECT doc_id, p, n, substr(h, 2 * p + 1, 2) AS byte, CASE WHEN p + 100 <= n THEN md5_number(substr(h, 2 * p + 1, 200)) END AS k FROM b),
+        r AS (SELECT doc_id, p, byte, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS again FROM w),
+        c AS (SELECT doc_id, p, byte, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM r),
+        s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS first FROM c),
+        a AS (SELECT doc_id, count(*) FILTER (gone) AS removed, count(*) FILTER (first) AS spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM s GROUP BY 1)
+        SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+    """,
+    "op3_suffix_tree": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p, ws FROM d),
+        k AS (SELECT doc_id, p, word, CASE WHEN p + 19 <= n THEN md5_number(array_to_string(ws[p:p + 19], ' ')) END AS k FROM w),
+        r AS (SELECT doc_id, p, word, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS again FROM k),
+        c AS (SELECT doc_id, p, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+        a AS (SELECT doc_id, count(*) FILTER (gone) AS removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY 1)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+    """,
+    "op8_cross_polytope": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        g AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        c AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.id WHERE c.root < l.b),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY 1),
+        m AS (SELECT id, min(root) AS root FROM c GROUP BY 1)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, root AS component_id, vec_id = root AS kept FROM v JOIN m ON m.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+    """,
+}

@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     drawn = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
     scratch = Scratch(spark)
     # The drawn labels are bounded by TRAIN_DOCS, so they may be broadcast.
-    rows = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.col("__toxic").cast("int").alias("y"), "text"), "train")
+    rows = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select(F.col("__toxic").cast("int").alias("y"), "text"), "train")
     size = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1:
