@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from .common import Scratch, arrow_schema, bound_batches, partitions
 
 SHARD_BYTES = 1 << 20
 SHARD_DOCS = 4096
-#: Words that a worker remembers; at about 130 bytes each this bounds the cache.
-CACHE = 400_000
+#: Words and pieces that a generation of a worker's cache holds, of which there are two; at about 200 bytes each this bounds it.
+CACHE = 300_000
 SHARD_SCHEMA = (
     "part int, shard int, first_doc long, last_doc long, n_docs long, n_ids long, first_id long, width int, "
     "keys array<long>, ordinals binary, disp binary, fingerprints binary, offsets binary, lengths binary, payload binary"
@@ -136,7 +137,7 @@ class WordEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in plain]
         self.symbols = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
-        self.model, self.words, self.parts = self.lib.model, {}, {}
+        self.model, self.words, self.parts, self.old_words, self.old_parts = self.lib.model, {}, {}, {}, {}
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -144,7 +145,10 @@ class WordEncoder:
     def piece(self, piece: str) -> bytes:
         got = self.parts.get(piece)
         if got is None:
-            got = self.parts[piece] = self.pack([t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, piece.encode())))])
+            got = self.old_parts.get(piece)
+            if got is None:
+                got = self.pack([t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, piece.encode())))])
+            self.parts[piece] = got
         return got
 
     def word(self, word: str) -> bytes:
@@ -154,18 +158,21 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         words = text.split() if not ODD.search(text) else WORDS.findall(text)
-        cache = self.words
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) > CACHE or len(self.parts) > CACHE:
-            cache.clear()
-            self.parts.clear()
-        for w in words:
-            if w not in cache:
-                cache[w] = self.word(w)
-        return b"".join([cache[w] for w in words])
+        if len(self.words) > CACHE:
+            self.words, self.old_words = {}, self.words
+        if len(self.parts) > CACHE:
+            self.parts, self.old_parts = {}, self.parts
+        known, old = self.words, self.old_words
+        for w in set(words).difference(known):
+            got = old.get(w)
+            known[w] = self.word(w) if got is None else got
+        return b"".join(map(known.__getitem__, words))
+
+
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker, so that they share its caches."""
+    return WordEncoder(path)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -178,7 +185,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id
     dealt = keyed.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(tokenizer)
+        enc = encoder(tokenizer)
         end = enc.pack([end_id] if end_id is not None else [])
         keys, ordinals, pieces, size, shard, first, part = [], [], [], 0, 0, 0, 0
 
