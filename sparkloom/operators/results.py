@@ -183,6 +183,30 @@ class Results:
     def find(self, text: str, *args: Any):
         return self.filter(text, *args).first()
 
+    def eval_object(self, key: Any) -> bool:
+        """Whether the object of this key satisfies the predicate."""
+        low = Lowering(self.catalog, self.cls.name)
+        return not low.filtered(self.where).where(q(self.cls.key) == F.lit(key)).isEmpty()
+
+    def links(self) -> dict[str, str]:
+        return {p.col: p.target for p in self.cls.properties.values() if p.kind == "link"}
+
+    def to_json(self, mode: str = "json") -> DataFrame:
+        """One JSON text an object; see ``sources.text_files``."""
+        from ..sources.text_files import to_json
+
+        return to_json(self.df(), mode, self.links())
+
+    def snapshot(self, path: str) -> "Results":
+        """The objects as they are now, written once: later changes of the class don't show."""
+        spark = self.catalog.spark
+        self.df().write.mode("overwrite").parquet(path)
+        out = Catalog(spark)
+        out.classes = dict(self.catalog.classes)
+        out.property_alias, out.class_alias = self.catalog.property_alias, self.catalog.class_alias
+        out.add(self.cls.name, spark.read.parquet(path), self.cls.key, list(self.cls.properties.values()), fulltext=self.cls.fulltext)
+        return Results(out, self.cls.name)
+
     # -- sections
 
     def sections(self, key: str | Callable[[Column], Column], prop: str | None = None) -> DataFrame:

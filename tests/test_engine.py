@@ -114,6 +114,16 @@ def test_orderings(spark):
     assert keys(Results(nan, "x").sort("v")) == [3, 2, 4, 1] and keys(Results(nan, "x").sort(("v", False))) == [1, 4, 2, 3]
 
 
+def test_snapshots_and_json(shop, tmp_path):
+    r = Results(shop, "box", "id < 3")
+    snap = r.snapshot(str(tmp_path / "snap"))
+    assert sorted(keys(snap)) == [1, 2] and keys(snap.filter("top.n == 10 && all.@count == 2")) == [1]
+    assert r.to_json("xjson_plus").first().json.startswith('{"id":{"$numberLong":"1"},"top_k":{"$link":{"table":"item"')
+    assert r.eval_object(1) and not r.eval_object(3)
+    back = tables.load(shop.spark, (tables.save(shop, str(tmp_path / "all")), str(tmp_path / "all"))[1], shop)
+    assert sorted(keys(Results(back, "item", "owner.@count == 2"))) == [1]
+
+
 def test_filter_by_pandas_function(spark):
     cat = Catalog(spark)
     cat.add("t", spark.range(1, 1001).withColumnRenamed("id", "k"), "k")
