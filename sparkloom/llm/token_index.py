@@ -18,9 +18,12 @@ no shard; extra columns are ignored; a document over ``SHARD_BYTES`` gets a shar
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,7 +38,7 @@ from .common import Scratch, arrow_schema, bound_batches, partitions
 SHARD_BYTES = 1 << 20
 SHARD_DOCS = 4096
 #: Words and pieces that a generation of a worker's cache holds, of which there are two; at about 200 bytes each this bounds it.
-CACHE = 300_000
+CACHE = 450_000
 SHARD_SCHEMA = (
     "part int, shard int, first_doc long, last_doc long, n_docs long, n_ids long, first_id long, width int, "
     "keys array<long>, ordinals binary, disp binary, fingerprints binary, offsets binary, lengths binary, payload binary"
@@ -130,6 +133,7 @@ class WordEncoder:
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.lib = Tokenizer.from_file(path)
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
@@ -137,24 +141,36 @@ class WordEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in plain]
         self.symbols = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
-        self.model, self.words, self.parts, self.old_words, self.old_parts = self.lib.model, {}, {}, {}, {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+        named = {k: spec[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if spec.get(k) is not None}
+        # The model's own cache is off: what it would remember is remembered here, and filling it costs as much as merging.
+        self.model = BPE(spec["vocab"], merges, cache_capacity=0, **named)
+        self.words, self.parts, self.old_words, self.old_parts = {}, {}, {}, {}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        a = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
 
     def piece(self, piece: str) -> bytes:
         got = self.parts.get(piece)
         if got is None:
             got = self.old_parts.get(piece)
             if got is None:
-                got = self.pack([t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, piece.encode())))])
+                # Letters of ASCII stand for themselves in the model's alphabet.
+                spelt = piece if piece.isascii() and piece.isalpha() else "".join(map(self.symbols.__getitem__, piece.encode()))
+                got = self.pack([t.id for t in self.model.tokenize(spelt)])
             self.parts[piece] = got
         return got
 
     def word(self, word: str) -> bytes:
-        if "<|" in word or not PLAIN.fullmatch(word) or ODD.search(word):
+        if "<|" in word or not word.isascii() and not PLAIN.fullmatch(word) or ODD.search(word):
             return self.pack(self.lib.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self.piece, self.pieces(word.lower())))
+        low = word.lower()
+        return self.piece(low) if low.isalpha() else b"".join(map(self.piece, self.pieces(low)))
 
     def encode(self, text: str) -> bytes:
         words = text.split() if not ODD.search(text) else WORDS.findall(text)
