@@ -156,15 +156,17 @@ def test_deduplicate_keeps_one(spark, docs):
     assert sorted((r.doc_id or 0, r.text[0]) for r in simhash.deduplicate(odd).collect()) == [(0, "a"), (4, "q"), (4, "z")]
 
 
-@pytest.mark.parametrize("split", [4096, 8])
-def test_embeddings(spark, monkeypatch, split):
+@pytest.mark.parametrize("split,kind", [(4096, "double"), (8, "double"), (8, "float")])
+def test_embeddings(spark, monkeypatch, split, kind):
     monkeypatch.setattr(cross_polytope, "SPLIT", split)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(30, 16))
     vec = np.concatenate([base, base[:10] + rng.normal(size=(10, 16)) * 0.05, base[:10], np.tile(base[3], (20, 1)) + rng.normal(size=(20, 16)) * 0.02])
+    if kind == "float":
+        vec = vec.astype(np.float32).astype(float)
     rows = [(i, v.tolist(), "x") for i, v in enumerate(vec)]
-    rows += [(900, None, "x"), (901, [0.0] * 16, "x"), (902, [float("nan")] * 16, "x"), (903, [None] * 16, "x"), (904, [], "x"), (905, [1.0, 2.0], "x"), (906, [1e200] * 16, "x"), (907, [1e-200] * 16, "x")]
-    got = {r.vec_id: r for r in cross_polytope.groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rid string")).collect()}
+    rows += [(900, None, "x"), (901, [0.0] * 16, "x"), (902, [float("nan")] * 16, "x"), (903, [None] * 16, "x"), (904, [], "x"), (905, [1.0, 2.0], "x"), (906, [1e200 if kind == "double" else 1e30] * 16, "x"), (907, [1e-200 if kind == "double" else 1e-30] * 16, "x")]
+    got = {r.vec_id: r for r in cross_polytope.groups(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, rid string")).collect()}
     fine = {i: np.array(v) / np.abs(v).max() for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     link = lambda i, j: i in fine and j in fine and len(fine[i]) == len(fine[j]) and fine[i] @ fine[j] / np.linalg.norm(fine[i]) / np.linalg.norm(fine[j]) >= 0.95
     ids = [r[0] for r in rows]
