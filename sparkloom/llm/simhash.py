@@ -14,7 +14,8 @@ a text of fewer words than a shingle is one shingle; repeated rows and ids each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -179,106 +180,214 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, id_col: str
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-# -- near copies of a similarity of 0.8 on five-word shingles
+# -- near copies: a Jaccard similarity of 0.8 on five-word shingles
 
-#: Independent fingerprints of a text's words, each of which may bring a pair together.
-SEEDS = 4
-#: Bits that fingerprints of five-word shingles may differ in: a similarity of 0.8 is expected at 9.7 with a spread of 2.9.
-NEAR = 12
-SHORT = 4
+#: Words in a shingle of near copies.
+SHINGLE = 5
+#: Sets that share a shingle are compared pair by pair up to so many; beyond that, with the plainest of them first.
+MANY = 64
+#: Sets that the order of shingles is learned from at most, and in how many of these a shingle counts as common.
+ORDER_DOCS, COMMON = 50_000, 8
 
 
-def word_fingerprints(text: str | None) -> list[int]:
-    """``SEEDS`` fingerprints of a text's distinct words of at least SHORT bytes (of all words where there is none).
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's five-word shingles; a text of fewer words is one shingle, one without words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - SHINGLE + 1)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts, stops, h = [0, *ends[: n - 1].tolist()], (ends[len(words) - n :] - 1).tolist(), xxhash.xxh64_intdigest
+    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64))
+
+
+def prefix(s: np.ndarray, common: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The first ``n - ceil(0.8 n) + 1`` of a set of n shingles, rare ones before ``common`` ones (sorted, with their ``levels``), else by hash.
 
-    An edit changes one word but five shingles, so near copies lie within a few bits here, while long words are rarely shared by chance.
+    Two sets of a similarity of 0.8 share at least ceil(0.8 n) shingles of each, so that in any order fixed for all sets these prefixes meet.
     """
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    words = {w for w in words if len(w) >= SHORT} or words
-    if not words:
-        return [0] * SEEDS
-    h0 = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
-    out = []
-    for k in range(SEEDS):
-        h = (h0 ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            counts += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0]))
-    return out
-
-
-def _near_stars(rows: list[tuple[int, int, int]], radius: int, near: int) -> list[tuple[int, int]]:
-    """(vertex, root) of a shard's (word fingerprint, shingle fingerprint, vertex) rows, linked where both are close."""
-    tree, parent = BkTree(radius), []
+    if len(common) and len(s):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        s = s[np.lexsort((s, np.where(common[at] == s, levels[at], 0)))]
+    return s[: len(s) - (4 * len(s) + 4) // 5 + 1] if len(s) else s
 
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    for i, (word, shingle, _) in enumerate(rows):
-        parent.append(i)
-        for j in tree.add(word):
-            if (rows[j][1] ^ shingle).bit_count() <= near:
-                a, b = top(i), top(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-    return [(rows[i][2], rows[t][2]) for i in range(len(rows)) if (t := top(i)) != i]
+@lru_cache(MANY)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def may_be_near(n, i, m, j):
+    """Whether sets of n and m shingles that share their i-th and j-th may reach 0.8: 9 * overlap >= 4 * (n + m)."""
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * (np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1) >= 4 * (n + m))
+
 
+def is_near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets reach a Jaccard similarity of 0.8; two empty ones do."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, levels): those that lead many prefixes, over at most about ``ORDER_DOCS`` sets. Any choice is exact; this one keeps lists short."""
+    n, none = sets.count(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    some = sets if n <= ORDER_DOCS else sets.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < (ORDER_DOCS << 20) // n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(prefix(shingle_set(batch.column(0)[i].as_py()), *none).view(np.int64))], names=["s"])
 
-def near_groups(docs: DataFrame, key: str, text_col: str = "text", radius: int = RADIUS, near: int = NEAR) -> DataFrame:
+    found = some.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON).toArrow()
+    if not found.num_rows:
+        return none
+    s, c = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(s)
+    return s[order], np.log2(c[order]).astype(np.int64)
+
+
+def _lists(rows: DataFrame, n: int, of: Callable[[list[np.ndarray]], list[np.ndarray] | None], ddl: str) -> DataFrame:
+    """``of`` over the columns of all rows of each key (the first column), one key in memory at a time; keys of one row are left out."""
+    schema, columns = arrow_schema(ddl), len(rows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(cols[0]) != 0, [True]]))
+            out = []
+            for k in np.flatnonzero(np.diff(edge) > 1):
+                if (found := of([c[edge[k] : edge[k + 1]] for c in cols])) is not None and len(found[0]):
+                    out.append(found)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in range(columns)]
+            if len(cols[0]) and held and held[-1][0][-1] != cols[0][0]:
+                yield from flush([np.concatenate(c) for c in zip(*held)])
+                held = []
+            # The last key may go on in the next batch.
+            last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if len(cols[0]) and cols[0][0] != cols[0][-1] else 0
+            if last:
+                yield from flush([np.concatenate(c) for c in zip(*held, [c[:last] for c in cols])])
+                held = []
+            if len(cols[0]):
+                held.append([c[last:] for c in cols])
+        if held:
+            yield from flush([np.concatenate(c) for c in zip(*held)])
+
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, ddl)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose texts reach the similarity."""
+    bound_batches(pairs.sparkSession)
+    pairs = scratch.keep(pairs, f"{name}_pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    texts = scratch.keep(texts.join(asked, "v", "left_semi"), f"{name}_texts")
+    schema = arrow_schema("a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, own, good = None, None, []
+            a = batch.column(0).to_numpy()
+            for i in range(batch.num_rows):
+                if a[i] != last:
+                    last, own = a[i], shingle_set(batch.column(2)[i].as_py())
+                good.append(is_near(own, shingle_set(batch.column(3)[i].as_py())))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
+
+    two = pairs.join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
+    found = scratch.keep(two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), name)
+    scratch.drop(f"{name}_texts")
+    return found
+
+
+def near_groups(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, root): the smallest key among each document's near copies. ``key`` has to be a key of type long.
 
-    A pair is looked for through each of its word fingerprints, by blocks and BK-trees as in ``groups``, and linked if
-    its fingerprints of five-word shingles differ in ``near`` bits at most. Texts with the same fingerprints are one vertex.
+    Links are all pairs of a Jaccard similarity of 0.8 on five-word shingles, up to 64-bit hashes, and nothing below it. Texts with one set of
+    shingles are one vertex. Pairs are looked for through shingles that both sets have in their ``prefix``, and each is verified by its texts.
+    Where over ``MANY`` sets share such a shingle, all are compared with the one that has it earliest, and pairs that this leaves unconnected after that.
     """
     spark = docs.sparkSession
     scratch, n = Scratch(spark), partitions(spark)
     bound_batches(spark)
-    names = [f"w{k}" for k in range(SEEDS)]
-    ddl = "key long, fp long, " + ", ".join(f"{w} long" for w in names)
+    ddl = "key long, x long, y long"
     schema = arrow_schema(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [batch.column(1)[i].as_py() for i in range(batch.num_rows)]
-            prints = np.array([[fingerprint(t, 5), *word_fingerprints(t)] for t in texts], np.uint64).reshape(-1, 1 + SEEDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(np.ascontiguousarray(prints[:, c])) for c in range(1 + SEEDS)]], schema=schema)
-
-    prints = scratch.keep(docs.select(F.col(key), F.col(text_col)).mapInArrow(run, ddl), "prints")
-    distinct = scratch.keep(prints.groupBy("fp", *names).agg(F.min("key").alias("v")), "distinct")
-    shards = None
-    for k, w in enumerate(names):
-        one = _shards(distinct.select(F.col(w).alias("fp"), F.col("fp").alias("shingle"), "v"), radius + 2, radius, k * 1000, "shingle", "v")
-        shards = one if shards is None else shards.union(one)
-    bound_batches(spark, records=20_000)
-    pair = arrow_schema("a long, b long")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+            sets = (shingle_set(batch.column(1)[i].as_py()).tobytes() for i in range(batch.num_rows))
+            names = np.array([(h & 0xFFFFFFFFFFFFFFFF, h >> 64) for h in map(xxhash.xxh3_128_intdigest, sets)], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(np.ascontiguousarray(names[:, c])) for c in (0, 1)]], schema=schema)
+
+    names = scratch.keep(docs.select(F.col(key), F.col(text_col)).mapInArrow(name, ddl), "names")
+    distinct = scratch.keep(names.groupBy("x", "y").agg(F.min("key").alias("v")), "distinct")
+    texts = scratch.keep(docs.select(F.col(key).cast("long").alias("v"), F.col(text_col).alias("text")).join(distinct.select("v"), "v", "left_semi"), "texts")
+    scratch.reclaim()
+    order = spark.sparkContext.broadcast(_common(texts))
+    row_ddl = "key long, v long, n int, i int"
+    row_schema = arrow_schema(row_ddl)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            rows = list(zip(*(batch.column(c).to_numpy().view(np.uint64).tolist() for c in (1, 2)), batch.column(3).to_pylist()))
-            cut, out = np.flatnonzero(np.diff(keys)) + 1, []
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
-                if keys[a] != at:
-                    if len(held) > 1:
-                        out += _near_stars(held, radius, near)
-                    at, held = keys[a], []
-                held += rows[a:b]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=pair)
-        if len(held) > 1 and (out := _near_stars(held, radius, near)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=pair)
-
-    links = shards.repartition(n, "key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
-    roots = components(scratch.keep(links.distinct(), "links"), scratch)
-    named = distinct.join(roots.withColumnRenamed("id", "v"), "v", "left").select("fp", *names, F.coalesce("root", "v").alias("root"))
-    return prints.join(named, ["fp", *names]).select(F.col("key").alias(key), "root")
+            v = batch.column(0).to_numpy()
+            for at in range(0, len(v), 256):
+                out = []
+                for k in range(at, min(at + 256, len(v))):
+                    s = shingle_set(batch.column(1)[k].as_py())
+                    p = prefix(s, *order.value)
+                    out.append((p.view(np.int64), np.full(len(p), v[k]), np.full(len(p), len(s), np.int32), np.arange(len(p), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=row_schema)
+
+    def pairs(cols: list[np.ndarray]) -> list[np.ndarray]:
+        """(key, a, b, n, m, i): the pairs of a list, or where it is long its rows, with a = b."""
+        k, v, size, at = cols
+        if len(v) > MANY:
+            return [k, v, v, size, size, at]
+        p, q = _pairs(len(v))
+        good = may_be_near(size[p], at[p], size[q], at[q])
+        p, q = p[good], q[good]
+        p, q = np.where(v[p] > v[q], q, p), np.where(v[p] > v[q], p, q)
+        return [np.zeros(len(p), np.int64), v[p], v[q], size[p], size[q], np.zeros(len(p), np.int32)]
+
+    def apart(cols: list[np.ndarray]) -> list[np.ndarray] | None:
+        """(a, b): pairs of a long list that may be near and are not connected yet; most of the list mostly is."""
+        _, v, size, at, root = cols
+        _, part, counts = np.unique(root, return_inverse=True, return_counts=True)
+        main, out = counts.argmax(), []
+        for x in np.flatnonzero(part != main):
+            y = np.flatnonzero((part == main) | (part > part[x]))
+            y = v[y[(part[y] != part[x]) & may_be_near(size[x], at[x], size[y], at[y])]]
+            out.append((np.minimum(v[x], y), np.maximum(v[x], y)))
+        return [np.concatenate(c) for c in zip(*out)] if out else None
+
+    rows = texts.select("v", "text").mapInArrow(deal, row_ddl)
+    bound_batches(spark, records=50_000)
+    met = scratch.keep(_lists(rows, n, pairs, "key long, a long, b long, n int, m int, i int"), "met")
+    scratch.reclaim()
+    many = met.where("a = b").select("key", F.col("a").alias("v"), "n", "i")
+    heavy = many.groupBy("v").agg(F.count("*").alias("h"))
+    few = met.where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    few = few.join(heavy.select(F.col("v").alias("a"), F.col("h").alias("ha")), "a", "left").join(heavy.select(F.col("v").alias("b"), F.col("h").alias("hb")), "b", "left")
+    # What two prefixes share and what may follow one of them bounds the overlap.
+    few = few.where("9 * (c + least(coalesce(ha, 0), coalesce(hb, 0)) + (4 * greatest(n, m) + 4) div 5 - 1) >= 4 * (n + m)").select("a", "b")
+    first = many.groupBy("key").agg(F.min(F.struct("i", "n", "v")).alias("l"))
+    led = many.join(first, "key").where("v <> l.v AND 5 * least(n, l.n) >= 4 * greatest(n, l.n) AND 9 * (least(i, l.i) + least(n - i, l.n - l.i)) >= 4 * (n + l.n)")
+    led = led.select(F.least("v", "l.v").alias("a"), F.greatest("v", "l.v").alias("b"))
+    links = _verified(few.union(led).distinct(), texts, scratch, "near")
+    if not many.isEmpty():
+        own = Scratch(spark)
+        roots = components(links, own).withColumnRenamed("id", "v")
+        bound_batches(spark, records=50_000)
+        rest = _lists(many.join(roots, "v", "left").select("key", "v", "n", "i", F.coalesce("root", "v").alias("root")), n, apart, "a long, b long")
+        links = links.union(_verified(rest.distinct(), texts, scratch, "rest"))
+    roots = components(links, scratch)
+    named = distinct.join(roots.withColumnRenamed("id", "v"), "v", "left").select("x", "y", F.coalesce("root", "v").alias("root"))
+    return names.join(named, ["x", "y"]).select(F.col("key").alias(key), "root")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

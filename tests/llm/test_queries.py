@@ -156,6 +156,46 @@ def test_deduplicate_keeps_one(spark, docs):
     assert sorted((r.doc_id or 0, r.text[0]) for r in simhash.deduplicate(odd).collect()) == [(0, "a"), (4, "q"), (4, "z")]
 
 
+def five_words(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_copies():
+    """Texts with scattered edits, cut and foreign tails, cut heads and inserted blocks, on both sides of 0.8; families share a text and a passage."""
+    rnd = random.Random(12)
+    prose = lambda k: [f"w{rnd.randrange(3000)}" for _ in range(k)]
+    passage, texts = prose(30), [None, "", " ", "one two", "One  two", "a b c d e"]
+    for _ in range(25):
+        base = prose(rnd.randrange(60, 400)) + passage
+        texts.append(" ".join(base))
+        for _ in range(8):
+            w, share, kind = list(base), rnd.uniform(0.02, 0.25), rnd.randrange(5)
+            k = int(len(w) * share)
+            if kind == 0:
+                for i in rnd.sample(range(len(w)), max(1, k // 5)):
+                    w[i] = f"x{rnd.randrange(9999)}"
+            else:
+                w = [w[: len(w) - k], w + prose(k), w[k:], w[:50] + prose(k) + w[50:]][kind - 1]
+            texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("many,common", [(64, 8), (2, 2)])
+def test_near_groups_against_all_pairs(spark, monkeypatch, many, common):
+    monkeypatch.setattr(simhash, "MANY", many)
+    monkeypatch.setattr(simhash, "COMMON", common)
+    texts = near_copies()
+    sets = [five_words(t) for t in texts]
+    root = components(list(range(len(texts))), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    assert {tuple(r) for r in simhash.near_groups(df, "id").collect()} == set(root.items())
+
+
 @pytest.mark.parametrize("split,kind", [(4096, "double"), (8, "double"), (8, "float")])
 def test_embeddings(spark, monkeypatch, split, kind):
     monkeypatch.setattr(cross_polytope, "SPLIT", split)
