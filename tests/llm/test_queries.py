@@ -196,6 +196,19 @@ def test_near_groups_against_all_pairs(spark, monkeypatch, many, common):
     assert {tuple(r) for r in simhash.near_groups(df, "id").collect()} == set(root.items())
 
 
+def test_deduplicate_keeps_what_is_below(spark):
+    """Edited relatives of a similarity of 0.65 to 0.79 all stay."""
+    rnd, texts = random.Random(13), []
+    while len(texts) < 80:
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(100, 300))]
+        edited = list(base)
+        for i in rnd.sample(range(len(base)), len(base) // 25):
+            edited[i] = f"x{rnd.randrange(9999)}"
+        if 0.65 <= jaccard(five_words(" ".join(base)), five_words(" ".join(edited))) <= 0.79:
+            texts += [" ".join(base), " ".join(edited)]
+    assert simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
+
+
 @pytest.mark.parametrize("split,kind", [(4096, "double"), (8, "double"), (8, "float")])
 def test_embeddings(spark, monkeypatch, split, kind):
     monkeypatch.setattr(cross_polytope, "SPLIT", split)
