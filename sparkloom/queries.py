@@ -393,10 +393,17 @@ def fluent_chain(spark, sf_dir):
 
 @add("change_moves", "SELECT o_orderkey, a AS \"from\", b AS \"to\" FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS a, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice / 2 ELSE o_totalprice END, o_orderkey) AS b FROM orders WHERE o_custkey < 200) WHERE a <> b")
 def change_moves(spark, sf_dir):
-    from pyspark.sql import Window
+    return _order_moves(spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 200"))
 
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 200")
-    rank = lambda x: o.select("o_orderkey", F.row_number().over(Window.orderBy(x, "o_orderkey")).cast("bigint").alias("at"))
+
+@add("change_moves_all", "SELECT o_orderkey, a AS \"from\", b AS \"to\" FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS a, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice / 2 ELSE o_totalprice END, o_orderkey) AS b FROM orders) WHERE a <> b")
+def change_moves_all(spark, sf_dir):
+    """``change_moves`` over the whole table."""
+    return _order_moves(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def _order_moves(o):
+    rank = lambda x: changes.ranks(o.select("o_orderkey", x.alias("x")), ["x", "o_orderkey"], "at")
     return changes.moves(rank(F.col("o_totalprice")), rank(F.when(F.col("o_orderkey") % 50 == 0, F.col("o_totalprice") / 2).otherwise(F.col("o_totalprice"))), "o_orderkey", "at")
 
 

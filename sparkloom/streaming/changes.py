@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +29,25 @@ def moves(old: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame:
     return a.join(b, key).where(F.col("from") != F.col("to"))
 
 
+def ranks(df: DataFrame, order: list[str], position: str) -> DataFrame:
+    """``df`` with each row's rank from 1 by ``order``, as ``row_number`` over all rows gives it, nulls first.
+
+    Rows are dealt to ranges of the order by bounds from a sample, ranked within each and moved by the counts of the ranges before.
+    Bounds only balance the ranges, so any sample is exact; only rows equal in all of ``order`` have to stay together.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at, rows = F.struct(*order), df.count()
+    some = df.select(*order).sample(min(1.0, 100 * n / rows) if rows else 1.0, 42).orderBy(*order).collect()
+    types = [df.schema[c].dataType for c in order]
+    bounds = [some[len(some) * k // n] for k in range(1, n)] if len(some) > n else []
+    above = [F.when(at > F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(b, types, order)]), 1).otherwise(0) for b in bounds]
+    dealt = df.withColumn("__range", reduce(lambda x, y: x + y, above, F.lit(0)))
+    counts = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
+    before = F.array(*[F.lit(sum(counts.get(j, 0) for j in range(k))).cast("long") for k in range(len(bounds) + 1)])
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn(position, own + F.element_at(before, F.col("__range") + 1)).drop("__range")
+
+
 @dataclass
 class LiveQuery:
     """A query over state tables that is run again after each batch which touches them."""

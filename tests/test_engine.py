@@ -330,3 +330,24 @@ def test_filters_reach_the_scan(spark):
 
 def test_key_constants():
     assert str(parse('a == obj("c", 3)')) == 'a == obj("c", 3)' and parse("a == O7").where.right.value == Key(7)
+
+
+def test_ranks_are_those_of_one_window(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice([None, float("nan"), 1.0, 2.0, rnd.random()])) for i in range(700)]
+    got = changes.ranks(spark.createDataFrame(rows, "k long, x double").repartition(5), ["x", "k"], "at")
+    place = lambda r: (r[1] is not None, r[1] is not None and math.isnan(r[1]), 0 if r[1] is None or math.isnan(r[1]) else r[1], r[0])
+    assert [r.k for r in sorted(got.collect(), key=lambda r: r["at"])] == [r[0] for r in sorted(rows, key=place)]
+    assert sorted(r["at"] for r in got.collect()) == list(range(1, 701))
+    assert changes.ranks(spark.createDataFrame([], "k long, x double"), ["x", "k"], "at").count() == 0
+
+
+def test_change_moves_all_ranks_every_order(spark):
+    import duckdb
+
+    from sparkloom import queries
+
+    d = "/root/testdata/sf0.001"
+    want = duckdb.sql(queries.ORACLE["change_moves_all"].replace("FROM orders", f"FROM '{d}/orders.parquet'")).fetchall()
+    got = queries.QUERIES["change_moves_all"](spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
