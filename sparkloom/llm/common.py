@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share. Set here only where the cluster names none."""
+    """The folder that all executors share. Where none is named, one is made on a single machine; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -38,8 +43,8 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{scratch_root(spark)}/sparkloom-{uuid.uuid4().hex}"
+        self.spark, self.id, self.tables = spark, uuid.uuid4().hex, {}
+        self.root = f"{scratch_root(spark)}/sparkloom-{self.id}"
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -49,12 +54,21 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, name: str, col: str) -> DataFrame:
+        """``keep`` with rows dealt by ``col`` into buckets, so that joins on it move the other side only."""
+        n = partitions(self.spark)
+        self.tables[name] = f"sparkloom_{self.id}_{name}"
+        df.repartition(n, col).write.bucketBy(n, col).sortBy(col).mode("overwrite").option("path", self.path(name)).saveAsTable(self.tables[name])
+        return self.spark.table(self.tables[name])
+
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             self._delete(self.path(name))
 
     def reclaim(self) -> None:
-        """Let Spark delete shuffle files whose frames are gone."""
+        """Let Spark delete shuffle files whose frames are gone: between the steps of an operator they would add up on disk."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
@@ -74,10 +88,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bound_batches(spark: SparkSession, records: int = 2000, size: int = 16 << 20) -> None:
+#: Rows and bytes that one Arrow batch holds at most, the same for all operators: a frame may run after another operator was called.
+BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, in rows and in bytes, so that long texts can't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by the first one, cut so that the rows of a key stay together."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(columns)]
+        if not len(cols[0]):
+            continue
+        if held and held[-1][0][-1] != cols[0][0]:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held = []
+        # The last key may go on in the next batch.
+        last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if cols[0][0] != cols[0][-1] else 0
+        if last:
+            yield [np.concatenate(c) for c in zip(*held, [c[:last] for c in cols])]
+            held = []
+        held.append([c[last:] for c in cols])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

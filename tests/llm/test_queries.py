@@ -134,9 +134,10 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_simhash(docs, rows, monkeypatch, hot):
-    monkeypatch.setattr(simhash, "HOT", hot)
+@pytest.mark.parametrize("room,broadcast", [(32_768, 0), (1, 1 << 20), (3, 0)])
+def test_simhash(docs, rows, monkeypatch, room, broadcast):
+    monkeypatch.setattr(simhash, "ROOM", room)
+    monkeypatch.setattr(simhash, "BROADCAST", broadcast)
     fp = {r[0]: fingerprint(r[1]) for r in rows}
     root = components(list(fp), lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 4)
     assert {tuple(r) for r in simhash.groups(docs).collect()} == {(i, f"{fp[i]:016x}", root[i]) for i in fp}
@@ -147,7 +148,44 @@ def test_bk_tree_finds_all():
     values = list({rnd.getrandbits(10) for _ in range(300)})
     tree = simhash.BkTree(2)
     for i, x in enumerate(values):
-        assert sorted(tree.add(x)) == [j for j in range(i) if (values[j] ^ x).bit_count() <= 2]
+        assert sorted(tree.add(x, every=True)) == [j for j in range(i) if (values[j] ^ x).bit_count() <= 2]
+
+
+def test_bk_tree_passes_over_no_component():
+    """Links that a tree gives while it grows, and what a packed one answers, connect what all pairs connect."""
+    rnd = random.Random(4)
+    for _ in range(6):
+        base = [rnd.getrandbits(24) for _ in range(8)]
+        values = list({b ^ (1 << rnd.randrange(24)) ^ (1 << rnd.randrange(24)) ^ (rnd.getrandbits(24) if rnd.random() < 0.2 else 0) for b in base for _ in range(40)})
+        root = components(values, lambda x, y: (x ^ y).bit_count() <= 2)
+        tree, a, b = simhash.grown(values, 2)
+        assert all((x ^ y).bit_count() <= 2 for x, y in zip(a, b))
+        linked = set(zip(a, b))
+        assert components(values, lambda x, y: (x, y) in linked or (y, x) in linked) == root
+        packed = simhash.BkTree.unpacked(tree.packed(), 2)
+        for x in [rnd.choice(values) ^ (1 << rnd.randrange(24)) for _ in range(50)]:
+            assert {root[packed.values[k]] for k in packed.near(x)} == {root[v] for v in values if (v ^ x).bit_count() <= 2}
+
+
+def test_shards_miss_no_pair():
+    rnd = random.Random(6)
+    for n, share in ((100, [0.5] * 64), (10_000_000, [0.5] * 40 + [0.01] * 24), (1_000, [0.0] * 60 + [0.5] * 4)):
+        masks = simhash.layout(n, share, 4)
+        for _ in range(300):
+            x, bits = rnd.getrandbits(64), rnd.sample(range(64), 4)
+            y = x ^ sum(1 << b for b in bits)
+            assert any(x & m == y & m for m in masks)
+
+
+def test_simhash_of_odd_tables(spark):
+    """Null and repeated ids, repeated rows, extra columns, and no row at all."""
+    rows = [(None, "a b c d e", 1), (None, "a b c d e", 1), (3, "a b c d e", 2), (3, "q r s t", 3), (5, None, 4), (6, "", 5), (2, "x " * 200_000, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    got = [tuple(r) for r in simhash.groups(df).collect()]
+    fp = lambda t: f"{fingerprint(t):016x}"
+    want = [(None, fp("a b c d e"), 3), (None, fp("a b c d e"), 3), (3, fp("a b c d e"), 3), (3, fp("q r s t"), 3), (5, "0" * 16, 5), (6, "0" * 16, 5), (2, fp("x x x x"), 2)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert simhash.groups(df.limit(0)).count() == 0
 
 
 def test_deduplicate_keeps_one(spark, docs):
