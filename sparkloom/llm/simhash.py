@@ -358,8 +358,12 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, id_col: str
 
 #: Words in a shingle of near copies.
 SHINGLE = 5
-#: Sets that share a shingle are compared pair by pair up to so many; beyond that, with one of them first.
+#: Sets that share a shingle are compared pair by pair up to so many; beyond that, by sketches first.
 MANY = 64
+#: Sets of such a list that one task compares with each other, or with as many others.
+BLOCK = 4_096
+#: 64-bit words of a sketch.
+SKETCH = 16
 #: Sets that the order of shingles is learned from at most, and in how many of these a shingle counts as common.
 ORDER_DOCS, COMMON = 50_000, 8
 #: Rows that a batch of pairs holds at most, about.
@@ -397,6 +401,59 @@ def is_near(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """For each of 64 * SKETCH classes of hashes whether an odd number of the set's are in it. Sketches of two sets differ in at most as many places as the sets."""
+    odd = np.bincount((s % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class _LongList:
+    """Sets that share a shingle, of which some are connected already (``root``), and which pairs of them may be near."""
+
+    def __init__(self, v: np.ndarray, n: np.ndarray, i: np.ndarray, root: np.ndarray, bits: np.ndarray, side: np.ndarray, cross: bool):
+        self.v, self.n, self.i, self.side, self.cross = v, n.astype(np.int64), i.astype(np.int64), side, cross
+        self.bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(v), SKETCH)
+        _, self.part, self.counts = np.unique(root, return_inverse=True, return_counts=True)
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(of x, of y, distance of sketches) for the pairs of rows x and y that may be near: sets of n and m shingles at 0.8 differ in at most (n + m) / 9."""
+        step = max(1, (1 << 18) // max(len(y), 1))
+        for at in range(0, len(x), step):
+            p = x[at : at + step]
+            total = self.n[p][:, None] + self.n[y][None]
+            d = np.bitwise_count(self.bits[p][:, None, :] ^ self.bits[y][None, :, :]).sum(2, dtype=np.int64)
+            good = (9 * d <= total) & may_be_near(self.n[p][:, None], self.i[p][:, None], self.n[y][None], self.i[y][None])
+            if self.cross:
+                good &= self.side[p][:, None] != self.side[y][None]
+            a, b = np.nonzero(good)
+            yield p[a], y[b], d[a, b]
+
+    def forest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A pair for each part that may be near others, the closest one: as many as parts at most."""
+        by_part = np.split(np.argsort(self.part, kind="stable"), np.cumsum(self.counts)[:-1])
+        todo = sorted(by_part, key=lambda rows: -len(rows))
+        while len(todo) > 1:
+            main, rest = todo[0], []
+            for rows in todo[1:]:
+                found = [(d.min(), a[d.argmin()], b[d.argmin()]) for a, b, d in self.near(rows, main) if len(d)]
+                if found:
+                    _, a, b = min(found)
+                    yield np.array([a]), np.array([b])
+                    main = np.concatenate([main, rows])
+                else:
+                    rest.append(rows)
+            todo = rest
+
+    def all(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of different parts that may be near."""
+        main = self.counts.argmax()
+        for x in np.flatnonzero(self.part != main):
+            y = np.flatnonzero((self.part == main) | (self.part > self.part[x]))
+            y = y[self.part[y] != self.part[x]]
+            for a, b, _ in self.near(np.array([x]), y):
+                yield a, b
+
+
 def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, levels): those that lead many prefixes, over at most about ``ORDER_DOCS`` of the n sets. Any choice is exact; this one keeps lists short."""
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -466,7 +523,8 @@ def near_groups(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     1. pairs that the BK-trees link over SimHash fingerprints of the shingles, which join most of a large group's copies;
     2. as that misses pairs at 0.8, all pairs it leaves apart that share a shingle of their ``prefix``. Where over ``MANY`` sets share one,
-       all are compared with the one that has it earliest, and pairs that this leaves unconnected after that.
+       pairs whose sketches differ in more places than near sets can are passed over; the closest pair of each two parts that are apart
+       comes first, and what this leaves apart after that.
 
     ``docs`` is read several times and joined by ``key``: best bucketed by it.
     """
@@ -527,15 +585,21 @@ def near_groups(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         p, q = np.where(v[p] > v[q], q, p), np.where(v[p] > v[q], p, q)
         yield [np.zeros(len(p), np.int64), v[p], v[q], size[p], size[q], np.zeros(len(p), np.int32)]
 
+    def closest(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        """(a, b) of a long list's forest."""
+        _, v, size, at, root, bits, side, cross = cols
+        for x, y in _LongList(v, size, at, root, bits, side, bool(cross[0])).forest():
+            yield [np.minimum(v[x], v[y]), np.maximum(v[x], v[y])]
+
     def apart(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        """(a, b): pairs of a long list that may be near and are not connected yet; most of the list mostly is."""
-        _, v, size, at, root = cols
-        _, part, counts = np.unique(root, return_inverse=True, return_counts=True)
-        main = counts.argmax()
-        for x in np.flatnonzero(part != main):
-            y = np.flatnonzero((part == main) | (part > part[x]))
-            y = v[y[(part[y] != part[x]) & may_be_near(size[x], at[x], size[y], at[y])]]
-            yield [np.minimum(v[x], y), np.maximum(v[x], y)]
+        """(a, b, n, m) of all pairs that a long list leaves apart."""
+        _, v, size, at, root, bits, side, cross = cols
+        for x, y in _LongList(v, size, at, root, bits, side, bool(cross[0])).all():
+            yield [np.minimum(v[x], v[y]), np.maximum(v[x], v[y]), size[x], size[y]]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(shingle_set(t.as_py())) for t in batch.column(1)], pa.binary())], names=["v", "bits"])
 
     rows = texts.join(part, "v", "left").select("v", "text", F.coalesce("root", "v").alias("root")).mapInArrow(deal, row_ddl)
     met = scratch.keep(_lists(rows, n, pairs, "key long, a long, b long, n int, m int, i int"), "met")
@@ -546,14 +610,29 @@ def near_groups(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     few = few.join(heavy.select(F.col("v").alias("a"), F.col("h").alias("ha")), "a", "left").join(heavy.select(F.col("v").alias("b"), F.col("h").alias("hb")), "b", "left")
     # What two prefixes share and what may follow one of them bounds the overlap.
     few = few.where("9 * (c + least(coalesce(ha, 0), coalesce(hb, 0)) + (4 * greatest(n, m) + 4) div 5 - 1) >= 4 * (n + m)").select("a", "b")
-    first = many.groupBy("key").agg(F.min(F.struct("i", "n", "v")).alias("l"))
-    led = many.join(first, "key").where("v <> l.v AND 5 * least(n, l.n) >= 4 * greatest(n, l.n) AND 9 * (least(i, l.i) + least(n - i, l.n - l.i)) >= 4 * (n + l.n)")
-    led = led.select(F.least("v", "l.v").alias("a"), F.greatest("v", "l.v").alias("b"))
-    links = links.union(_verified(scratch.keep(few.union(led).distinct(), "candidates"), texts, scratch, "near"))
+    few = _verified(scratch.keep(few, "candidates"), texts, scratch, "near")
+    links = links.union(few)
     if not many.isEmpty():
-        part = components(links, Scratch(spark)).withColumnRenamed("id", "v")
-        rest = _lists(many.join(part, "v", "left").select("key", "v", "n", "i", F.coalesce("root", "v").alias("root")), n, apart, "a long, b long")
-        links = links.union(_verified(scratch.keep(rest.distinct(), "others"), texts, scratch, "rest"))
+        drawn = scratch.keep(texts.join(heavy.select("v"), "v", "left_semi").select("v", "text").mapInArrow(draw, "v long, bits binary"), "sketches")
+        # A list of over BLOCK is dealt to several tasks by pairs of blocks.
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = many.join(many.groupBy("key").agg(F.count("*").alias("size")), "key").withColumn("side", F.pmod(F.xxhash64("v", F.lit(3)), blocks).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("key"), "v", "n", "i", "side", (F.col("side") != F.col("other")).alias("cross"))
+        dealt = scratch.keep(dealt, "dealt_lists")
+
+        def lists(links: DataFrame, of: Callable, ddl: str) -> DataFrame:
+            part = components(links, Scratch(spark)).withColumnRenamed("id", "v")
+            rows = dealt.join(part, "v", "left").join(drawn, "v")
+            return _lists(rows.select("key", "v", "n", "i", F.coalesce("root", "v").alias("root"), "bits", "side", "cross"), n, of, ddl)
+
+        tried = scratch.keep(lists(links, closest, "a long, b long").distinct(), "tried")
+        links = links.union(_verified(tried, texts, scratch, "joined"))
+        rest = lists(links, apart, "a long, b long, n int, m int")
+        # Pairs that also share a shingle of a short list are decided above, so the long lists that a pair shares are all that its prefixes share.
+        rest = rest.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+        rest = rest.where("9 * (c + (4 * greatest(n, m) + 4) div 5 - 1) >= 4 * (n + m)").select("a", "b").join(tried, ["a", "b"], "left_anti")
+        links = links.union(_verified(scratch.keep(rest, "others"), texts, scratch, "rest"))
     roots = components(links, scratch)
     named = distinct.join(roots.withColumnRenamed("id", "v"), "v", "left").select("x", "y", F.coalesce("root", "v").alias("root"))
     return names.join(named, ["x", "y"]).select(F.col("key").alias(key), "root")
