@@ -5,14 +5,17 @@ earlier, by (document, position). Each window is named by the smallest hash amon
 ``anchor`` tokens, the leftmost of equal ones, so equal windows share an anchor at the same offset, and neighbouring
 windows mostly share theirs: a row stands for an anchor with all windows that it names (their tokens are its context).
 
-1. Anchors that occur once in the corpus can't hold a repeated window and go; counting is map-side combined.
-2. Rows with equal contexts meet: all but the earliest are repeated in full, however many there are.
-3. Where an anchor has several distinct contexts, these (one row each) are dealt by anchor to the
-   operator's own structure, which finds equal windows among them. An anchor with over ``HOT`` distinct contexts
-   isn't gathered: its windows are compared by aggregation over their 128-bit hashes instead.
-
-So what is shuffled is one short row per few tens of tokens, then the contexts in question, and texts only to
-cut contexts and to remove. Every step is written to the shared folder before the next one reads it.
+1. Rows of equal contexts (an anchor and two more hashes, 192 bits) in one slice of documents meet before the shuffle: all but the earliest are
+   repeated in full. So a text with many copies sends little.
+2. The rest is dealt and sorted by anchor, once, and read in that order: later rows of equal contexts are repeated in
+   full, anchors that occur once go, and where an anchor has several distinct contexts, these (one row each) are asked for.
+3. Contexts that are asked for are cut from the texts and dealt by anchor to the operator's own structure, which finds
+   equal windows among them. A group of over ``HOT`` contexts is split: its windows become rows of their own, grouped by
+   their prefix to the anchor's end, then by longer prefixes, until every group fits. A prefix as long as the window
+   leaves nothing to compare: such a group is one class, and its earliest row is found by aggregation.
+
+What is shuffled is the texts once (kept in buckets, so later joins leave them where they are), one short row per few tens of tokens, and the contexts in
+question. Every step is written to the shared folder before the next one reads it.
 """
 
 from __future__ import annotations
@@ -21,15 +24,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_schema, bound_batches, partitions
 
-HOT = 2_000
+#: Contexts in a group that one task takes whole.
+HOT = 4_000
 CHUNK = 1 << 20
-#: Tokens that one in-memory structure is built over at most (beyond that only if one anchor's contexts have more).
+#: Bytes of contexts that one in-memory structure is built over at most (beyond that only for one group's).
 ROOM = 1 << 19
+#: Bytes and documents of a slice, in which equal contexts meet before the shuffle.
+SLICE_BYTES, SLICE_DOCS = 4 << 20, 512
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
@@ -51,14 +58,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(running sums, inverse powers): ``(s[b] - s[a]) * down[a]`` is a hash of the tokens from a to b, wherever they stand."""
+    up, down = _power(len(x) + 1)
+    s = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * up[:-1], out=s[1:])
+    return s, down
+
+
 def anchors(a: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(key, context hash, first window, anchor's offset in it, number of windows) of a document's tokens ``a`` (64-bit hashes)."""
+    """(key, two context hashes, first window, anchor's offset in it, number of windows) of a document's tokens ``a`` (64-bit hashes)."""
     parts = []
     for lo in range(0, max(0, len(a) - length + 1), CHUNK):
         x = a[lo : lo + CHUNK + length - 1]
-        up, down = _power(len(x) + 1)
-        s = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(x * up[:-1], out=s[1:])
+        s, down = _sums(x)
         h = _mix((s[anchor:] - s[:-anchor]) * down[: len(x) - anchor + 1])
         m = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
         size, width = 1, length - anchor + 1
@@ -71,94 +84,119 @@ def anchors(a: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
         st = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
         en = np.append(st[1:], len(pos))
         p = pos[st]
-        whole = _mix((s[en - 1 + length] - s[st]) * down[st] + (p - st).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (en - st).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        parts.append((h[p], whole, st + lo, p - st, en - st))
+        shape = (p - st).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (en - st).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        t, _ = _sums(_mix(x + np.uint64(0x2545F4914F6CDD1D)))
+        whole, more = (_mix((v[en - 1 + length] - v[st]) * down[st] + shape) for v in (s, t))
+        parts.append((h[p], whole, more, st + lo, p - st, en - st))
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def windows(x: np.ndarray, length: int) -> np.ndarray:
-    """A second 64-bit hash of each window of ``x``, independent of the one by which contexts meet."""
-    x = _mix(x + np.uint64(0x2545F4914F6CDD1D))
-    up, down = _power(len(x) + 1)
-    s = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * up[:-1], out=s[1:])
-    return _mix((s[length:] - s[:-length]) * down[: len(x) - length + 1])
-
-
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def numbered(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """(uid, doc_id, text): uid is doc_id where that is a key; else numbers in the order of (doc_id, text hash), nulls first."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     odd = src.groupBy("doc_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("doc_id").isNull())
     if odd.isEmpty():
         return src.select(F.col("doc_id").alias("uid"), "doc_id", "text")
     hashed = src.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    ids = hashed.select("doc_id", "th").distinct().orderBy(F.asc_nulls_first("doc_id"), "th").rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))
-    known = docs.sparkSession.createDataFrame(ids, "d long, t long, uid long")
+    ids = hashed.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct().orderBy(F.asc_nulls_first("d"), "t")
+    known = scratch.keep(ids.withColumn("uid", F.monotonically_increasing_id()), "ids")
     return hashed.join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("uid", "doc_id", "text")
 
 
+def _met(key: np.ndarray, whole: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Which rows have the context of the row before them."""
+    return np.concatenate([[False], (key[1:] == key[:-1]) & (whole[1:] == whole[:-1]) & (more[1:] == more[:-1])]) if len(key) else np.zeros(0, bool)
+
+
 def spans(
     rows: DataFrame, scratch: Scratch, length: int, anchor: int, tokens: Callable[[str | None], np.ndarray], dtype: str, spread: Callable[[np.ndarray], np.ndarray],
-    same: Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]],
+    same: Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]],
 ) -> DataFrame:
-    """(uid, starts, ends): the token spans of repeated windows of each row of ``rows`` (uid, text) that has any.
+    """(uid, spans): the token spans of repeated windows of each row of ``rows`` (uid, text; best bucketed by uid) that has any.
 
     ``tokens`` gives a text's tokens as ``dtype``; ``spread`` makes 64-bit hashes of them; ``same`` gets contexts with their anchors'
-    keys, offsets and numbers of windows, and gives for each class of equal windows arrays (context, window in it).
+    keys, offsets and numbers of windows, and gives for each class of equal windows arrays (class, context, window in it).
     """
     spark = rows.sparkSession
     n = partitions(spark)
     bound_batches(spark)
-    seen = "key long, whole long, uid long, st int, off int, n int"
-    seen_schema = arrow_schema(seen)
+    # A row with off < 0 is a span that is known to be repeated, from st to n.
+    seen, found_ddl, cut_ddl = "key long, whole long, more long, uid long, st int, off int, n int", "key long, uid long, st int, off int, n int", "key long, uid long, st int, off int, n int, context binary"
+    seen_schema, found_schema, cut_schema, span_schema = map(arrow_schema, (seen, found_ddl, cut_ddl, "uid long, a int, b int"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found, uids = [], part.column(0).to_numpy()
-                for i in range(part.num_rows):
-                    key, whole, st, off, k = anchors(spread(tokens(part.column(1)[i].as_py())), length, anchor)
-                    found.append((key.view(np.int64), whole.view(np.int64), np.full(len(key), uids[i]), st.astype(np.int32), off.astype(np.int32), k.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=seen_schema)
-
-    every = scratch.keep(rows.select("uid", "text").mapInArrow(find, seen), "anchors")
-    often = scratch.keep(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "often")
-    scratch.reclaim()
-    again = scratch.keep(every.join(often, "key", "left_semi"), "again")
-    scratch.drop("anchors", "often")
-    scratch.reclaim()
-    first = again.groupBy("key", "whole").agg(F.min(F.struct("uid", "st")).alias("first"), F.first("off").alias("off"), F.first("n").alias("n"))
-    first = scratch.keep(first, "first")
-    # All rows of equal contexts but the earliest are repeated in full.
-    copies = again.join(first.select("key", "whole", "first"), ["key", "whole"]).where((F.col("uid") != F.col("first.uid")) | (F.col("st") != F.col("first.st")))
-    copies = copies.select("uid", F.col("st").alias("a"), (F.col("st") + F.col("n") - 1 + length).alias("b"))
-    copies = scratch.keep(copies, "copies")
-    several = first.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    asked = first.join(several, "key").select(F.col("first.uid").alias("uid"), F.struct("key", F.col("first.st").alias("st"), "off", "n", (F.col("kinds") > HOT).alias("hot")).alias("x"))
-    asked = scratch.keep(asked.groupBy("uid").agg(F.collect_list("x").alias("xs")), "asked")  # a document's own anchors
-    scratch.drop("again", "first")
-    scratch.reclaim()
-
-    cut_ddl = "key long, uid long, st int, off int, n int, hot boolean, context binary"
-    cut_schema = arrow_schema(cut_ddl)
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            part = size // SLICE_BYTES + np.arange(len(size)) // SLICE_DOCS
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist() if len(part) else []
+            uids = batch.column(0).to_numpy()
+            for lo, hi in zip(edge, edge[1:]):
+                cols: list[tuple[np.ndarray, ...]] = []
+                for i in range(lo, hi):
+                    got = anchors(spread(tokens(batch.column(1)[i].as_py())), length, anchor)
+                    cols.append((*got, np.full(len(got[0]), uids[i])))
+                key, whole, more, st, off, k, uid = (np.concatenate(c) for c in zip(*cols))
+                order = np.lexsort((st, uid, more, whole, key))
+                again = _met(key[order], whole[order], more[order])
+                keep, copy = order[~again], order[again]
+                copy = copy[np.lexsort((st[copy], uid[copy]))]
+                u, a, b = uid[copy], st[copy], st[copy] + k[copy] - 1 + length
+                new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (a[1:] > b[:-1])])) if len(u) else np.zeros(0, np.int64)
+                last = np.append(new[1:], len(u)) - 1 if len(u) else new
+                u, a, b = u[new], a[new], b[last]
+                none = np.zeros(len(u), np.int64)
+                out = [(key[keep].view(np.int64), _mix(u.astype(np.uint64) + np.uint64(_BASE)).view(np.int64)), (whole[keep].view(np.int64), none), (more[keep].view(np.int64), none), (uid[keep], u), (st[keep], a), (off[keep], none - 1), (k[keep], b)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(out, seen_schema)], schema=seen_schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key and context: spans of later rows of a context, and the first row of each context of a key that has several."""
+        before, held = None, None
+        for batch in batches:
+            key, whole, more, uid, st, off, k = cols = [c.to_numpy() for c in batch.columns]
+            known = off < 0
+            out = [(key[known], uid[known], st[known], off[known], k[known])]
+            key, whole, more, uid, st, off, k = (c[~known] for c in cols)
+            if len(key):
+                again = _met(key, whole, more)
+                other = np.concatenate([[True], key[1:] != key[:-1]])
+                if before is not None:
+                    again[0], other[0] = (key[0], whole[0], more[0]) == before, key[0] != before[0]
+                before = key[-1], whole[-1], more[-1]
+                out.append((key[again], uid[again], st[again], np.full(again.sum(), -1, np.int32), st[again] + k[again] - 1 + length))
+                first = np.flatnonzero(~again)
+                if len(first):
+                    lone = other[first]  # the first context of its key, asked for if another one follows
+                    if held is not None and not lone[0]:
+                        out.append(held)
+                    asked = first[~lone | np.append(~lone[1:], False)]
+                    out.append((key[asked], uid[asked], st[asked], off[asked], k[asked]))
+                    at = first[-1:]
+                    held = (key[at], uid[at], st[at], off[at], k[at]) if lone[-1] else None
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(zip(*out), found_schema)], schema=found_schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for i in range(batch.num_rows):
                 t, uid = tokens(batch.column(1)[i].as_py()), batch.column(0)[i].as_py()
-                for x in batch.column(2)[i].as_py():
-                    out.append((x["key"], uid, x["st"], x["off"], x["n"], x["hot"], t[x["st"] : x["st"] + x["n"] - 1 + length].tobytes()))
-            if out:
+                out = [(x["key"], uid, x["st"], x["off"], x["n"], t[x["st"] : x["st"] + x["n"] - 1 + length].tobytes()) for x in batch.column(2)[i].as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), cut_schema)], schema=cut_schema)
 
-    contexts = scratch.keep(rows.select("uid", "text").join(asked, "uid").mapInArrow(cut, cut_ddl), "contexts")
-    scratch.drop("asked")
-    scratch.reclaim()
-    span_schema = arrow_schema("uid long, a int, b int")
+    def longer(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The windows of contexts as rows, keyed by their prefix to the anchor's end, or of ``least`` tokens where that is longer."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for key, uid, st, off, k, ctx in zip(*(c.to_pylist() for c in batch.columns)):
+                    t = np.frombuffer(ctx, dtype)
+                    s, down = _sums(spread(t))
+                    i = np.arange(k)
+                    end = i + np.maximum(off - i + anchor, least)
+                    h = _mix((s[end] - s[i]) * down[i] + _mix(np.array([key], np.int64).view(np.uint64) + (off - i + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(k, uid)), pa.array((st + i).astype(np.int32)), pa.array((off - i).astype(np.int32)), pa.array(np.ones(k, np.int32)), pa.array([t[j : j + length].tobytes() for j in range(k)])], schema=cut_schema)
+
+        return run
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, own, size = None, [], [], 0
@@ -177,9 +215,8 @@ def spans(
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         keys, uid, st, off, k = (np.array(c) for c in list(zip(*rows))[:5])
-        texts = [np.frombuffer(r[5], dtype) for r in rows]
         found = []
-        for cls, own, at in same(texts, keys, off, k):
+        for cls, own, at in same([np.frombuffer(r[5], dtype) for r in rows], keys, off, k):
             start = st[own] + at
             order = np.lexsort((start, uid[own], cls))
             cls, u, s = cls[order], uid[own][order], start[order]
@@ -193,36 +230,40 @@ def spans(
         s = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
         order = np.lexsort((s, u))
         u, s = u[order], s[order]
-        new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (s[1:] != s[:-1] + 1)])) if len(u) else np.zeros(0, np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (s[1:] > s[:-1] + 1)])) if len(u) else np.zeros(0, np.int64)
         last = np.append(new[1:], len(u)) - 1 if len(u) else new
         return pa.RecordBatch.from_arrays([pa.array(u[new].astype(np.int64)), pa.array(s[new].astype(np.int32)), pa.array((s[last] + length).astype(np.int32))], schema=span_schema)
 
-    dealt = contexts.where(~F.col("hot")).select("key", "uid", "st", "off", "n", "context").repartition(n, "key").sortWithinPartitions("key")
-    cold = dealt.mapInArrow(match, "uid long, a int, b int")
-
-    burst_ddl = "key long, off int, w long, v long, uid long, a int"
-    schema = arrow_schema(burst_ddl)
-
-    def burst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, uid, st, off, k, ctx in zip(*(c.to_pylist() for c in batch.columns)):
-                x = spread(np.frombuffer(ctx, dtype))
-                w, i = windows(x, length).view(np.int64), np.arange(k)
-                v = windows(_mix(x), length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, key)), pa.array((off - i).astype(np.int32)), pa.array(w), pa.array(v), pa.array(np.full(k, uid)), pa.array((st + i).astype(np.int32))], schema=schema)
-
-    single = contexts.where("hot").select("key", "uid", "st", "off", "n", "context").mapInArrow(burst, burst_ddl)
-    if contexts.where("hot").isEmpty():
-        hot = None
+    own = rows.select("uid", "text")
+    found = own.mapInArrow(find, seen).repartition(n, "key").sortWithinPartitions("key", "whole", "more", "uid", "st").mapInArrow(scan, found_ddl)
+    found = scratch.keep(found, "found")
+    scratch.reclaim()
+    asked = found.where("off >= 0").groupBy("uid").agg(F.collect_list(F.struct("key", "st", "off", "n")).alias("xs"))  # a document's own anchors
+    rest = scratch.keep(own.join(asked, "uid").mapInArrow(cut, cut_ddl), "contexts")
+    scratch.reclaim()
+    parts = [found.where("off < 0").select("uid", F.col("st").alias("a"), F.col("n").alias("b"))]
+    for step, least in enumerate((anchor, (anchor + length) // 2, length)):
+        large = scratch.keep(rest.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), f"large{step}")
+        if large.isEmpty():
+            break
+        fits = rest.join(large, "key", "left_anti")
+        parts.append(fits.repartition(n, "key").sortWithinPartitions("key").mapInArrow(match, "uid long, a int, b int"))
+        rest = scratch.keep(rest.join(large, "key", "left_semi").mapInArrow(longer(least), cut_ddl), f"split{step}")
     else:
-        single = scratch.keep(single, "single")
-        least = single.groupBy("key", "off", "w", "v").agg(F.min(F.struct("uid", "a")).alias("first"), F.count("*").alias("c")).where("c > 1")
-        hot = single.join(least, ["key", "off", "w", "v"]).where((F.col("uid") != F.col("first.uid")) | (F.col("a") != F.col("first.a"))).select("uid", "a", (F.col("a") + length).cast("int").alias("b"))
-    found = copies.union(cold) if hot is None else copies.union(cold).union(hot)
-    found = scratch.keep(found.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    scratch.drop("copies", "contexts", "single")
+        # Whole windows are the prefix: a group is one class.
+        first = rest.groupBy("key", F.xxhash64("context").alias("w")).agg(F.min(F.struct("uid", "st")).alias("first"), F.count("*").alias("c")).where("c > 1")
+        later = rest.withColumn("w", F.xxhash64("context")).join(first, ["key", "w"]).where((F.col("uid") != F.col("first.uid")) | (F.col("st") != F.col("first.st")))
+        parts.append(later.select("uid", F.col("st").alias("a"), (F.col("st") + length).cast("int").alias("b")))
+        rest = None
+    if rest is not None:
+        parts.append(rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(match, "uid long, a int, b int"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    out = scratch.keep(every.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    scratch.drop("found", "contexts", *(f"split{k}" for k in range(3)))
     scratch.reclaim()
-    return found
+    return out
 
 
 def covered(n: int, found: list[dict] | None) -> np.ndarray:

@@ -9,7 +9,7 @@ runs of such suffixes are the repeated strings.
 
 Defined results: null and empty texts lose nothing, and neither do texts below the minimum length; very long texts are read in chunks
 and compared whole; identical rows share one result; rows that share a doc_id but not the text are ordered by text hash;
-a null doc_id comes first; an empty table gives no row; extra columns are ignored. Equal contexts are recognised by 128 bits of hash.
+a null doc_id comes first; an empty table gives no row; extra columns are ignored. Equal contexts are recognised by 192 bits of hash.
 """
 
 from __future__ import annotations
@@ -119,7 +119,7 @@ def remove(docs: DataFrame, least: int = LENGTH, id_col: str = "doc_id", text_co
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, kept (binary)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = numbered(docs, id_col, text_col)
+    rows = scratch.bucketed(numbered(docs, scratch, id_col, text_col), "texts", "uid")
     anchor = max(1, least // 4 - 1)
     found = spans(rows, scratch, least, anchor, _bytes, "u1", lambda t: _CODE[t], lambda *a: equal_windows(*a, least=least))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text

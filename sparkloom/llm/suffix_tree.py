@@ -1,15 +1,13 @@
 """Substring dedup of words: suffix trees over groups of suffixes that share a prefix.
 
-Suffixes start at anchors (see ``repeats``), so a group holds the suffixes with one prefix of
-``ANCHOR`` words; a group too large for memory is split by the longest prefix there is, the rest of the window.
-A group's suffixes are sorted and their common prefixes taken, which is its tree: the node of
-a suffix at a depth is the run of neighbours that share so many words. A second tree over the words before the
-anchor, read backward, gives nodes on the left. Windows are equal when they lie at the same
-offset of the same node in both trees, their depths adding up to the window: the deep internal nodes that make up the repeats.
+Suffixes are grouped by anchors (see ``repeats``), runs of ``ANCHOR`` words that equal windows share. A group too large for memory
+is split by prefixes: each suffix by its words up to the anchor's end, so the prefixes have from ``ANCHOR`` to all words of a window, then by longer ones.
+A group's suffix tree is its suffixes in order with the number of words that neighbours share: an internal node is a
+run of neighbours that share at least its depth. The deep ones, of a window's words or more, are the repeats.
 
 Defined results: null and blank texts have no words; texts of fewer words than a window lose nothing; very long texts are
 compared whole; identical rows share one result; rows that share a doc_id but not the text are ordered by text hash; a null
-doc_id comes first; an empty table gives no row; extra columns are ignored. Words and equal contexts are recognised by 64 and 128 bits of hash.
+doc_id comes first; an empty table gives no row; extra columns are ignored. Words and equal contexts are recognised by 64 and 192 bits of hash.
 """
 
 from __future__ import annotations
@@ -40,50 +38,62 @@ def _hashes(text: str | None) -> np.ndarray:
     return np.array([h(w) for w in words(text)], np.uint64)
 
 
-def tree(keys: np.ndarray, strings: np.ndarray) -> np.ndarray:
-    """Node numbers of each string (rows of words, zero beyond its end) at each depth: column d is the node at depth d, within its key."""
-    n, width = strings.shape
-    order = np.lexsort((*strings.T[::-1], keys))
-    s = strings[order]
-    same = np.ones(n - 1, bool) & (keys[order][1:] == keys[order][:-1]) if n > 1 else np.zeros(0, bool)
-    node = np.empty((n, width + 1), np.int64)
-    for d in range(width + 1):
-        if d:
-            same = same & (s[1:, d - 1] == s[:-1, d - 1])
-        node[order, d] = np.concatenate([[0], np.cumsum(~same)])
-    return node
-
-
-def equal_windows(texts: list[np.ndarray], keys: np.ndarray, off: np.ndarray, k: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Classes of equal windows: (class, context, window) arrays, one triple for each offset of the anchor."""
-    n, most = len(texts), length - anchor
-    right, left = np.zeros((n, length), np.uint64), np.zeros((n, most), np.uint64)
-    for i, (t, o) in enumerate(zip(texts, off)):
-        r = t[o : o + length]
-        right[i, : len(r)] = r
-        before = t[max(0, o - most) : o][::-1]
-        left[i, : len(before)] = before
-    after, before = tree(keys, right), tree(keys, left)
-    out = []
-    for o in range(most + 1):
-        own = np.flatnonzero((off >= o) & (off - o < k))
-        if len(own) > 1:
-            pair = after[own, length - o] * np.int64(n + 1) + before[own, o]
-            out.append((np.unique(pair, return_inverse=True)[1], own, off[own] - o))
-    return out
+def tree(s: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts in the order of their suffixes, words shared with the one before), both up to ``depth`` words.
+
+    Runs of 1, 2, 4, ... words get ranks in order, each from two runs of half the size, so a suffix is compared by two ranks and shared words are counted by halving.
+    """
+    n, size = len(s), 1
+    ranks = [(1, np.unique(s, return_inverse=True)[1].astype(np.int64))]
+    while size * 2 <= depth:
+        r = ranks[-1][1]
+        after = np.full(n, -1, np.int64)
+        after[: n - size] = r[size:]
+        size *= 2
+        ranks.append((size, np.unique(r * np.int64(n + 1) + after, return_inverse=True)[1]))
+    r = ranks[-1][1]
+    starts = starts[np.lexsort((r[np.minimum(starts + depth - size, n - 1)], r[starts]))]
+    shared = np.zeros(len(starts), np.int64)
+    for size, r in reversed(ranks):
+        a, b = starts[1:] + shared[1:], starts[:-1] + shared[1:]
+        fits = (shared[1:] + size <= depth) & (a < n) & (b < n)
+        shared[1:] += size * (fits & (r[np.minimum(a, n - 1)] == r[np.minimum(b, n - 1)]))
+    return starts, shared
+
+
+def deep_nodes(shared: np.ndarray, depth: int) -> np.ndarray:
+    """Number of the internal node of at least this depth that each suffix in order is below, -1 where there is none."""
+    deep = shared >= depth
+    below = deep | np.append(deep[1:], False)
+    return np.where(below, np.cumsum(~deep), -1)
+
+
+def equal_windows(texts: list[np.ndarray], keys: np.ndarray, off: np.ndarray, k: np.ndarray, length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Classes of equal windows: (class, context, window) arrays."""
+    lens = np.array([len(t) for t in texts])
+    at = np.cumsum(lens) - lens
+    own = np.repeat(np.arange(len(texts)), k)
+    inside = np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k)
+    order, shared = tree(np.concatenate(texts), at[own] + inside, length)
+    node = deep_nodes(shared, length)
+    order, node = order[node >= 0], node[node >= 0]
+    own = np.searchsorted(at, order, side="right") - 1
+    return [(node, own, order - at[own])]
 
 
 def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    rows = numbered(docs, id_col, text_col).select(F.col("uid").alias("__uid"), F.col("text").alias("__text"), "doc_id")
-    return _removed(rows, Scratch(docs.sparkSession), length, ["doc_id"], ("n_words", "n_removed", "kept_sha256"))
+    scratch = Scratch(docs.sparkSession)
+    rows = numbered(docs, scratch, id_col, text_col).select(F.col("uid").alias("__uid"), F.col("text").alias("__text"), "doc_id")
+    return _removed(rows, scratch, length, ["doc_id"], ("n_words", "n_removed", "kept_sha256"))
 
 
 def _removed(rows: DataFrame, scratch: Scratch, length: int, carried: list[str], names: tuple[str, str, str], kept_text: str | None = None) -> DataFrame:
     """Columns ``carried`` of ``rows`` (__uid, __text and others) with the figures and, if named, the kept text."""
     anchor = max(1, length * ANCHOR // LENGTH)
+    rows = scratch.bucketed(rows, "texts", "__uid")
     own = rows.select(F.col("__uid").alias("uid"), F.col("__text").alias("text"))
-    found = spans(own, scratch, length, anchor, _hashes, "u8", lambda t: t, lambda *a: equal_windows(*a, length=length, anchor=anchor))
+    found = spans(own, scratch, length, anchor, _hashes, "u8", lambda t: t, lambda *a: equal_windows(*a, length=length))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     made = f"`{names[0]}` long, `{names[1]}` long, `{names[2]}` string" + (f", `{kept_text}` string" if kept_text else "")
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), made])

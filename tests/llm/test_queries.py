@@ -84,8 +84,9 @@ def test_suffix_tree(docs, rows):
     assert {tuple(r) for r in suffix_tree.remove(docs).collect()} == by_words(rows)
 
 
-def test_hot_anchors_by_aggregation(docs, rows, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 1)
+@pytest.mark.parametrize("hot", [1, 3])
+def test_large_groups_are_split(docs, rows, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     assert {tuple(r) for r in suffix_array.remove(docs).collect()} == by_bytes(rows)
     assert {tuple(r) for r in suffix_tree.remove(docs).collect()} == by_words(rows)
 
@@ -98,6 +99,29 @@ def test_substrings_with_clashing_ids(spark):
     assert suffix_array.remove(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [64, 257])
+def test_long_texts_are_read_in_chunks(docs, rows, monkeypatch, chunk):
+    """Windows across the seams of chunks are found like any other."""
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    assert {tuple(r) for r in suffix_array.remove(docs).collect()} == by_bytes(rows)
+    assert {tuple(r) for r in suffix_tree.remove(docs).collect()} == by_words(rows)
+
+
+def test_subtrees_against_sorting():
+    rnd = random.Random(2)
+    for depth in (1, 2, 3, 5, 8, 20):
+        for _ in range(20):
+            s = [rnd.randrange(3) for _ in range(rnd.randrange(depth, 90))]
+            starts = np.array(rnd.sample(range(len(s) - depth + 1), rnd.randrange(1, len(s) - depth + 2)))
+            order, shared = suffix_tree.tree(np.array(s, np.uint64), starts, depth)
+            own = [tuple(s[i : i + depth]) for i in order.tolist()]
+            assert own == sorted(own) and sorted(order.tolist()) == sorted(starts.tolist())
+            assert shared.tolist()[1:] == [len(list(itertools.takewhile(lambda p: p[0] == p[1], zip(a, b)))) for a, b in zip(own, own[1:])]
+            node = suffix_tree.deep_nodes(shared, depth)
+            for i, j in itertools.combinations(range(len(own)), 2):
+                assert (own[i] == own[j]) == (node[i] == node[j] >= 0)
+
+
 def test_intervals_against_sorting():
     rnd = random.Random(1)
     for least in (1, 2, 5, 9):
@@ -223,9 +247,10 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("many,common", [(64, 8), (2, 2)])
-def test_near_groups_against_all_pairs(spark, monkeypatch, many, common):
+@pytest.mark.parametrize("many,common,block", [(64, 8, 4096), (2, 2, 4096), (2, 2, 3)])
+def test_near_groups_against_all_pairs(spark, monkeypatch, many, common, block):
     monkeypatch.setattr(simhash, "MANY", many)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "COMMON", common)
     texts = near_copies()
     sets = [five_words(t) for t in texts]
@@ -234,6 +259,15 @@ def test_near_groups_against_all_pairs(spark, monkeypatch, many, common):
     assert {tuple(r) for r in simhash.near_groups(df, "id").collect()} == set(root.items())
 
 
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 50, 900, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 5], rng.integers(0, 1 << 63, n // 10).astype(np.uint64)]))
+        d = np.bitwise_count(np.frombuffer(simhash.sketch(a), np.uint64) ^ np.frombuffer(simhash.sketch(b), np.uint64)).sum()
+        assert d <= len(np.setxor1d(a, b)) and simhash.sketch(a) == simhash.sketch(a.copy())
+
+
 def test_deduplicate_keeps_what_is_below(spark):
     """Edited relatives of a similarity of 0.65 to 0.79 all stay."""
     rnd, texts = random.Random(13), []
