@@ -10,9 +10,9 @@ windows mostly share theirs: a row stands for an anchor with all windows that it
 2. The rest is dealt and sorted by anchor, once, and read in that order: later rows of equal contexts are repeated in
    full, anchors that occur once go, and where an anchor has several distinct contexts, these (one row each) are asked for.
 3. Contexts that are asked for are cut from the texts and dealt by anchor to the operator's own structure, which finds
-   equal windows among them. A group of over ``HOT`` contexts is split: its windows become rows of their own, grouped by
-   their prefix to the anchor's end, then by longer prefixes, until every group fits. A prefix as long as the window
-   leaves nothing to compare: such a group is one class, and its earliest row is found by aggregation.
+   equal windows among them. A group of over ``HOT`` contexts is split by more of the tokens around its anchor: windows that
+   hold the anchor in their first half share at least half a window to its right, the others as much to its left, so each context goes to
+   two groups, cut to the windows in question; then by halves of halves, until every group fits. Contexts that are equal once cut meet again.
 
 What is shuffled is the texts once (kept in buckets, so later joins leave them where they are), one short row per few tens of tokens, and the contexts in
 question. Every step is written to the shared folder before the next one reads it.
@@ -183,18 +183,24 @@ def spans(
                 out = [(x["key"], uid, x["st"], x["off"], x["n"], t[x["st"] : x["st"] + x["n"] - 1 + length].tobytes()) for x in batch.column(2)[i].as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), cut_schema)], schema=cut_schema)
 
-    def longer(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """The windows of contexts as rows, keyed by their prefix to the anchor's end, or of ``least`` tokens where that is longer."""
+    def split(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Contexts cut to the windows that hold the anchor at ``width`` + 1 neighbouring offsets, keyed by the tokens around it that all of these windows hold."""
+        room = length - anchor
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                out = []
                 for key, uid, st, off, k, ctx in zip(*(c.to_pylist() for c in batch.columns)):
                     t = np.frombuffer(ctx, dtype)
                     s, down = _sums(spread(t))
-                    i = np.arange(k)
-                    end = i + np.maximum(off - i + anchor, least)
-                    h = _mix((s[end] - s[i]) * down[i] + _mix(np.array([key], np.int64).view(np.uint64) + (off - i + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(k, uid)), pa.array((st + i).astype(np.int32)), pa.array((off - i).astype(np.int32)), pa.array(np.ones(k, np.int32)), pa.array([t[j : j + length].tobytes() for j in range(k)])], schema=cut_schema)
+                    for c in range((off - k + 1) // (width + 1), off // (width + 1) + 1):
+                        a, b = c * (width + 1), min(c * (width + 1) + width, room)
+                        i, j = off - min(b, off), off - max(a, off - k + 1)
+                        seed = np.array([key ^ (c + 1) * 0x5851F42D4C957F2D & 0x7FFFFFFFFFFFFFFF], np.int64).view(np.uint64)
+                        h = _mix((s[off + length - b] - s[off - a]) * down[off - a : off - a + 1] + _mix(seed))
+                        out.append((int(h.view(np.int64)[0]), uid, st + i, off - i, j - i + 1, t[i : j + length].tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), cut_schema)], schema=cut_schema)
 
         return run
 
@@ -242,26 +248,26 @@ def spans(
     rest = scratch.keep(own.join(asked, "uid").mapInArrow(cut, cut_ddl), "contexts")
     scratch.reclaim()
     parts = [found.where("off < 0").select("uid", F.col("st").alias("a"), F.col("n").alias("b"))]
-    for step, least in enumerate((anchor, (anchor + length) // 2, length)):
+    step, width = 0, length - anchor
+    while True:
         large = scratch.keep(rest.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), f"large{step}")
         if large.isEmpty():
             break
-        fits = rest.join(large, "key", "left_anti")
-        parts.append(fits.repartition(n, "key").sortWithinPartitions("key").mapInArrow(match, "uid long, a int, b int"))
-        rest = scratch.keep(rest.join(large, "key", "left_semi").mapInArrow(longer(least), cut_ddl), f"split{step}")
-    else:
-        # Whole windows are the prefix: a group is one class.
-        first = rest.groupBy("key", F.xxhash64("context").alias("w")).agg(F.min(F.struct("uid", "st")).alias("first"), F.count("*").alias("c")).where("c > 1")
-        later = rest.withColumn("w", F.xxhash64("context")).join(first, ["key", "w"]).where((F.col("uid") != F.col("first.uid")) | (F.col("st") != F.col("first.st")))
-        parts.append(later.select("uid", F.col("st").alias("a"), (F.col("st") + length).cast("int").alias("b")))
-        rest = None
-    if rest is not None:
-        parts.append(rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(match, "uid long, a int, b int"))
+        parts.append(rest.join(large, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key").mapInArrow(match, "uid long, a int, b int"))
+        step, width = step + 1, width // 2
+        cuts = scratch.keep(rest.join(large, "key", "left_semi").mapInArrow(split(width), cut_ddl).withColumn("w", F.xxhash64("context")), f"split{step}")
+        # What was cut away may have been all that told contexts apart. At a width of 0 a context is a window, and all of a group are equal.
+        first = cuts.groupBy("key", "off", "n", "w").agg(F.min(F.struct("uid", "st")).alias("first"))
+        again = (F.col("uid") != F.col("first.uid")) | (F.col("st") != F.col("first.st"))
+        met = scratch.keep(cuts.join(first, ["key", "off", "n", "w"]).withColumn("again", again), f"met{step}")
+        parts.append(met.where("again").select("uid", F.col("st").alias("a"), (F.col("st") + F.col("n") - 1 + length).cast("int").alias("b")))
+        rest = met.where("NOT again").select("key", "uid", "st", "off", "n", "context")
+    parts.append(rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(match, "uid long, a int, b int"))
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
     out = scratch.keep(every.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    scratch.drop("found", "contexts", *(f"split{k}" for k in range(3)))
+    scratch.drop("found", "contexts", *(f"{name}{k}" for k in range(1, step + 1) for name in ("split", "met")))
     scratch.reclaim()
     return out
 

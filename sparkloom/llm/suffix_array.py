@@ -41,7 +41,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
         r = (r << np.uint64(9)) | word[k : k + n]
     size = 7
     while True:
-        order = np.argsort(r, kind="stable")
+        order = np.argsort(r)
         if size >= depth:
             return order
         v = r[order]
