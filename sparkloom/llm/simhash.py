@@ -428,17 +428,27 @@ class _LongList:
             a, b = np.nonzero(good)
             yield p[a], y[b], d[a, b]
 
+    def _closest(self, rows: np.ndarray, main: np.ndarray) -> tuple[int, int] | None:
+        """The pair of rows whose sketches differ least among those that may be near, or one that differs in under half of what it may."""
+        best = None
+        for at in range(0, len(main), 256):
+            for a, b, d in self.near(rows, main[at : at + 256]):
+                if len(d):
+                    k = d.argmin()
+                    best = min(best or (1 << 60, 0, 0), (int(d[k]), int(a[k]), int(b[k])))
+                    if 18 * d[k] <= self.n[a[k]] + self.n[b[k]]:
+                        return best[1:]
+        return best and best[1:]
+
     def forest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """A pair for each part that may be near others, the closest one: as many as parts at most."""
+        """A close pair for each part that may be near others: as many as parts at most."""
         by_part = np.split(np.argsort(self.part, kind="stable"), np.cumsum(self.counts)[:-1])
         todo = sorted(by_part, key=lambda rows: -len(rows))
         while len(todo) > 1:
             main, rest = todo[0], []
             for rows in todo[1:]:
-                found = [(d.min(), a[d.argmin()], b[d.argmin()]) for a, b, d in self.near(rows, main) if len(d)]
-                if found:
-                    _, a, b = min(found)
-                    yield np.array([a]), np.array([b])
+                if found := self._closest(rows, main):
+                    yield np.array(found[:1]), np.array(found[1:])
                     main = np.concatenate([main, rows])
                 else:
                     rest.append(rows)
