@@ -26,22 +26,52 @@ def like(text: Column, pattern: str) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Full-text terms of a text, folded, each cut at 64 bytes."""
+    """Full-text terms of a text, folded, each cut at 64 bytes: a letter that no longer fits is left out, a narrower one after it may fit."""
     folded = F.translate(text, FOLD_FROM + SWALLOWED, FOLD_TO)
     words = F.filter(F.split(F.regexp_replace(folded, f"[^{TERM}]+", " "), " "), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(F.octet_length(w) > TERM_BYTES, F.substring(w, 1, TERM_BYTES)).otherwise(w))
+    fits = lambda out, c: F.when(F.octet_length(out) + F.octet_length(c) <= TERM_BYTES, F.concat(out, c)).otherwise(out)
+    return F.transform(words, lambda w: F.when(F.octet_length(w) > TERM_BYTES, F.aggregate(F.split(w, ""), F.lit(""), fits)).otherwise(w))
+
+
+def weighted_terms(text: Column) -> Column:
+    """(term, positions, frequency, weight) of each term of a text, in order of first occurrence.
+
+    The k-th occurrence of a term adds half of what the one before adds to its frequency, beginning with 1; the weight is the
+    frequency times 0.5 plus half of the term's share of all terms.
+    """
+    t = terms(text)
+    n = F.size(t)
+
+    def one(w: Column) -> Column:
+        at = F.filter(F.transform(t, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
+        frequency = 2 - F.pow(F.lit(2.0), 1 - F.size(at))
+        return F.struct(w.alias("term"), at.alias("positions"), frequency.alias("frequency"), (frequency * (0.5 * F.size(at) / n + 0.5)).alias("weight"))
+
+    return F.transform(F.array_distinct(t), one)
 
 
 def fold(word: str) -> str:
-    return word.translate(str.maketrans(FOLD_FROM, FOLD_TO, SWALLOWED))[:TERM_BYTES]
+    out = ""
+    for c in word.translate(str.maketrans(FOLD_FROM, FOLD_TO, SWALLOWED)):
+        if len((out + c).encode()) <= TERM_BYTES:
+            out += c
+    return out
+
+
+def _spellings(letter: str) -> str:
+    """A character class of all that folds to ``letter``."""
+    return "[" + letter + "".join(a for a, b in zip(FOLD_FROM, FOLD_TO) if b == letter) + "]"
 
 
 def _begins(word: str):
     return lambda t: t.startswith(word)
 
 
-def search(text: Column, wanted: str) -> Column:
-    """All words of ``wanted`` have to occur; ``-word`` must not, ``word*`` is a prefix. A text that is null has no words."""
+def search(text: Column, wanted: str, tokens: Column | None = None) -> Column:
+    """All words of ``wanted`` have to occur; ``-word`` must not, ``word*`` is a prefix. A text that is null has no words.
+
+    ``tokens``: the text's terms, where they are stored. Else only a text that holds the longest word asked for, wherever in a term, is taken apart.
+    """
     have, prefix, avoid = set(), set(), set()
     for word in wanted.split():
         out, start = word.startswith("-"), word.endswith("*")
@@ -51,17 +81,22 @@ def search(text: Column, wanted: str) -> Column:
         if not re.fullmatch(f"[{TERM}]+", body):
             raise QueryError(f"Non alphanumeric characters in search word '{word}'")
         if out and start:
-            raise QueryError("Exclude by prefix is not implemented")
+            raise QueryError("A word to leave out can't be a prefix")
         (avoid if out else prefix if start else have).add(body)
     if not have and not prefix and not avoid:
-        raise QueryError("Missing search token")
+        raise QueryError("There is no word to search for")
     if have & avoid:
-        raise QueryError("You can't include and exclude the same token")
-    tokens, test = terms(text), F.lit(True)
+        raise QueryError("A word is both asked for and left out")
+    stored = tokens is not None
+    tokens, test = tokens if stored else terms(text), F.lit(True)
     for w in sorted(have):
         test = test & F.array_contains(tokens, w)
     for w in sorted(prefix):
         test = test & F.exists(tokens, _begins(w))
     for w in sorted(avoid):
         test = test & ~F.array_contains(tokens, w)
+    # The longest word is looked for in the raw text, in all spellings that fold to it, before a text is taken apart.
+    longest = max((w for w in have | prefix if len(w.encode()) < TERM_BYTES - 2), key=lambda w: (len(w), w), default=None)
+    if longest and not stored:
+        test = F.when(text.rlike(f"[{SWALLOWED}]*".join(map(_spellings, longest))), test).otherwise(F.lit(False))
     return F.coalesce(test, F.lit(not have and not prefix))

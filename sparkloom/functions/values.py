@@ -114,9 +114,11 @@ def array_aggregate(fn: str, a: Column, kind: str) -> Column:
     return F.when(F.size(good) > 0, s.cast("double") / F.size(good))
 
 
-def order_by(x: Column, kind: str, ascending: bool) -> list[Column]:
-    """Sort keys with null first, then NaN, when ascending."""
-    if kind in REAL:
-        keys = [x.isNotNull(), ~F.coalesce(F.isnan(x), F.lit(False)), x]
-        return [k.asc_nulls_first() if ascending else k.desc_nulls_last() for k in keys]
-    return [x.asc_nulls_first() if ascending else x.desc_nulls_last()]
+def order_keys(x: Column, kind: str) -> list[Column]:
+    """What to sort by, ascending with nulls first, so that null comes first, then NaN."""
+    return [x.isNotNull(), ~F.coalesce(F.isnan(x), F.lit(False)), x] if kind in REAL else [x]
+
+
+def ordered(keys: list[tuple[Column, bool]], turned: bool = False) -> list[Column]:
+    """Sort keys (expression, ascending) as Spark's; ``turned``: the other way round."""
+    return [k.asc_nulls_first() if up != turned else k.desc_nulls_last() for k, up in keys]

@@ -12,7 +12,9 @@ from ..functions import values
 from ..plans.catalog import Catalog
 from ..plans.lower import Lowering, Scalar, q
 from ..plans.parser import Parser, merged, parse
-from ..plans.tree import And, Distinct, Keep, Limit, Path, Query, QueryError, Sort, Truth
+from ..plans.tree import And, Distinct, Keep, Limit, Or, Path, Query, QueryError, Restrict, Sort, Truth, Within
+
+CUTS = (Distinct, Limit, Keep, Restrict, Within)
 
 
 class Results:
@@ -20,9 +22,8 @@ class Results:
 
     def __init__(self, catalog: Catalog, cls: str, where: Any = Truth(True), order: Sequence = (), args: Sequence[Any] = ()):
         self.catalog, self.cls = catalog, catalog.get(cls)
-        if isinstance(where, str):
-            parsed = parse(where, args)
-            where, order = parsed.where, (*parsed.order, *order)
+        parsed = _query(where, args)
+        where, order = parsed.where, (*parsed.order, *order)
         self.where, self.order = where, tuple(merged(list(order)))
 
     # -- building
@@ -30,11 +31,11 @@ class Results:
     def _with(self, where=None, order=None) -> "Results":
         return Results(self.catalog, self.cls.name, self.where if where is None else where, self.order if order is None else order)
 
-    def filter(self, text: str, *args: Any) -> "Results":
+    def filter(self, text: Any, *args: Any) -> "Results":
         """And a predicate into the base one, so before any distinct; not after a limit."""
         if any(isinstance(o, Limit) for o in self.order):
             raise QueryError("Filtering results after a limit isn't known")
-        more = parse(text, args)
+        more = _query(text, args)
         return self._with(And((self.where, more.where)), (*self.order, *more.order))
 
     def sort(self, *keys: str | tuple[str, bool]) -> "Results":
@@ -52,8 +53,25 @@ class Results:
         """A caller's own test: from the frame so far to a boolean Column, which may be a pandas UDF's."""
         return self._with(order=(*self.order, Keep(test)))
 
+    def query(self, text: Any, *args: Any) -> "Results":
+        """A query over these results as a view: its predicate sees what the ordering leaves, limits and distincts included."""
+        more = _query(text, args)
+        return self._with(order=(*self.order, Restrict(more.where), *more.order)) if self._cut() else self._with(And((self.where, more.where)), (*self.order, *more.order))
+
+    def _cut(self) -> bool:
+        return any(isinstance(o, CUTS) for o in self.order)
+
     def __and__(self, other: "Results") -> "Results":
-        return self._with(And((self.where, other.where)))
+        """The objects of both, in this one's order."""
+        if other._cut():
+            return self._with(order=(*self.order, Within((other,))))
+        return self.query(other.where)
+
+    def __or__(self, other: "Results") -> "Results":
+        """The objects of either, in the order of the class."""
+        if self._cut() or other._cut():
+            return Results(self.catalog, self.cls.name, order=(Within((self, other)),))
+        return Results(self.catalog, self.cls.name, Or((self.where, other.where)))
 
     def __str__(self) -> str:
         return str(Query(self.where, self.order))
@@ -67,35 +85,57 @@ class Results:
         keys = self._fold(low, self.order) if ordered else []
         df = low.root.df
         if keys and any(isinstance(o, Sort) for o in self.order):
-            df = df.orderBy(*keys)
+            df = df.orderBy(*values.ordered(keys))
         return df.select(*[q(c) for c in self.cls.frame.columns])
 
-    def _fold(self, low: Lowering, order: Sequence) -> list[Column]:
-        """Apply sorts, distincts, limits and tests in written order. The order so far is kept as sort keys, so sorting is stable and rows are only sorted where a limit or the end needs it."""
+    def _fold(self, low: Lowering, order: Sequence) -> list[tuple[Column, bool]]:
+        """Apply sorts, distincts, limits and tests in written order. The order so far is kept as sort keys (expression, ascending), so sorting is stable and rows are only sorted where a limit or the end needs it."""
         f = low.root
-        keys: list[Column] = [q(self.cls.key).asc()] if self.cls.key else []
+        keys: list[tuple[Column, bool]] = [(q(c), True) for c in self.cls.order]
         for o in order:
             if isinstance(o, Sort):
                 new = []
                 for path, asc in o.keys:
                     x = self._single(low, path)
                     if x.via is not None:
-                        new.append(x.via.isNull().asc() if asc else x.via.isNull().desc())
-                    new += values.order_by(x.col, x.kind, asc)
+                        new.append((x.via.isNull(), asc))
+                    new += [(k, asc) for k in values.order_keys(x.col, x.kind)]
                 keys = new + keys
             elif isinstance(o, Distinct):
                 xs = [self._single(low, p) for p in o.paths]
                 for x in xs:
                     if x.via is not None:
                         f.df = f.df.where(x.via.isNotNull())
-                w = Window.partitionBy(*[x.col for x in xs]).orderBy(*(keys or [F.lit(0)]))
+                w = Window.partitionBy(*[x.col for x in xs]).orderBy(*(values.ordered(keys) or [F.lit(0)]))
                 f.df = f.df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
             elif isinstance(o, Limit):
-                f.df = (f.df.orderBy(*keys) if keys else f.df).limit(o.n)
+                f.df = (f.df.orderBy(*values.ordered(keys)) if keys else f.df).limit(o.n)
+            elif isinstance(o, Restrict):
+                low.filtered(o.where)
+            elif isinstance(o, Within):
+                both = [r.df(ordered=r._cut()).select(*[q(c).alias(f"__in_{c}") for c in self._identity()]) for r in o.others]
+                held = both[0] if len(both) == 1 else both[0].union(both[1])
+                test = [q(c).eqNullSafe(q(f"__in_{c}")) for c in self._identity()]
+                f.df = f.df.join(held, test, "left_semi")
             else:
                 f.df = f.df.where(F.coalesce(o.test(f.df), F.lit(False)))
         return keys
 
+    def _identity(self) -> tuple[str, ...]:
+        if not self.cls.order:
+            raise QueryError(f"'{self.cls.name}' has nothing that tells its objects apart")
+        return self.cls.order
+
+    def _laid(self) -> tuple[DataFrame, list[tuple[Column, bool]]]:
+        """(rows after the ordering, sort keys)."""
+        low = Lowering(self.catalog, self.cls.name)
+        low.filtered(self.where)
+        keys = self._fold(low, self.order)
+        return low.root.df, keys
+
+    def _own(self, df: DataFrame) -> DataFrame:
+        return df.select(*[q(c) for c in self.cls.frame.columns])
+
     def _single(self, low: Lowering, path: Path) -> Scalar:
         x = low.operand(low.root, self.cls, "", path)
         if not isinstance(x, Scalar):
@@ -105,7 +145,7 @@ class Results:
     def _valued(self, prop: str) -> tuple[DataFrame, Scalar]:
         low = Lowering(self.catalog, self.cls.name)
         low.filtered(self.where)
-        if any(isinstance(o, (Distinct, Limit, Keep)) for o in self.order):
+        if self._cut():
             self._fold(low, self.order)
         x = low.operand(low.root, self.cls, "", _path(prop))
         if not isinstance(x, Scalar):
@@ -118,7 +158,7 @@ class Results:
         """One row: name = (sum, min, max, avg or count, property). One pass over the objects."""
         low = Lowering(self.catalog, self.cls.name)
         low.filtered(self.where)
-        if any(isinstance(o, (Distinct, Limit, Keep)) for o in self.order):
+        if self._cut():
             self._fold(low, self.order)
         out = []
         for name, (fn, prop) in wanted.items():
@@ -169,20 +209,41 @@ class Results:
 
     def last(self):
         """The last object: the first one of the order turned round."""
-        low = Lowering(self.catalog, self.cls.name)
-        low.filtered(self.where)
-        keys = self._fold(low, self.order)
-        df = low.root.df.withColumn("__n", F.row_number().over(Window.orderBy(*keys))) if keys else low.root.df.withColumn("__n", F.monotonically_increasing_id())
-        return df.orderBy(F.desc("__n")).select(*[q(c) for c in self.cls.frame.columns]).head()
+        df, keys = self._laid()
+        if not keys:
+            raise QueryError("The last object needs a class with an order, or a sort")
+        return self._own(df.orderBy(*values.ordered(keys, turned=True)).limit(1)).head()
+
+    def get(self, n: int):
+        """The object at position ``n`` from 0, or None. A top-k of n + 1 rows."""
+        if n < 0:
+            raise QueryError("A position isn't negative")
+        df, keys = self._laid()
+        return self._own((df.orderBy(*values.ordered(keys)) if keys else df).offset(n).limit(1)).head()
 
     def index_of(self, key: Any) -> int:
         """Position of the object, or -1: the number of objects that come before it."""
-        rows = self.df().select(q(self.cls.key)).rdd.zipWithIndex().filter(lambda r: r[0][0] == key).map(lambda r: r[1]).take(1)
-        return rows[0] if rows else -1
+        df, keys = self._laid()
+        names = [f"__s{i}" for i in range(len(keys))]
+        df = df.select(q(self.cls.key).alias("__key"), *[k.alias(n) for (k, _), n in zip(keys, names)])
+        me = df.where(F.col("__key") == F.lit(key)).head()
+        if me is None:
+            return -1
+        before, same = F.lit(False), F.lit(True)
+        for n, (_, up) in zip(names, keys):
+            v = F.lit(me[n]).cast(df.schema[n].dataType)
+            # Nulls stand first when ascending.
+            less = F.coalesce(F.col(n) < v, F.col(n).isNull() & v.isNotNull()) if up else F.coalesce(F.col(n) > v, F.col(n).isNotNull() & v.isNull())
+            before, same = before | (same & less), same & F.col(n).eqNullSafe(v)
+        return df.where(before).count()
 
     def find(self, text: str, *args: Any):
         return self.filter(text, *args).first()
 
+    def query_count(self) -> int:
+        """What a query counts: all objects of its predicate, whatever sorts, distincts and limits are attached."""
+        return self._with(order=()).count()
+
     def eval_object(self, key: Any) -> bool:
         """Whether the object of this key satisfies the predicate."""
         low = Lowering(self.catalog, self.cls.name)
@@ -223,11 +284,21 @@ class Results:
         section = F.coalesce(F.substring(x.col, 1, 1), F.lit("")) if key == "first_letter" else key(x.col if x else None)
         # Sections are few beside rows: their order comes from each one's first row, found by partial aggregation.
         own = self.cls.frame.columns
-        rows = low.root.df.withColumn("section", section).withColumn("row_no", F.row_number().over(Window.partitionBy(section).orderBy(*keys)) - 1)
-        firsts = rows.where("row_no = 0").withColumn("section_no", F.row_number().over(Window.orderBy(*keys)) - 1).select(F.col("section").alias("__s"), "section_no")
+        by = values.ordered(keys)
+        rows = low.root.df.withColumn("section", section).withColumn("row_no", F.row_number().over(Window.partitionBy(section).orderBy(*by)) - 1)
+        firsts = rows.where("row_no = 0").withColumn("section_no", F.row_number().over(Window.orderBy(*by)) - 1).select(F.col("section").alias("__s"), "section_no")
         return rows.join(firsts, F.col("section").eqNullSafe(F.col("__s"))).select("section", "section_no", "row_no", *[q(c) for c in own])
 
 
+def _query(where: Any, args: Sequence[Any] = ()) -> Query:
+    """Predicate text, a query under construction or a tree as a query."""
+    if isinstance(where, str):
+        return parse(where, args)
+    if hasattr(where, "tree"):
+        where = where.tree()
+    return where if isinstance(where, Query) else Query(where)
+
+
 def _path(text: str) -> Path:
     p = Parser(text)
     return p.path(None)

@@ -34,7 +34,9 @@ class Class:
     properties: dict[str, Property] = field(default_factory=dict)
     fulltext: frozenset[str] = frozenset()
     embedded: bool = False
-    asymmetric: bool = False
+    asymmetric: bool = False  # only ever appended to, and never queried
+    natural: tuple[str, ...] = ()  # columns that order the rows of a class without a key
+    terms: dict[str, str] = field(default_factory=dict)  # full-text properties whose terms are stored, and the column that has them
 
     def __post_init__(self):
         for c in self.frame.columns:
@@ -46,6 +48,11 @@ class Class:
             raise QueryError(f"'{self.name}' has no property '{name}'")
         return self.properties[name]
 
+    @property
+    def order(self) -> tuple[str, ...]:
+        """Columns that order the rows where nothing else does."""
+        return (self.key,) if self.key else self.natural
+
     def type_of(self, p: Property) -> str:
         return self.kinds[p.col]
 

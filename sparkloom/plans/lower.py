@@ -42,6 +42,7 @@ class Scalar:
     link: str | None = None
     fulltext: bool = False
     variant: Column | None = None
+    terms: Column | None = None
 
 
 @dataclass
@@ -118,7 +119,9 @@ class Lowering:
 
     def filtered(self, where) -> DataFrame:
         """The rows of the class that satisfy ``where``, with its own columns only at the end."""
-        for part in ordered_by_cost(where.parts if isinstance(where, And) else (where,)):
+        if self.cls.asymmetric:
+            raise QueryError(f"'{self.cls.name}' is only written to")
+        for part in ordered_by_cost(conjuncts(where)):
             if isinstance(part, Truth) and part.value:
                 continue
             if not self.semi_join(part):
@@ -154,7 +157,7 @@ class Lowering:
         if isinstance(node, Or):
             return balanced([go(p) for p in as_lists(node.parts)], lambda a, b: a | b)
         if isinstance(node, Not):
-            return ~go(node.part, True)
+            return self.negated(f, cls, prefix, node.part, strict)
         if isinstance(node, Between):
             left = self.operand(f, cls, prefix, node.operand)
             if isinstance(left, (Array, Many)) and left.quantifier != "ALL":
@@ -167,6 +170,22 @@ class Lowering:
             return self.comparison(f, cls, prefix, node, strict)
         raise QueryError(f"Not a predicate: {node}")
 
+    def negated(self, f: Frame, cls: Class, prefix: str, node, strict: bool) -> Column:
+        """Not ``node``, with the negation driven down to comparisons: ``not (x > 3)`` is ``x <= 3 or x is null``, which scans can push down."""
+        if isinstance(node, Not):
+            return self.test(f, cls, prefix, node.part, strict)
+        if isinstance(node, (And, Or)):
+            parts = [self.negated(f, cls, prefix, p, strict) for p in (as_lists(node.parts) if isinstance(node, Or) else node.parts)]
+            return balanced(parts, (lambda a, b: a | b) if isinstance(node, And) else (lambda a, b: a & b))
+        if isinstance(node, Compare) and isinstance(node.left, Path) and node.left.steps[-1] != "@type" and node.op in ("==", "!=", "IN", *FLIP):
+            r, x = node.right, None
+            if isinstance(r, Const) and r.value is not None and node.op != "IN" or isinstance(r, ListConst) and r.quantifier in (None, "ANY") and r.values and None not in r.values:
+                x = self.operand(f, cls, prefix, node.left)
+            if isinstance(x, Scalar) and not x.link and x.variant is None:
+                test = self.pair(node.op, x, r, node.fold, False, node) if isinstance(r, Const) else self.in_list(node.op, x, r, node.fold, node, False)
+                return ~test | x.col.isNull() if node.op != "!=" else ~test
+        return ~self.test(f, cls, prefix, node, True)
+
     def comparison(self, f: Frame, cls: Class, prefix: str, node: Compare, strict: bool) -> Column:
         op, l, r = node.op, node.left, node.right
         if isinstance(l, (Const, ListConst)) and not isinstance(r, (Const, ListConst)) and op in ("==", "!=", *FLIP):
@@ -192,8 +211,9 @@ class Lowering:
                 # Lists of equal length, element by element.
                 other = F.array(*[self.constant(left.kind, v) for v in r.values]) if r.values else F.array().cast(f"array<{left.kind}>")
                 return self.elementwise(op, left, Array(other, left.kind), node.fold)
-            each = lambda x: self.in_list(op, x, r, node.fold, node)
-            return each(left) if isinstance(left, Scalar) else self.quantified(f, left, each)
+            if isinstance(left, Scalar):
+                return self.in_list(op, left, r, node.fold, node, strict)
+            return self.quantified(f, left, lambda x: self.in_list(op, x, r, node.fold, node))
         right = self.operand(f, cls, prefix, r)
         if isinstance(right, Many) or isinstance(left, Many):
             return self.across(f, op, left, right, node.fold)
@@ -264,8 +284,8 @@ class Lowering:
         v = c.value
         if op == "TEXT":
             if not x.fulltext:
-                raise QueryError("Column has no fulltext index")
-            return text.search(x.col, v)
+                raise QueryError("'TEXT' needs a property with full-text search")
+            return text.search(x.col, v, x.terms)
         if x.link:
             if op not in ("==", "!=") or v is not None and not isinstance(v, Key) and isinstance(v, (float, bool)):
                 raise QueryError("Links can only be compared with '==' and '!='")
@@ -288,6 +308,11 @@ class Lowering:
             if op in ("==", "!="):
                 return x.col.isNull() if op == "==" else x.col.isNotNull()
             return x.col.isNull() if op in ("<=", ">=") else F.lit(False)
+        if x.kind.startswith("timestamp") and isinstance(v, Instant) and v.between:
+            # Values have microseconds: one before this instant is at or before the microsecond below it.
+            if op in ("==", "!="):
+                return F.lit(op == "!=")
+            op = {"<": "<=", ">=": ">"}.get(op, op)
         if values.is_number(x.kind) and isinstance(v, float) and v != v:
             return F.lit(op == "!=")
         if x.kind in values.INT and isinstance(v, (float, Decimal)) and v != v // 1 or x.kind in values.INT and v in (float("inf"), float("-inf")):
@@ -295,15 +320,17 @@ class Lowering:
             return values.compare(op, x.col, F.lit(float(v)), x.kind, "double", strict, True)
         return values.compare(op, x.col, self.constant(x.kind, v), x.kind, x.kind, strict, True)
 
-    def in_list(self, op: str, x: Scalar, lst: ListConst, fold: bool, where) -> Column:
-        """A value against a list: IN, or a comparison with any, all or none of its values."""
+    def in_list(self, op: str, x: Scalar, lst: ListConst, fold: bool, where, strict: bool = True) -> Column:
+        """A value against a list: IN, or a comparison with any, all or none of its values. Without ``strict`` null may stand for false."""
         if op == "IN":
             op = "=="
         quantifier = lst.quantifier or "ANY"
         if op == "==" and quantifier in ("ANY", "NONE") and not fold and not x.link and x.variant is None and lst.values:
             known = [v for v in lst.values if v is not None]
             fine = [self.constant(x.kind, v) for v in known if not (x.kind in values.INT and isinstance(v, float) and v != v // 1)]
-            test = F.coalesce(x.col.isin(*fine), F.lit(False)) if fine else F.lit(False)
+            test = x.col.isin(*fine) if fine else F.lit(False)
+            if strict or quantifier == "NONE" or len(known) < len(lst.values):
+                test = F.coalesce(test, F.lit(False))
             if len(known) < len(lst.values):
                 test = test | x.col.isNull()
             return test if quantifier == "ANY" else ~test
@@ -533,7 +560,8 @@ class Lowering:
                 col, kind = col[name], fields[name]
             if steps:
                 raise QueryError(f"'{p.name}' is no list, so it has no '{steps[0]}'")
-            return Scalar(col, kind, via, fulltext=p.name in cls.fulltext)
+            stored = q(prefix + cls.terms[p.name]) if p.name in cls.terms else None
+            return Scalar(col, kind, via, fulltext=p.name in cls.fulltext, terms=stored)
         out = Array(col, inner, None, is_map, via)
         while steps:
             s = steps.pop(0)
@@ -653,6 +681,17 @@ def as_lists(parts: tuple) -> list:
     return [Compare("IN", k, ListConst(tuple(v))) if len(v) > 1 else Compare("==", k, Const(v[0])) for k, v in by.items()] + out
 
 
+def conjuncts(node) -> list:
+    """The parts that all have to hold, with negations driven into them."""
+    if isinstance(node, And):
+        return [p for part in node.parts for p in conjuncts(part)]
+    if isinstance(node, Not) and isinstance(node.part, Not):
+        return conjuncts(node.part.part)
+    if isinstance(node, Not) and isinstance(node.part, Or):
+        return [p for part in as_lists(node.part.parts) for p in conjuncts(Not(part))]
+    return [node]
+
+
 def cost(node) -> int:
     """Tests on the row's own columns first, full text and shapes last."""
     s = str(node) if not isinstance(node, (And, Or)) else ""

@@ -44,8 +44,14 @@ class Instant:
     seconds: int
     nanos: int = 0
 
+    @property
+    def between(self) -> bool:
+        """Whether it lies between two microseconds."""
+        return self.nanos % 1000 != 0
+
     def datetime(self) -> dt.datetime:
-        return dt.datetime(1970, 1, 1) + dt.timedelta(seconds=self.seconds, microseconds=self.nanos / 1000)
+        """The microsecond at or before it."""
+        return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=(self.seconds * 10**9 + self.nanos) // 1000)
 
 
 def quote(s: str) -> str:
@@ -235,6 +241,26 @@ class Keep:
         raise QueryError("a filter by function has no text form")
 
 
+@dataclass(frozen=True)
+class Restrict:
+    """A predicate over what the ordering so far leaves: a query over a view."""
+
+    where: Any
+
+    def __str__(self):
+        raise QueryError("a query over a view has no text form")
+
+
+@dataclass(frozen=True)
+class Within:
+    """Only objects that other results hold too."""
+
+    others: tuple
+
+    def __str__(self):
+        raise QueryError("results within others have no text form")
+
+
 @dataclass(frozen=True)
 class Query:
     where: Any

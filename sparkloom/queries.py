@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lists, sets, text
-from .operators import edits
+from .operators import edits, functional
+from .operators.collections import Dictionary, List, Set
 from .operators.results import Results
-from .plans.catalog import Property
+from .plans.builder import Prop, Where
+from .plans.catalog import Catalog, Property
 from .plans.tree import Instant, Shape
-from .sources import tables, text_files
-from .streaming import changes, instructions
+from .sources import extended_json, tables, text_files
+from .sources.store import Store
+from .streaming import changes, instructions, notify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,6 +65,8 @@ rql("filter_in", "part", "", "p_size IN {1, 5, 9}", PART, "SELECT p_partkey, p_n
 rql("filter_in_argument", "part", "", "p_size IN $0", PART, "SELECT p_partkey, p_name, p_size FROM part WHERE p_size IN (2, 3, 4)", [2, 3, 4])
 rql("filter_none_of_list", "part", "", "p_size != ALL {1, 2, 3}", PART, "SELECT p_partkey, p_name, p_size FROM part WHERE p_size NOT IN (1, 2, 3)")
 rql("filter_or_chain", "part", "", " || ".join(f"p_partkey == {3 * i}" for i in range(1000)), PART, "SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 3000")
+rql("filter_or_chain_5000", "orders", "", " || ".join(f"o_orderkey == {7 * i}" for i in range(5000)), ORD, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey < 35000")
+rql("filter_in_5000", "orders", "", "o_orderkey IN $0", ORD, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey < 25000", [5 * i for i in range(5000)])
 rql("string_begins", "customer", "", "c_name BEGINSWITH 'Customer#0000001'", "c_custkey c_name", "SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#0000001')")
 rql("string_ends", "part", "", "p_brand ENDSWITH '2'", PART, "SELECT p_partkey, p_name, p_size FROM part WHERE ends_with(p_brand, '2')")
 rql("string_contains", "documents", "", "text CONTAINS 'worthless'", "doc_id source", "SELECT doc_id, source FROM documents WHERE contains(text, 'worthless')")
@@ -274,9 +279,9 @@ def remove_where(spark, sf_dir):
     return edits.remove(tables.star(spark, sf_dir, "orders"), "orders", "o_totalprice < 100000").select(*ORD.split())
 
 
-@add("create_with_key", "SELECT coalesce(n.k, s_suppkey) AS s_suppkey, CASE WHEN n.k IS NOT NULL THEN n.b ELSE s_acctbal END AS s_acctbal FROM supplier FULL JOIN (SELECT p_partkey AS k, p_retailprice AS b FROM part WHERE p_partkey <= 150) n ON n.k = s_suppkey")
+@add("create_with_key", "SELECT coalesce(n.k, s_suppkey) AS s_suppkey, CASE WHEN n.k IS NOT NULL THEN n.b ELSE s_acctbal END AS s_acctbal FROM supplier FULL JOIN (SELECT p_partkey AS k, p_retailprice AS b FROM part) n ON n.k = s_suppkey")
 def create_with_key(spark, sf_dir):
-    new = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 150").select(F.col("p_partkey").alias("s_suppkey"), F.col("p_retailprice").alias("s_acctbal"))
+    new = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("s_suppkey"), F.col("p_retailprice").alias("s_acctbal"))
     return edits.create(spark.read.parquet(f"{sf_dir}/supplier.parquet"), new, "s_suppkey", "all").select("s_suppkey", "s_acctbal")
 
 
@@ -391,32 +396,46 @@ def fluent_chain(spark, sf_dir):
     return r.aggregates(n=("count", ""), total=("sum", "l_extendedprice")).withColumn("total", F.round("total", 2))
 
 
-@add("change_moves", "SELECT o_orderkey, a AS \"from\", b AS \"to\" FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS a, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice / 2 ELSE o_totalprice END, o_orderkey) AS b FROM orders WHERE o_custkey < 200) WHERE a <> b")
-def change_moves(spark, sf_dir):
-    return _order_moves(spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 200"))
+#: Places in two orders of all orders: by price, and with every fiftieth order behind all others.
+_PLACES = "SELECT o_orderkey, o_orderkey % 50 = 0 AS moved, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS a, row_number() OVER (ORDER BY o_orderkey % 50 = 0, o_totalprice, o_orderkey) AS b FROM orders"
 
 
-@add("change_moves_all", "SELECT o_orderkey, a AS \"from\", b AS \"to\" FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS a, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice / 2 ELSE o_totalprice END, o_orderkey) AS b FROM orders) WHERE a <> b")
-def change_moves_all(spark, sf_dir):
-    """``change_moves`` over the whole table."""
-    return _order_moves(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+@add("change_moves", f"SELECT o_orderkey, a AS \"from\", b AS \"to\" FROM ({_PLACES}) WHERE moved AND a < (SELECT max(a) FROM ({_PLACES}) WHERE NOT moved)")
+def change_moves(spark, sf_dir):
+    """The fewest moves: the orders that went to the end, but for those that stood there."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_totalprice").alias("x"), (F.col("o_orderkey") % 50 == 0).alias("moved"))
+    return changes.moves(changes.ranks(o, ["x", "o_orderkey"], "at"), changes.ranks(o, ["moved", "x", "o_orderkey"], "at"), "o_orderkey", "at")
 
 
-def _order_moves(o):
-    rank = lambda x: changes.ranks(o.select("o_orderkey", x.alias("x")), ["x", "o_orderkey"], "at")
-    return changes.moves(rank(F.col("o_totalprice")), rank(F.when(F.col("o_orderkey") % 50 == 0, F.col("o_totalprice") / 2).otherwise(F.col("o_totalprice"))), "o_orderkey", "at")
+@add("rank_changes", "SELECT o_orderkey, a AS \"from\", b AS \"to\" FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS a, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice / 2 ELSE o_totalprice END, o_orderkey) AS b FROM orders) WHERE a <> b")
+def rank_changes(spark, sf_dir):
+    """Every order whose rank by price changes when some prices are halved."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rank = lambda x, at: changes.ranks(o.select("o_orderkey", x.alias("x")), ["x", "o_orderkey"], at).drop("x")
+    both = rank(F.col("o_totalprice"), "from").join(rank(F.when(F.col("o_orderkey") % 50 == 0, F.col("o_totalprice") / 2).otherwise(F.col("o_totalprice")), "to"), "o_orderkey")
+    return both.where("`from` <> `to`")
 
 
-@add("live_query_changes", "WITH a AS (SELECT o_orderkey, o_totalprice AS p FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 20000 ELSE o_totalprice END AS p FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) SELECT b.o_orderkey, CASE WHEN coalesce(a.p > 200000, false) THEN 'modification' ELSE 'insertion' END AS change FROM b LEFT JOIN a ON a.o_orderkey = b.o_orderkey WHERE b.p > 200000 AND b.p IS DISTINCT FROM CASE WHEN a.p > 200000 THEN a.p END")
-def live_query_changes(spark, sf_dir):
-    """A live query over a stream of orders, in two micro-batches; the change set that the second one makes."""
+def _folder(spark, name: str) -> str:
+    """A fresh folder that all executors share; without a named one only a single machine will do."""
     import tempfile
     import uuid
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-live-")).rstrip("/") + f"/live-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@add("live_query_changes", "WITH a AS (SELECT o_orderkey, o_totalprice AS p FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 1 THEN o_totalprice + 20000 ELSE o_totalprice END AS p FROM orders) SELECT b.o_orderkey, CASE WHEN coalesce(a.p > 200000, false) THEN 'modification' ELSE 'insertion' END AS change FROM b LEFT JOIN a ON a.o_orderkey = b.o_orderkey WHERE b.p > 200000 AND b.p IS DISTINCT FROM CASE WHEN a.p > 200000 THEN a.p END")
+def live_query_changes(spark, sf_dir):
+    """A live query over a stream of all orders, in two micro-batches that overlap; the change set that the second one makes."""
+    root = _folder(spark, "live")
     live, o = changes.Live(spark, root), spark.read.parquet(f"{sf_dir}/orders.parquet")
     live.subscriptions.put(changes.LiveQuery("large", lambda t: Results(_one(spark, t["orders"]), "orders", "o_totalprice > 200000").df().select(*ORD.split()), "o_orderkey", frozenset({"orders"})))
-    for part, rows in enumerate((o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 20000))):
+    for part, rows in enumerate((o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0 OR o_orderkey % 2 = 1").withColumn("o_totalprice", F.col("o_totalprice") + 20000))):
         rows.withColumn("seq", F.lit(part)).write.mode("overwrite").parquet(f"{root}/in/{part}")
         stream = spark.readStream.schema(rows.withColumn("seq", F.lit(part)).schema).parquet(f"{root}/in/{part}")
         stream.writeStream.foreachBatch(live.apply("orders", "o_orderkey", "seq")).option("checkpointLocation", f"{root}/cp/{part}").trigger(availableNow=True).start().awaitTermination()
@@ -424,8 +443,305 @@ def live_query_changes(spark, sf_dir):
 
 
 def _one(spark, frame):
-    from .plans.catalog import Catalog
-
     cat = Catalog(spark)
     cat.add("orders", frame, "o_orderkey")
     return cat
+
+
+# -- views, positions, objects in the order of their class
+
+
+def _top(spark, sf_dir) -> Results:
+    return Results(tables.star(spark, sf_dir, "orders"), "orders", "TRUEPREDICATE SORT(o_totalprice DESC) LIMIT(300)")
+
+
+_TOP = "(SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 300)"
+
+
+@add("view_of_limited_view", f"SELECT o_orderkey, o_custkey, o_totalprice FROM {_TOP} WHERE o_orderstatus = 'F'")
+def view_of_limited_view(spark, sf_dir):
+    """A query over a view sees only what the view's limit leaves."""
+    return _top(spark, sf_dir).query("o_orderstatus == 'F'").df().select(*ORD.split())
+
+
+@add("view_within_view", f"SELECT o_orderkey, o_custkey, o_totalprice FROM {_TOP} WHERE o_orderkey IN (SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1)")
+def view_within_view(spark, sf_dir):
+    top = _top(spark, sf_dir)
+    return (top & Results(top.catalog, "orders").distinct("o_custkey")).df().select(*ORD.split())
+
+
+@add("view_or_view", f"SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM {_TOP}) OR o_totalprice < 5000")
+def view_or_view(spark, sf_dir):
+    top = _top(spark, sf_dir)
+    return (top | Results(top.catalog, "orders", "o_totalprice < 5000")).df().select(*ORD.split())
+
+
+@add("object_at_position", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice, o_orderkey LIMIT 1 OFFSET 300")
+def object_at_position(spark, sf_dir):
+    r = Results(tables.star(spark, sf_dir, "orders"), "orders", "o_orderstatus == 'O'").sort("o_totalprice")
+    return spark.createDataFrame([r.get(300)], r.cls.frame.schema).select(*ORD.split())
+
+
+@add("last_and_index", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS BIGINT) AS at FROM orders QUALIFY row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) = count(*) OVER ()")
+def last_and_index(spark, sf_dir):
+    r = Results(tables.star(spark, sf_dir, "orders"), "orders").sort(("o_orderdate", False))
+    last = r.last()
+    return spark.createDataFrame([(last.o_orderkey, r.index_of(last.o_orderkey))], "o_orderkey long, at long")
+
+
+rql("keyless_distinct", "lineitem", "", "l_quantity > 20 DISTINCT(l_partkey)", ITEM, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 20 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1")
+rql("keyless_limit", "lineitem", "", "l_quantity > 20 LIMIT(500)", ITEM, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 20 ORDER BY l_orderkey, l_linenumber LIMIT 500")
+rql("filter_not_in", "part", "", "!(p_size IN {1, 5, 9} || p_brand == 'Brand#11' || p_size > 40)", PART, "SELECT p_partkey, p_name, p_size FROM part WHERE p_size NOT IN (1, 5, 9) AND p_brand <> 'Brand#11' AND p_size <= 40")
+rql("literals", "part", "", "(p_size == 0x10 || p_size == +7 || p_retailprice > 1.5e3f) && p_retailprice < +infinity && p_size != NaN", PART, "SELECT p_partkey, p_name, p_size FROM part WHERE p_size IN (16, 7) OR p_retailprice > 1500")
+rql("literal_dates", "orders", "", "o_orderdate >= T820454400:0 && o_orderdate < 1997-02-03T00:00:00:500", ORD, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1997-02-03'")
+rql("find_first_null", "orders", "", "o_orderstatus == NULL LIMIT(1)", ORD, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus IS NULL ORDER BY o_orderkey LIMIT 1")
+
+
+@add("argument_path", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'")
+def argument_path(spark, sf_dir):
+    return Results(tables.star(spark, sf_dir, "orders", "customer"), "orders", "$K0 == $1 && $K2 == 'F'", args=["customer.c_mktsegment", "BUILDING", "o_orderstatus"]).df().select(*ORD.split())
+
+
+@add("query_counts", "SELECT count(*) AS query, least(count(*), 25) AS results, count(*) FILTER (o_custkey = 7) AS equal FROM orders WHERE o_totalprice > 100000")
+def query_counts(spark, sf_dir):
+    """What a query counts ignores its limit, what results count doesn't."""
+    r = Results(tables.star(spark, sf_dir, "orders"), "orders", "o_totalprice > 100000 LIMIT(25)")
+    return spark.createDataFrame([(r.query_count(), r.count(), Results(r.catalog, "orders", r.where).count_equal("o_custkey", 7))], "query long, results long, equal long")
+
+
+# -- predicates without text
+
+
+@add("fluent_builder", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size BETWEEN 5 AND 25 AND (p_brand = 'Brand#11' OR starts_with(p_type, 'S') OR p_retailprice > 1500) AND NOT ends_with(p_name, '3') AND strlen(p_type) < 10")
+def fluent_builder(spark, sf_dir):
+    w = Where().between("p_size", 5, 25).group().equal("p_brand", "Brand#11").Or().begins_with("p_type", "S").Or().greater("p_retailprice", 1500.0).end_group().Not().ends_with("p_name", "3").size_less("p_type", 10)
+    return Results(tables.star(spark, sf_dir, "part"), "part", w).df().select(*PART.split())
+
+
+@add("expression_operators", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE (o_totalprice * 2 > 300000 OR c_mktsegment = 'BUILDING') AND NOT o_orderstatus = 'F' AND (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30) >= 2")
+def expression_operators(spark, sf_dir):
+    many = Prop("items").where(Prop("l_quantity") > 30)
+    test = ((Prop("o_totalprice") * 2 > 300000) | (Prop("customer.c_mktsegment") == "BUILDING")) & ~(Prop("o_orderstatus") == "F") & (many >= 2) & Prop("customer").is_not_null()
+    return Results(tables.star(spark, sf_dir, "orders", "customer", "lineitem"), "orders", test).df().select(*ORD.split())
+
+
+@add("functional_facade", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, round(max(o_totalprice), 2) AS most FROM orders WHERE o_orderstatus = 'O' AND o_custkey > 50")
+def functional_facade(spark, sf_dir):
+    query = functional.query_append_query(functional.query_parse(tables.star(spark, sf_dir, "orders"), "orders", "o_orderstatus == $0", "O"), "o_custkey > 50")
+    return spark.createDataFrame([(functional.query_count(query), round(functional.results_sum(query, "o_totalprice"), 2), functional.results_max(query, "o_totalprice"))], "n long, total double, most double")
+
+
+# -- collections of an object
+
+
+@add("list_as_source", "SELECT p_partkey, p_name, p_size, CAST(pos - 1 AS INT) AS position FROM (SELECT unnest(parts) AS part_key, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT list_sort(list(l_partkey)) AS parts FROM lineitem WHERE l_orderkey = 3)) JOIN part ON p_partkey = part_key WHERE p_size > 10")
+def list_as_source(spark, sf_dir):
+    """The objects of one order's list with their positions, repeats included."""
+    return List(_baskets(spark, sf_dir), "basket", 3, "parts").query("p_size > 10").select(*PART.split(), "position")
+
+
+@add("list_facade", "SELECT l_orderkey, array_to_string(CASE WHEN l_orderkey = 3 THEN list_concat([parts[len(parts)]], parts[1:len(parts) - 1]) ELSE parts END, ',') AS parts FROM (SELECT l_orderkey, list_sort(list(l_partkey)) AS parts FROM lineitem GROUP BY 1)")
+def list_facade(spark, sf_dir):
+    """The last part of one order's list moved to its front."""
+    own = List(_baskets(spark, sf_dir), "basket", 3, "parts")
+    return own.move(own.size() - 1, 0).select("l_orderkey", F.array_join("part_keys", ",").alias("parts"))
+
+
+@add("set_facade", f"SELECT l_orderkey, array_to_string(CASE WHEN l_orderkey = 3 THEN list_sort(list_distinct(list_concat(a, [2, 99]))) ELSE a END, ',') AS a FROM {_SETS}")
+def set_facade(spark, sf_dir):
+    cat = Catalog(spark)
+    cat.add("sizes", _sizes(spark, sf_dir), "l_orderkey")
+    return Set(cat, "sizes", 3, "a").assign_union([2, 99]).select("l_orderkey", F.array_join("a", ",").alias("a"))
+
+
+def _spent(spark, sf_dir) -> Catalog:
+    cat = tables.star(spark, sf_dir, "orders")
+    by = cat.get("orders").frame.groupBy("o_custkey", "o_orderstatus").agg(F.sum("o_totalprice").alias("v"))
+    cat.add("spent", by.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "v"))).alias("d")), "o_custkey")
+    return cat
+
+
+@add("dictionary_facade", "SELECT key, round(v, 2) AS value FROM (SELECT o_orderstatus AS key, sum(o_totalprice) AS v FROM orders WHERE o_custkey = 7 AND o_orderstatus <> 'P' GROUP BY 1 UNION ALL SELECT 'new', 1.5)")
+def dictionary_facade(spark, sf_dir):
+    cat = _spent(spark, sf_dir)
+    for edit in (lambda d: d.insert("new", 1.5), lambda d: d.erase("P")):
+        cat.add("spent", edit(Dictionary(cat, "spent", 7, "d")), "o_custkey")
+    return Dictionary(cat, "spent", 7, "d").values().select("key", F.round("value", 2).alias("value"))
+
+
+@add("keys_and_values", "SELECT o_custkey FROM (SELECT o_custkey, o_orderstatus, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2) GROUP BY 1 HAVING bool_or(o_orderstatus = 'P') AND bool_or(v > 900000)")
+def keys_and_values(spark, sf_dir):
+    return Results(_spent(spark, sf_dir), "spent", "d.@keys == 'P' && d.@values > 900000").df().select("o_custkey")
+
+
+@add("length_of_elements", "SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_type, ' '), lambda x: strlen(x) > 6)) > 0 AND len(list_filter(string_split(p_name, ' '), lambda x: strlen(x) <= 3)) = 0")
+def length_of_elements(spark, sf_dir):
+    cat = Catalog(spark)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    cat.add("words", part.select("p_partkey", F.split("p_type", " ").alias("kinds"), F.split("p_name", " ").alias("names")), "p_partkey")
+    return Results(cat, "words", "kinds.length > 6 && ALL names.length > 3").df().select("p_partkey")
+
+
+@add("order_of_elements", "SELECT vec_id, CAST(list_grade_up(embedding)[1] - 1 AS INT) AS least, CAST(list_grade_up(embedding)[-1] - 1 AS INT) AS most, CAST(len(list_distinct(list_transform(embedding, lambda x: round(x * 10)))) AS INT) AS kinds FROM embeddings")
+def order_of_elements(spark, sf_dir):
+    e = F.col("embedding")
+    at = lists.sorted_positions(e)
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", lists.first(at).alias("least"), lists.last(at).alias("most"), F.size(lists.distinct_positions(F.transform(e, lambda x: F.round(x * 10)))).alias("kinds"))
+
+
+# -- stored terms
+
+
+@add("fulltext_stored", f"SELECT doc_id, source FROM documents WHERE list_contains({WORDS_SQL}, 'idiot') AND list_contains({WORDS_SQL}, 'clown')")
+def fulltext_stored(spark, sf_dir):
+    """As ``fulltext_and``, over terms stored once."""
+    cat = tables.index_text(tables.star(spark, sf_dir, "documents"), "documents", "text", _folder(spark, "terms"))
+    return Results(cat, "documents", "text TEXT 'idiot clown'").df().select("doc_id", "source")
+
+
+@add("term_weights", f"SELECT doc_id, count(*) AS terms, round(sum((2 - 2 ** (1 - n)) * (0.5 * n / total + 0.5)), 6) AS weight FROM (SELECT doc_id, word, count(*) AS n, any_value(total) AS total FROM (SELECT doc_id, unnest(ws) AS word, len(ws) AS total FROM (SELECT doc_id, {WORDS_SQL} AS ws FROM documents)) GROUP BY 1, 2) GROUP BY 1")
+def term_weights(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # A long text's positions are searched for each term, so terms are counted by rows here; ``weighted_terms`` is for short texts.
+    words = d.select("doc_id", text.terms(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("total"), F.explode("t").alias("w"))
+    n = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    weight = (2 - F.pow(F.lit(2.0), 1 - F.col("n"))) * (0.5 * F.col("n") / F.col("total") + 0.5)
+    return n.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum(weight), 6).alias("weight"))
+
+
+# -- changes inside of objects
+
+
+def _orders_after(o):
+    return o.where("o_orderkey % 11 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderstatus")))
+
+
+@add("object_changes", "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'deletion' ELSE 'modification' END AS change, CASE WHEN o_orderkey % 11 <> 0 THEN 'o_orderstatus' END AS property, CASE WHEN o_orderkey % 11 <> 0 THEN '{\"v\":\"' || o_orderstatus || '\"}' END AS before, CASE WHEN o_orderkey % 11 <> 0 THEN '{\"v\":\"X\"}' END AS after FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 10 = 0")
+def object_changes(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return notify.object_changes(o, _orders_after(o), "o_orderkey")
+
+
+@add("list_changes", "SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 THEN '0' ELSE '' END AS deletions, CASE WHEN l_orderkey % 3 = 0 THEN CAST(n - CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR) ELSE '' END AS insertions FROM (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) WHERE (l_orderkey % 5 = 0 OR l_orderkey % 3 = 0) AND n > 1")
+def list_changes(spark, sf_dir):
+    """Lists of parts of which some lose the first part and some get another one at the end."""
+    old = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("parts")).where("size(parts) > 1")
+    new = old.withColumn("parts", F.when(F.col("l_orderkey") % 5 == 0, F.slice("parts", F.lit(2), F.size("parts"))).otherwise(F.col("parts")))
+    new = new.withColumn("parts", F.when(F.col("l_orderkey") % 3 == 0, F.concat("parts", F.array(F.lit(-1).cast("long")))).otherwise(F.col("parts")))
+    got = notify.list_changes(old, new, "l_orderkey", "parts")
+    # A position that is deleted and inserted counts as modified: here none is, but for lists of one part that is left.
+    both = lambda c: F.array_join(F.array_sort(F.concat(c, "modifications")), ",").alias(c)
+    return got.select("l_orderkey", both("deletions"), both("insertions"))
+
+
+@add("dictionary_changes", "SELECT o_custkey, coalesce(string_agg(o_orderstatus, ',' ORDER BY o_orderstatus) FILTER (o_orderstatus = 'O' AND o_custkey % 5 = 0), '') AS deletions, coalesce(string_agg(o_orderstatus, ',' ORDER BY o_orderstatus) FILTER (o_orderstatus = 'F' AND o_custkey % 3 = 0), '') AS modifications FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) GROUP BY 1 HAVING deletions <> '' OR modifications <> ''")
+def dictionary_changes(spark, sf_dir):
+    old = _spent(spark, sf_dir).get("spent").frame
+    less = F.map_filter("d", lambda k, _: ~((k == "O") & (F.col("o_custkey") % 5 == 0)))
+    new = old.withColumn("d", F.transform_values(less, lambda k, v: F.when((k == "F") & (F.col("o_custkey") % 3 == 0), v + 1).otherwise(v)))
+    return notify.dictionary_changes(old, new, "o_custkey", "d").select("o_custkey", F.array_join("deletions", ",").alias("deletions"), F.array_join("modifications", ",").alias("modifications"))
+
+
+@add("section_changes", "SELECT left(o_orderpriority, 1) AS section, CASE WHEN left(o_orderpriority, 1) = '5' THEN 'deletion' ELSE 'modification' END AS change, count(*) FILTER (left(o_orderpriority, 1) = '5' OR o_orderkey % 11 = 0) AS deletions, CAST(0 AS BIGINT) AS insertions, count(*) FILTER (left(o_orderpriority, 1) <> '5' AND o_orderkey % 11 <> 0 AND o_orderkey % 10 = 0) AS modifications FROM orders GROUP BY 1")
+def section_changes(spark, sf_dir):
+    cat = tables.star(spark, sf_dir, "orders")
+    old = Results(cat, "orders").sections("first_letter", "o_orderpriority")
+    cat.add("orders", _orders_after(cat.get("orders").frame), "o_orderkey")
+    return notify.section_changes(old, Results(cat, "orders", "!(o_orderpriority BEGINSWITH '5')").sections("first_letter", "o_orderpriority"), "o_orderkey")
+
+
+@add("deep_changes", "SELECT c_custkey, 'modification' AS change, CASE WHEN c_nationkey = 3 AND hit THEN 'nation.n_name,orders.o_totalprice' WHEN hit THEN 'orders.o_totalprice' ELSE 'nation.n_name' END AS columns FROM (SELECT c_custkey, c_nationkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 40 = 0) AS hit FROM customer) WHERE hit OR c_nationkey = 3")
+def deep_changes(spark, sf_dir):
+    """Customers whose nation's name or whose orders' prices changed, though no customer did."""
+    names = ("customer", "nation", "orders")
+    old, new = tables.star(spark, sf_dir, *names), tables.star(spark, sf_dir, *names)
+    for name, col, hit, value in (("nation", "n_name", F.col("n_nationkey") == 3, F.lit("ELSEWHERE")), ("orders", "o_totalprice", F.col("o_orderkey") % 40 == 0, F.col("o_totalprice") + 1)):
+        c = new.get(name)
+        new.add(name, c.frame.withColumn(col, F.when(hit, value).otherwise(F.col(col))), c.key, list(c.properties.values()))
+    got = notify.deep_changes(Results(old, "customer"), Results(new, "customer"), "nation.n_name", "orders.o_totalprice")
+    return got.select("c_custkey", "change", F.array_join(F.array_sort("columns"), ",").alias("columns"))
+
+
+@add("list_merge", "SELECT CAST(user_id AS VARCHAR) AS key, string_agg(event_type, ',' ORDER BY ts, event_id) AS elements FROM events GROUP BY 1")
+def list_merge(spark, sf_dir):
+    """Events appended to their user's list by writers that had seen all before them."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    row = lambda op, field, value, delta, time: e.select(F.lit("user").alias("table"), F.col("user_id").cast("string").alias("key"), F.lit(op).alias("op"), F.lit(field).alias("field"), value.alias("value"), F.lit(delta).cast("bigint").alias("delta"), time.alias("time"), F.col("event_id").alias("origin"), F.lit(False).alias("default"))
+    log = row("create", "", F.lit(None).cast("string"), 0, F.lit(-(1 << 62))).union(row("list_insert", "types", F.col("event_type"), 1 << 40, at))
+    return instructions.lists(log).select("key", F.array_join("elements", ",").alias("elements"))
+
+
+# -- stores
+
+
+@add("transactions", "SELECT s_suppkey, s_acctbal + 1 AS s_acctbal FROM supplier")
+def transactions(spark, sf_dir):
+    """A committed write, and one that was rolled back."""
+    store, rows = Store(spark, _folder(spark, "store")), spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_acctbal")
+    with store.begin() as t:
+        t.write("supplier", rows)
+        t.commit_and_continue()
+        t.write("supplier", t.frame("supplier").withColumn("s_acctbal", F.col("s_acctbal") + 1))
+    lost = store.begin()
+    lost.write("supplier", rows.limit(0))
+    lost.rollback()
+    return store.read().frame("supplier")
+
+
+@add("compact_copy", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def compact_copy(spark, sf_dir):
+    store = Store(spark, _folder(spark, "store"))
+    with store.begin() as t:
+        t.write("nation", spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").repartition(7))
+    store.compact()
+    return store.write_copy(_folder(spark, "copy")).read().frame("nation")
+
+
+@add("object_copy", "SELECT (SELECT count(*) FROM orders WHERE o_totalprice > 250000) AS orders, (SELECT count(DISTINCT o_custkey) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000) AS customers, (SELECT count(DISTINCT c_nationkey) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 250000) AS nations")
+def object_copy(spark, sf_dir):
+    """Orders copied to an empty store with the customers and nations that they lead to."""
+    names = ("orders", "customer", "nation")
+    source, target = tables.star(spark, sf_dir, *names), tables.star(spark, sf_dir, *names)
+    for name in names:
+        c = target.get(name)
+        target.add(name, c.frame.limit(0), c.key, list(c.properties.values()))
+    out = edits.copy_into(source, "orders", target, "o_totalprice > 250000")
+    n = {name: df.agg(F.count("*").alias("n")) for name, df in out.items()}
+    return n["orders"].withColumnRenamed("n", "orders").crossJoin(n["customer"].withColumnRenamed("n", "customers")).crossJoin(n["nation"].withColumnRenamed("n", "nations"))  # three single rows
+
+
+@add("asymmetric_ingest", "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY 1")
+def asymmetric_ingest(spark, sf_dir):
+    cat, path = Catalog(spark), _folder(spark, "ingest")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    cat.add("event", rows.limit(0), "event_id", asymmetric=True)
+    for _ in range(2):
+        edits.ingest(cat, "event", rows, path)
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@add("snapshot", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 700")
+def snapshot(spark, sf_dir):
+    r = Results(tables.star(spark, sf_dir, "orders"), "orders", "o_orderstatus == 'F'").snapshot(_folder(spark, "snapshot"))
+    return r.filter("o_custkey < 700").df().select(*ORD.split())
+
+
+@add("csv_import", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_import(spark, sf_dir):
+    path = _folder(spark, "csv")
+    spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").coalesce(1).write.option("header", True).csv(path)
+    return text_files.import_csv(spark, path)
+
+
+@add("json_import", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_import(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    return text_files.from_json(e, "props").select("event_id", F.try_variant_get("value", "$.k", "bigint").alias("k"))
+
+
+@add("bson_round_trip", "SELECT n_nationkey, '{\"n_nationkey\":{\"$numberLong\":\"' || n_nationkey || '\"},\"n_name\":\"' || n_name || '\",\"n_regionkey\":{\"$numberLong\":\"' || n_regionkey || '\"}}' AS json FROM nation")
+def bson_round_trip(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    text_ = text_files.to_json(n, "xjson").withColumn("n_nationkey", F.regexp_extract("json", r'numberLong":"(\d+)', 1).cast("long"))
+    return extended_json.decode(extended_json.encode(text_, "json").drop("json"), "bson").select("n_nationkey", "json")

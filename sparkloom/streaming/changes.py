@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -9,24 +10,71 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import Files
+
 
 def diff(old: DataFrame, new: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
     """(key, change, columns): insertions, deletions, modifications with the columns that changed. ``columns`` restricts what counts.
 
-    Keys meet in one full outer join on two hashed rows, not on all columns.
+    Keys meet in one full outer join of the columns that count; a null key meets a null key.
     """
     columns = columns or [c for c in new.columns if c != key]
-    row = lambda df, n: df.select(F.col(key).alias("k"), F.struct(*columns).alias(n))
-    both = row(old, "a").join(row(new, "b"), "k", "full")
+    row = lambda df, n: df.select(F.col(key).alias(f"k{n}"), F.struct(*columns).alias(n))
+    both = row(old, "a").join(row(new, "b"), F.col("ka").eqNullSafe(F.col("kb")), "full")
     changed = F.filter(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in columns]), lambda c: c.isNotNull())
     kind = F.when(F.col("a").isNull(), "insertion").when(F.col("b").isNull(), "deletion").when(F.size(changed) > 0, "modification")
-    return both.withColumn("change", kind).where("change IS NOT NULL").select(F.col("k").alias(key), "change", F.when(F.col("change") == "modification", F.array_sort(changed)).otherwise(F.array().cast("array<string>")).alias("columns"))
+    both = both.withColumn("change", kind).where("change IS NOT NULL")
+    return both.select(F.coalesce("ka", "kb").alias(key), "change", F.when(F.col("change") == "modification", F.array_sort(changed)).otherwise(F.array().cast("array<string>")).alias("columns"))
+
+
+#: Runs of objects that keep their neighbours, which the fewest moves are found among; beyond that ``moves`` doesn't look for the fewest.
+RUNS = 1_000_000
 
 
 def moves(old: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame:
-    """(key, from, to) of objects in both versions whose rank among these changed."""
-    a, b = old.select(key, F.col(position).alias("from")), new.select(key, F.col(position).alias("to"))
-    return a.join(b, key).where(F.col("from") != F.col("to"))
+    """(key, from, to): the fewest objects of both versions whose move turns the one order into the other, with their positions.
+
+    Objects are ranked among those in both versions. A run of objects that are neighbours in both orders moves as one, so what is searched is
+    as large as the change, not the table: the runs that stay are the increasing sequence of most objects. With over ``RUNS`` runs every object
+    whose rank changed is given instead.
+    """
+    both = old.select(key, F.col(position).alias("from")).join(new.select(key, F.col(position).alias("to")), key)
+    both = ranks(ranks(both, ["from", key], "__r"), ["to", key], "__s")
+    before = both.select((F.col("__r") + 1).alias("__r"), (F.col("__s") + 1).alias("__s"))
+    runs = both.select("__r", "__s").join(before, ["__r", "__s"], "left_anti")
+    n, total = runs.count(), both.count()
+    if n > RUNS:
+        return both.where("__r <> __s").select(key, "from", "to")
+    starts = sorted((r["__r"], r["__s"]) for r in runs.collect())
+    ends = [r for r, _ in starts[1:]] + [total + 1]
+    gone = [(a, b - 1) for (a, _), b, stays in zip(starts, ends, staying([s for _, s in starts], [b - a for (a, _), b in zip(starts, ends)])) if not stays]
+    spans = old.sparkSession.createDataFrame(gone, "a long, b long").select(F.explode(F.sequence("a", "b")).alias("__r"))
+    return both.join(spans, "__r").select(key, "from", "to")
+
+
+def staying(places: list[int], weights: list[int]) -> list[bool]:
+    """Which items are in the increasing subsequence of ``places`` of most weight; of several such ones, that found first."""
+    n = len(places)
+    order = {p: i + 1 for i, p in enumerate(sorted(places))}
+    best: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # a Fenwick tree of (weight, last item) by place
+    link, whole = [-1] * n, (0, -1)
+    for i, (p, w) in enumerate(zip(places, weights)):
+        at, top = order[p] - 1, (0, -1)
+        while at > 0:
+            if best[at][0] > top[0]:
+                top = best[at]
+            at -= at & -at
+        link[i], mine, at = top[1], (top[0] + w, i), order[p]
+        while at <= n:
+            if mine[0] > best[at][0]:
+                best[at] = mine
+            at += at & -at
+        if mine[0] > whole[0]:
+            whole = mine
+    out, i = [False] * n, whole[1]
+    while i >= 0:
+        out[i], i = True, link[i]
+    return out
 
 
 def ranks(df: DataFrame, order: list[str], position: str) -> DataFrame:
@@ -58,8 +106,9 @@ class LiveQuery:
     tables: frozenset[str]
     text: str = ""
     columns: list[str] | None = None
-    state: str = "pending"
+    state: str = "uncommitted"  # then pending, bootstrapping, complete or error; superseded where another one took its name
     version: int = -1
+    error: str | None = None
 
 
 @dataclass
@@ -76,6 +125,7 @@ class Subscriptions:
             return self.items[q.name]
         if q.name in self.items:
             self.items[q.name].state = "superseded"
+        q.state = "pending"
         self.items[q.name] = q
         return q
 
@@ -84,24 +134,43 @@ class Subscriptions:
 
 
 class Live:
-    """State tables as versioned Parquet below ``root``; ``apply`` is a foreachBatch function."""
+    """State tables as versioned Parquet below ``root``; ``apply`` is a foreachBatch function.
+
+    A batch is written as it comes and merged when read, so it costs what it holds, not what the table holds; every ``compact`` batches
+    become one. Erased objects stay as marks, so that an older row that arrives late doesn't bring them back. What versions there are is kept in
+    a file below ``root``, so a new driver goes on where the last one stopped.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.versions: dict[str, int] = {}
+    def __init__(self, spark: SparkSession, root: str, compact: int = 8):
+        self.spark, self.root, self.compact = spark, root.rstrip("/"), compact
+        self.files = Files(spark)
+        known = json.loads(self.files.read(f"{self.root}/_live.json") or "{}")
+        self.versions: dict[str, int] = known.get("versions", {})
+        self.parts: dict[str, list[list[int]]] = known.get("parts", {})
+        self.merge: dict[str, list[str]] = known.get("merge", {})
         self.subscriptions = Subscriptions()
 
     def path(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/v={version}"
 
+    def _rows(self, name: str, version: int) -> DataFrame:
+        """All that a version is made of, marks of erased objects included."""
+        out = None
+        for v in self.parts[name][version]:
+            part = self.spark.read.parquet(self.path(name, v))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return latest(out, *self.merge[name]) if name in self.merge and len(self.parts[name][version]) > 1 else out
+
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self.path(name, self.versions[name] if version is None else version))
+        return there(self._rows(name, self.versions[name] if version is None else version))
 
-    def write(self, name: str, df: DataFrame) -> int:
-        """A new version; readers of older ones keep theirs."""
+    def write(self, name: str, df: DataFrame, parts: list[int] | None = None) -> int:
+        """A new version; readers of older ones keep theirs. ``parts``: earlier ones that it goes on from."""
         v = self.versions.get(name, -1) + 1
         df.write.mode("overwrite").parquet(self.path(name, v))
         self.versions[name] = v
+        self.parts.setdefault(name, []).append([*(parts or []), v])
+        self.files.write(f"{self.root}/_live.json", json.dumps({"versions": self.versions, "parts": self.parts, "merge": self.merge}))
         return v
 
     def apply(self, name: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
@@ -110,8 +179,11 @@ class Live:
         def batch(df: DataFrame, epoch: int) -> None:
             if df.isEmpty():
                 return
-            old = self.table(name) if name in self.versions else self.spark.createDataFrame([], df.schema)
-            self.write(name, upsert(old, df, key, order))
+            self.merge[name] = [key, order]
+            parts = self.parts[name][self.versions[name]] if name in self.versions else []
+            if len(parts) >= self.compact:
+                df, parts = self._rows(name, self.versions[name]).unionByName(df, allowMissingColumns=True), []
+            self.write(name, latest(df, key, order), parts)
             self.notify({name})
 
         return batch
@@ -121,16 +193,29 @@ class Live:
         for q in self.subscriptions.items.values():
             if q.state != "pending" and not q.tables & changed or not q.tables <= self.versions.keys():
                 continue
-            new = q.query({t: self.table(t) for t in q.tables})
-            had = f"query_{q.name}" in self.versions
-            v = self.write(f"query_{q.name}", new)
-            old = self.table(f"query_{q.name}", v - 1) if had else self.spark.createDataFrame([], new.schema)
-            diff(old, self.table(f"query_{q.name}"), q.key, q.columns).write.mode("overwrite").parquet(self.path(f"changes_{q.name}", v))
-            q.state, q.version = "complete", v
+            q.state = "bootstrapping" if q.version < 0 else q.state
+            try:
+                new = q.query({t: self.table(t) for t in q.tables})
+                had = f"query_{q.name}" in self.versions
+                v = self.write(f"query_{q.name}", new)
+                old = self.table(f"query_{q.name}", v - 1) if had else self.spark.createDataFrame([], new.schema)
+                diff(old, self.table(f"query_{q.name}"), q.key, q.columns).write.mode("overwrite").parquet(self.path(f"changes_{q.name}", v))
+                q.state, q.version, q.error = "complete", v, None
+            except Exception as e:
+                q.state, q.error = "error", str(e)
+                raise
+
+
+def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """For each key the row of the largest ``order``, marks of erased objects included."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(order, F.hash(*rows.columns))).alias("r")).select("r.*")
+
+
+def there(rows: DataFrame) -> DataFrame:
+    """Rows without those marked __deleted."""
+    return rows.where(~F.coalesce(F.col("__deleted"), F.lit(False))) if "__deleted" in rows.columns else rows
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows of both, for each key that of the largest ``order``, without those marked __deleted."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    last = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.struct(order, F.hash(*both.columns))).alias("r")).select("r.*")
-    return last.where(~F.coalesce(F.col("__deleted"), F.lit(False))) if "__deleted" in last.columns else last
+    """Rows of both, for each key that of the largest ``order``, without those marked __deleted. ``latest`` keeps the marks, which a state needs."""
+    return there(latest(old.unionByName(new, allowMissingColumns=True), key, order))

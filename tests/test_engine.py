@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import lists, sets, text
 from sparkloom.functions import values
-from sparkloom.operators import edits
+from sparkloom.operators import edits, functional
+from sparkloom.operators.collections import Dictionary, List, Set
 from sparkloom.operators.results import Results
+from sparkloom.plans.builder import Prop, Where
 from sparkloom.plans.catalog import Catalog, Property, compare
 from sparkloom.plans.parser import divide, parse
 from sparkloom.plans.tree import Binary, Instant, Key, QueryError, Shape, Uuid
+from sparkloom.sources import extended_json as xj
 from sparkloom.sources import tables, text_files
-from sparkloom.streaming import changes, instructions
+from sparkloom.sources.store import Store, StoreError
+from sparkloom.streaming import changes, instructions, notify
 
 
 def keys(r, *args):
@@ -342,12 +346,288 @@ def test_ranks_are_those_of_one_window(spark, monkeypatch):
     assert changes.ranks(spark.createDataFrame([], "k long, x double"), ["x", "k"], "at").count() == 0
 
 
-def test_change_moves_all_ranks_every_order(spark):
+def test_rank_changes_rank_every_order(spark):
     import duckdb
 
     from sparkloom import queries
 
     d = "/root/testdata/sf0.001"
-    want = duckdb.sql(queries.ORACLE["change_moves_all"].replace("FROM orders", f"FROM '{d}/orders.parquet'")).fetchall()
-    got = queries.QUERIES["change_moves_all"](spark, d)
-    assert sorted(map(tuple, got.collect())) == sorted(want) and "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    for name in ("rank_changes", "change_moves"):
+        want = duckdb.sql(queries.ORACLE[name].replace("FROM orders", f"FROM '{d}/orders.parquet'")).fetchall()
+        got = queries.QUERIES[name](spark, d)
+        assert sorted(map(tuple, got.collect())) == sorted(want) and "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_moves_are_the_fewest(spark, monkeypatch):
+    rnd = random.Random(17)
+    for n in (1, 12, 40):
+        old = list(range(n))
+        new = [k for k in old if k % 7 != 3] + [100, 101]
+        for _ in range(4):
+            new.insert(rnd.randrange(len(new)), new.pop(rnd.randrange(len(new))))
+        frames = [spark.createDataFrame([(k, i) for i, k in enumerate(order)], "k long, at long") for order in (old, new)]
+        got = changes.moves(*frames, "k", "at").collect()
+        both = [k for k in old if k in new]
+        places = [new.index(k) for k in both]
+        best = [1] * len(places)
+        for i in range(len(places)):
+            best[i] = 1 + max((best[j] for j in range(i) if places[j] < places[i]), default=0)
+        assert len(got) == len(both) - max(best, default=0) and all(r["from"] == old.index(r.k) and r.to == new.index(r.k) for r in got)
+        stay = [k for k in both if k not in {r.k for r in got}]
+        assert stay == sorted(stay, key=new.index)
+    # One object that comes in at the top moves nothing.
+    a, b = (spark.createDataFrame([(k, i) for i, k in enumerate(order)], "k long, at long") for order in ([1, 2, 3], [9, 1, 2, 3]))
+    assert changes.moves(a, b, "k", "at").count() == 0
+    monkeypatch.setattr(changes, "RUNS", 0)
+    b = spark.createDataFrame([(2, 0), (1, 1), (3, 2)], "k long, at long")
+    assert sorted(r.k for r in changes.moves(a, b, "k", "at").collect()) == [1, 2]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("where, pushed", [("p_size IN {1, 5, 9}", "In(p_size, [1,5,9])"), ("p_size == 1 || p_size == 5", "In(p_size, [1,5])"), ("!(p_size > 3)", "Or(LessThanOrEqual(p_size,3),IsNull(p_size))"), ("!(p_size IN {1, 5})", "Not(In(p_size, [1,5]))"), ("!(p_size == 1 || p_size > 30)", "LessThanOrEqual(p_size,30)"), ("p_size < 3 || p_brand == 'x'", "Or(EqualTo(p_brand,x),LessThan(p_size,3))")])
+def test_lists_alternatives_and_negations_reach_the_scan(spark, where, pushed):
+    assert pushed in plan_of(Results(tables.star(spark, "/root/testdata/sf0.001", "part"), "part", where).df())
+
+
+def test_views_of_views(spark):
+    cat = Catalog(spark)
+    cat.add("t", spark.createDataFrame([(k, k % 3) for k in range(10)], "k long, g long"), "k")
+    a, b = Results(cat, "t", "TRUEPREDICATE SORT(k DESC) LIMIT(3)"), Results(cat, "t", "g == 0")
+    assert keys(a & b) == [9] == keys(b & a) and keys(a.query("k < 9 LIMIT(1)")) == [8] and sorted(keys(b | a)) == [0, 3, 6, 7, 8, 9]
+    assert keys(Results(cat, "t").distinct("g").query("k > 0")) == [1, 2] and keys(b & Results(cat, "t", "k > 4")) == [6, 9]
+    assert a.get(1).k == 8 and a.get(5) is None and a.last().k == 7 and a.index_of(7) == 2 and a.index_of(1) == -1
+    assert a.query_count() == 10 and a.count() == 3 and "Window" not in plan_of(Results(cat, "t").sort("g").df())
+    with pytest.raises(QueryError):
+        str(a.query("g == 1"))
+
+
+def test_objects_without_a_key_keep_their_order(spark):
+    cat = Catalog(spark)
+    rows = [(2, 1, "a"), (1, 2, "a"), (1, 1, "b"), (2, 2, "b")]
+    cat.add("line", spark.createDataFrame(rows, "o long, n long, s string").repartition(4), natural=("o", "n"))
+    got = lambda r: [(x.o, x.n) for x in r.df().collect()]
+    assert sorted(got(Results(cat, "line").distinct("s"))) == [(1, 1), (1, 2)] and sorted(got(Results(cat, "line", "TRUEPREDICATE LIMIT(2)"))) == [(1, 1), (1, 2)]
+    assert got(Results(cat, "line").sort("s")) == [(1, 2), (2, 1), (1, 1), (2, 2)] and Results(cat, "line").last().o == 2
+    cat.add("none", spark.createDataFrame(rows, "o long, n long, s string"))
+    with pytest.raises(QueryError):
+        Results(cat, "none").last()
+
+
+@pytest.mark.parametrize(
+    "where, want",
+    [
+        (Where().equal("n", 10), [1, 4]), (Where().not_equal("n", 10).less("n", 0), [3]), (Where().Not().equal("n", None).greater_equal("n", 0), [1, 4]), (Where().group().equal("n", 10).Or().equal("s", None).end_group().less_equal("k", 3), [1, 3]),
+        (Where().Not().group().equal("n", 10).Or().equal("s", None).end_group(), [2]), (Where().between("n", -7, 9), [3]), (Where().begins_with("s", "BA", case=False), [2]), (Where().size_between("l", 1, 2), [3]), (Where().size_equal("l", 0), [2]), (Where().is_in("n", [10, None]), [1, 2, 4]),
+        (Where().equal("n", 10).Or().equal("k", 2), [1, 2, 4]), (Where().and_query(Where().equal("k", 1).Or().equal("k", 3)).equal("n", 10), [1]), (Where().fulltext("s", "apple"), [1]), (Where().less("x", Prop("n")), [4]), (Where(), [1, 2, 3, 4]),
+        (Prop("n") == 10, [1, 4]), ((Prop("n") > 0) & ~(Prop("s") == "apple"), [4]), ((Prop("n") + 1 == 11) | Prop("s").is_null(), [1, 3, 4]), (100 - Prop("n") == 90, [1, 4]), (Prop("l").all() > 0, [1, 2, 4]), (Prop("l").sum() == 6, [1]), (Prop("d")["a"] == 9, [4]), (Prop("l")[0] == 1, [1]),
+        (Prop("boxes").where(Prop("id") > 1) == 2, [3]), (Prop("boxes").count() >= 2, [3]), (Prop("s").like("?pp*"), [1]), (Prop("s").contains("AN", case=False), [2]), (Prop("d").keys() == "c", [4]), (Prop("n").between(0, 20), [1, 4]), (Prop("n").is_in([-7]), [3]),
+    ],
+)
+def test_predicates_without_text(shop, where, want):
+    assert sorted(keys(Results(shop, "item", where))) == want
+    assert str(parse(str(where))) == str(where.tree())
+
+
+def test_builders_that_are_not_done():
+    for make in (lambda: Where().group().tree(), lambda: Where().end_group(), lambda: Where().Or(), lambda: Where().equal("a", 1).Or().tree(), lambda: Where().Not().tree(), lambda: bool(Prop("a") == 1), lambda: Prop("a b")):
+        with pytest.raises(QueryError):
+            make()
+
+
+def test_collection_facades(spark, shop):
+    own = List(shop, "box", 3, "all")
+    assert own.value() == [3, 3, 4] and own.size() == 3 and own.get(2) == 4 and own.find(4) == 2 and own.find(9) == -1 and own.find_where("n == 10") == 2
+    assert [(r.position, r.k) for r in own.objects().collect()] == [(0, 3), (1, 3), (2, 4)] and [r.position for r in own.query("n < 0").collect()] == [0, 1]
+    after = lambda df: {r.id: r.ks for r in df.collect()}
+    assert after(own.move(2, 0))[3] == [4, 3, 3] and after(own.swap(0, 2))[3] == [4, 3, 3] and after(own.insert(3, 1))[3] == [3, 3, 4, 1] and after(own.remove(0))[3] == [3, 4] and after(own.set(1, 2)) == {1: [1, 2], 2: [], 3: [3, 2, 4], 4: None}
+    assert after(own.add(2))[3] == [3, 3, 4, 2] and after(own.assign([1]))[3] == [1] and after(own.remove_all())[3] == [] and after(List(shop, "box", 4, "all").add(1))[4] == [1]
+    out = own.delete_at(0)
+    assert sorted(r.k for r in out["item"].collect()) == [1, 2, 4] and after(out["box"])[3] == [4] and sorted(r.k for r in own.delete_all()["item"].collect()) == [1, 2]
+    for wrong in (own.insert(4, 1), own.remove(3), own.move(0, 3), own.swap(3, 0), own.set(3, 1)):
+        with pytest.raises(Exception, match="outside of a list"):
+            wrong.collect()
+    plain = List(shop, "item", 3, "l")
+    assert plain.sort() == [None, 9] and plain.sort("self", False) == [9, None] and plain.max() == 9 and plain.sum() == 9 and plain.average() == 9 and plain.distinct_indices() == [0, 1] and plain.sort_indices(False) == [1, 0]
+    for wrong in (lambda: plain.sort("x"), lambda: plain.objects(), lambda: List(shop, "item", 1, "nothing")):
+        with pytest.raises(QueryError):
+            wrong()
+    d = Dictionary(shop, "item", 4, "d")
+    assert d.get("a") == 9 and d.get("z") is None and d.contains("c") and d.find_any(1) == "c" and d.max() == 9 and d.size() == 2 and [r.value for r in d.keys().collect()] == ["a", "c"]
+    assert {r.k: r.d for r in d.insert("b", 5).collect()}[4] == {"a": 9, "b": 5, "c": 1} and {r.k: r.d for r in d.erase("a").collect()}[4] == {"c": 1}
+    cat = Catalog(spark)
+    cat.add("s", spark.createDataFrame([(1, [1, 2]), (2, [2, 3]), (3, None)], "k long, v array<long>"), "k")
+    s = Set(cat, "s", 1, "v")
+    own = lambda df: {r.k: r.v for r in df.collect()}
+    assert own(s.insert(0))[1] == [0, 1, 2] and own(s.erase(1))[1] == [2] and own(s.assign_union(Set(cat, "s", 2, "v")))[1] == [1, 2, 3] and own(s.assign_intersection([2, 9]))[1] == [2] and own(s.assign_difference([2]))[1] == [1] and own(s.assign_symmetric_difference([2, 9])) == {1: [1, 9], 2: [2, 3], 3: None}
+    assert s.is_subset_of([1, 2, 3]) and s.is_strict_subset_of([1, 2, 3]) and s.is_superset_of([1]) and not s.is_strict_superset_of([1, 2]) and s.intersects([2]) and s.equals([2, 1]) and s.find(2) == 1 and s.filter(lambda v: v > 1).count() == 1
+
+
+def test_functional_facade(shop):
+    q = functional.query_parse(shop, "item", "n == $0", 10)
+    assert functional.query_count(q) == 2 and functional.query_find_first(functional.query_append_query(q, "k > 1")).k == 4 and functional.query_get_description(q) == "n == 10"
+    assert sorted(r.k for r in functional.query_delete_all(q).collect()) == [2, 3] and functional.results_get_list(q, 0, "l").value() == [1, 2, 3] and functional.results_find(q, 4) == 1
+
+
+def test_upsert_modes(spark):
+    old, new = (spark.createDataFrame(r, "k long, v string") for r in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]))
+    with pytest.raises(Exception, match="object with the key 2"):
+        edits.create(old, new, "k", "never").collect()
+    assert edits.create(old, new.where("k = 3"), "k", "never").count() == 3 and edits.create(old, new, "k", "changed").count() == 3
+    with pytest.raises(QueryError):
+        edits.create(old, new, "k", "bogus")
+
+
+def test_copies_and_asymmetric_classes(spark, shop, tmp_path):
+    target = Catalog(spark)
+    for name in ("item", "box"):
+        c = shop.get(name)
+        target.add(name, c.frame.limit(0), c.key, list(c.properties.values()))
+    out = edits.copy_into(shop, "box", target, "id == 3")
+    assert sorted(r.k for r in out["item"].collect()) == [3, 4] and [r.id for r in out["box"].collect()] == [3]
+    target.add("log", spark.createDataFrame([], "k long, v string"), "k", asymmetric=True)
+    for n in range(2):
+        edits.ingest(target, "log", spark.createDataFrame([(n,)], "k long"), str(tmp_path / "log"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "log")).collect())) == [(0, None), (1, None)]
+    with pytest.raises(QueryError):
+        Results(target, "log").count()
+    with pytest.raises(QueryError):
+        edits.ingest(target, "box", target.get("box").frame, str(tmp_path / "x"))
+
+
+def test_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    df = spark.range(5)
+    assert store.read().tables == {} and store.versions() == []
+    with store.begin() as t:
+        t.write("a", df)
+        with pytest.raises(StoreError):
+            store.begin()
+        assert t.commit_and_continue() == 1
+        t.write("b", df.limit(2))
+    assert store.versions() == [1, 2] and store.read().frame("b").count() == 2 and sorted(store.read(1).tables) == ["a"]
+    old = store.read()
+    t = store.begin()
+    t.write("a", df.limit(1))
+    assert t.frame("a").count() == 1 and store.read().frame("a").count() == 5
+    t.rollback()
+    with pytest.raises(StoreError):
+        t.commit()
+    with pytest.raises(ZeroDivisionError):
+        with store.begin() as t:
+            t.write("a", df.limit(0))
+            1 / 0
+    assert store.read().frame("a").count() == 5
+    assert store.write_async(lambda t: t.write("a", df.limit(3))).result(60) == 3 and old.frame("a").count() == 5 and Store(spark, str(tmp_path / "store")).read().frame("a").count() == 3
+    assert store.compact() == 4 and store.write_copy(str(tmp_path / "copy")).read().frame("a").count() == 3 and store.vacuum() > 0 and store.versions() == [4] and store.read().frame("a").count() == 3
+    store.begin()
+    assert store.break_lock() and store.begin().version == 4
+
+
+def test_live_tables_keep_marks_and_compact(spark, tmp_path):
+    live = changes.Live(spark, str(tmp_path / "state"), compact=2)
+    schema = "k long, v long, seq long, __deleted boolean"
+    put = lambda rows: live.apply("t", "k", "seq")(spark.createDataFrame(rows, schema), 0)
+    put([(1, 1, 1, False), (2, 2, 1, False)])
+    put([(1, 0, 5, True)])
+    put([(1, 9, 3, False), (3, 3, 2, False)])  # older than the erasure of 1
+    put([(2, 7, 9, False)])
+    put([(2, 6, 8, False)])
+    got = lambda x: sorted((r.k, r.v) for r in x.collect())
+    assert got(live.table("t")) == [(2, 7), (3, 3)] and got(live.table("t", 1)) == [(2, 2)] and got(live.table("t", 0)) == [(1, 1), (2, 2)] and len(live.parts["t"][-1]) <= 2
+    again = changes.Live(spark, str(tmp_path / "state"))
+    assert got(again.table("t")) == [(2, 7), (3, 3)] and again.versions == live.versions
+    q = changes.LiveQuery("bad", lambda t: t["t"].select("nothing"), "k", frozenset({"t"}))
+    assert q.state == "uncommitted" and live.subscriptions.put(q).state == "pending"
+    with pytest.raises(Exception):
+        live.notify({"t"})
+    assert q.state == "error" and q.error
+
+
+def test_notifiers(spark, shop):
+    a, b = (spark.createDataFrame(r, "k long, l array<long>, d map<string,long>, s string") for r in ([(1, [1, 2, 3, 4], {"a": 1, "b": 2}, "x"), (2, [5, 5], None, None), (3, [1], {}, "y"), (4, None, {"a": None}, "z")], [(1, [2, 9, 4, 5], {"b": 3, "c": 1}, "x"), (2, [5], {"a": 1}, "n"), (4, [1], {"a": 1}, "z")]))
+    own = lambda df, *c: sorted((tuple(r[x] for x in ("k", *c)) for r in df.collect()), key=str)
+    assert own(notify.list_changes(a, b, "k", "l"), "deletions", "insertions", "modifications") == [(1, [0, 2], [1, 3], []), (2, [1], [], []), (4, [], [0], [])]
+    assert own(notify.dictionary_changes(a, b, "k", "d"), "deletions", "insertions", "modifications") == [(1, ["a"], ["c"], ["b"]), (2, [], ["a"], []), (4, [], [], ["a"])]
+    assert own(notify.object_changes(a, b, "k", ["s"]), "change", "property", "before", "after") == [(2, "modification", "s", "{}", '{"v":"n"}'), (3, "deletion", None, None, None)]
+    rnd = random.Random(3)
+    for _ in range(200):
+        x, y = ([rnd.randrange(4) for _ in range(rnd.randrange(9))] for _ in range(2))
+        gone, new = notify.edit_script(x, y)
+        assert [v for i, v in enumerate(x) if i not in gone] == [v for i, v in enumerate(y) if i not in new]
+        common = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, j in ((i, j) for i in range(len(x)) for j in range(len(y))):
+            common[i + 1][j + 1] = common[i][j] + 1 if x[i] == y[j] else max(common[i][j + 1], common[i + 1][j])
+        assert len(x) - len(gone) == common[-1][-1]
+    after = Catalog(spark)
+    after.classes = dict(shop.classes)
+    c = shop.get("item")
+    after.add("item", c.frame.withColumn("n", F.when(F.col("k") == 4, 11).otherwise(F.col("n"))), "k", list(c.properties.values()))
+    got = notify.deep_changes(Results(shop, "box"), Results(after, "box"), "all.n", "top.n")
+    assert [(r.id, r.change, r.columns) for r in got.collect()] == [(3, "modification", ["all.n"])]
+    assert changes.diff(*(spark.createDataFrame(r, "k long, v long") for r in ([(None, 1)], [(None, 2)])), "k").first().change == "modification"
+
+
+def test_lists_and_schemas_of_many_writers(spark):
+    SCHEMA = instructions.SCHEMA + ", seen long"
+    ins = lambda *r: ("t", "a", *r)
+    log = [
+        ins("create", "", None, 0, 1, 1, False, None), ins("list_insert", "l", "x", 0, 2, 1, False, 1), ins("list_insert", "l", "y", 1, 3, 1, False, 2),
+        # Two writers who had both seen x, y: one erases x, the other inserts behind y and sets y, which stands at 0 by then.
+        ins("list_erase", "l", None, 0, 4, 1, False, 3), ins("list_insert", "l", "z", 2, 5, 2, False, 3), ins("list_set", "l", "Y", 1, 6, 2, False, 3), ins("list_set", "l", "lost", 0, 7, 2, False, 3),
+        ins("list_insert", "m", "p", 0, 2, 1, False, 1), ins("list_insert", "m", "q", 0, 2, 2, False, 1), ins("list_insert", "m", "r", 2, 3, 1, False, 2), ins("list_move", "m", "0", 2, 4, 1, False, 3),
+        ins("list_insert", "n", "a", 0, 2, 1, False, 1), ins("clear", "n", None, 0, 3, 2, False, 2), ins("list_set", "n", "gone", 0, 4, 1, False, 2), ins("list_insert", "n", "b", 0, 5, 1, False, 4),
+    ]
+    want = {"l": ["Y", "z"], "m": ["r", "p", "q"], "n": ["b"]}
+    rnd = random.Random(5)
+    for _ in range(2):
+        rnd.shuffle(log)
+        assert {r.field: r.elements for r in instructions.lists(spark.createDataFrame(log, SCHEMA)).collect()} == want
+    with pytest.raises(Exception, match="Unknown instruction"):
+        instructions.lists(spark.createDataFrame([*log, ins("list_turn", "l", None, 0, 9, 1, False, None)], SCHEMA)).collect()
+    tables_ = [("t", "", "add_table", "", None, 0, 1, 1, False), ("t", "", "add_column", "a", "long", 0, 2, 1, False), ("t", "", "add_column", "b", "string", 0, 3, 1, False), ("t", "", "erase_column", "b", None, 0, 4, 1, False), ("u", "", "add_table", "", None, 0, 1, 1, False), ("u", "", "erase_table", "", None, 0, 5, 1, False), ("v", "", "add_table", "", None, 0, 1, 1, False), ("t", "k", "update", "b", "1", 0, 3, 1, False), ("t", "k", "update", "a", "1", 0, 3, 1, False), ("u", "k", "create", "", None, 0, 2, 1, False)]
+    log = spark.createDataFrame(tables_, instructions.SCHEMA)
+    assert sorted(map(tuple, instructions.schema(log).collect())) == [("t", "a", "long"), ("v", None, None)]
+    assert [(r.table, r.field) for r in instructions.standing(log).collect()] == [("t", "a")]
+
+
+def test_stored_terms_and_weights(spark, tmp_path):
+    cat = Catalog(spark)
+    rows = [(1, "Crème brûlée, crème"), (2, "plain ÷cre÷me"), (3, None), (4, "CREMES"), (5, "x" * 62 + "åb " + "y" * 63 + "åb")]
+    cat.add("d", spark.createDataFrame(rows, "k long, s string"), "k", fulltext=frozenset({"s"}))
+    stored = tables.index_text(cat, "d", "s", str(tmp_path / "terms"))
+    for words, want in (("creme", [1, 2]), ("creme* -brulee", [2, 4]), ("brulee creme", [1]), ("-plain", [1, 3, 4, 5]), ("x" * 62 + "å", [5]), ("y" * 63 + "åb", [5]), ("y" * 63 + "b", [5])):
+        assert sorted(keys(Results(cat, "d", f"s TEXT '{words}'"))) == want == sorted(keys(Results(stored, "d", f"s TEXT '{words}'"))), words
+    assert "__terms_s" not in plan_of(Results(cat, "d", "s TEXT 'a'").df()) and "__terms_s" in plan_of(Results(stored, "d", "s TEXT 'a'").df())
+    got = cat.get("d").frame.where("k = 1").select(text.weighted_terms(F.col("s"))).first()[0]
+    assert [(r.term, r.positions, r.frequency) for r in got] == [("creme", [0, 2], 1.5), ("brulee", [1], 1.0)] and [round(r.weight, 9) for r in got] == [round(1.5 * (1 / 3 + 0.5), 9), round(1 / 6 + 0.5, 9)]
+    assert text.fold("y" * 63 + "åb") == "y" * 63 + "b"
+
+
+def test_extended_json(spark):
+    doc = {"a": None, "b": 5, "c": xj.Int64(5), "d": 1 << 40, "e": True, "f": 1.5, "g": math.inf, "h": "ä\0b", "i": b"\x00\xff", "j": xj.Stamp(7, 2), "k": dt.datetime(1969, 12, 31, 23, 59, 59, 5000), "l": xj.ObjectId("0123456789abcdef01234567"), "m": xj.Decimal("-1.50"), "n": xj.Regex("^a", "i"), "o": xj.MAX, "p": xj.MIN, "q": {"x": [1, {"y": "z"}]}, "r": [], "s": xj.Uuid("00000000-0000-0000-0000-00000000000a"), "t": xj.Decimal("Infinity"), "u": xj.Decimal("1E+20")}
+    raw = xj.to_bytes(doc)
+    assert xj.from_bytes(raw) == doc == xj.loads(xj.dumps(doc)) and isinstance(xj.from_bytes(raw)["c"], xj.Int64) and xj.from_bytes(xj.to_bytes({"x": xj.Decimal("NaN")}))["x"].is_nan()
+    assert xj.to_bytes({"hello": "world"}) == b"\x16\x00\x00\x00\x02hello\x00\x06\x00\x00\x00world\x00\x00"  # the specification's own example
+    assert xj.loads('{"$date":"2020-01-02T03:04:05Z"}') == dt.datetime(2020, 1, 2, 3, 4, 5) and xj.loads('{"$uuid":"00000000-0000-0000-0000-00000000000a"}') == doc["s"]
+    rnd = random.Random(4)
+    for _ in range(2000):
+        bad = bytearray(raw)
+        for _ in range(rnd.randrange(1, 4)):
+            bad[rnd.randrange(len(bad))] = rnd.randrange(256)
+        try:
+            xj.from_bytes(bytes(bad[: rnd.randrange(len(bad) + 1)] if rnd.random() < 0.3 else bad))
+        except ValueError:
+            pass
+    df = spark.createDataFrame([(1, '{"v":{"$numberInt":"3"}}'), (2, None)], "k long, json string")
+    back = xj.decode(xj.encode(df, "json").drop("json"), "bson").select("k", "json")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_instants_between_microseconds(spark):
+    cat = Catalog(spark)
+    cat.add("t", spark.createDataFrame([(1, dt.datetime(2020, 1, 1)), (2, dt.datetime(2020, 1, 1, 0, 0, 0, 1)), (3, None)], "k long, at timestamp_ntz"), "k")
+    for where, want in (("at < T1577836800:500", [1]), ("at > T1577836800:500", [2]), ("at >= T1577836800:500", [2]), ("at <= T1577836800:500", [1]), ("at == T1577836800:500", []), ("at != T1577836800:500", [1, 2, 3]), ("!(at < T1577836800:500)", [2, 3]), ("at == T1577836800:1000", [2])):
+        assert sorted(keys(Results(cat, "t", where))) == want, where
