@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from functools import cache
 from itertools import chain
 
@@ -159,6 +160,8 @@ class Bpe:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = {v: k for k, v in ranks.items()}
+        self.sizes = np.zeros(max(self.bytes) + 1, np.int64)
+        self.sizes[list(self.bytes)] = [len(b) for b in self.bytes.values()]
         # Only the library's pair merging of a single piece is used; the pattern is never matched.
         self.merge = tiktoken.Encoding("ranks", pat_str=r"[^\s\S]", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.pieces: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
@@ -190,12 +193,17 @@ class Bpe:
 
     def offsets(self, ids) -> list[int]:
         """Byte offset at which each id's bytes start in the decoded text."""
-        return [0, *np.cumsum([len(self.bytes[i]) for i in ids])[:-1].tolist()] if len(ids) else []
+        return self.starts(ids).tolist()
+
+    def starts(self, ids) -> np.ndarray:
+        size = self.sizes[np.array(ids, np.int64)] if len(ids) else np.zeros(0, np.int64)
+        return np.cumsum(size) - size
 
 
 def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_decoded and, with ``keep_ids``, ids and offsets of each document."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_decoded long" + ", ids array<int>, offsets array<long>" * keep_ids
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_decoded, offsets_crc32 (of each id's byte offset as a little-endian signed 64-bit integer)
+    and, with ``keep_ids``, ids and offsets of each document."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_decoded long, offsets_crc32 long" + ", ids array<int>, offsets array<long>" * keep_ids
 
     def start():
         bpe = Bpe(ranks)
@@ -204,9 +212,9 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
             out = []
             for (doc, _), parts in zip(rows, bpe.encode_batch([t or "" for _, t in rows])):
                 ids = list(chain.from_iterable([p[0] for p in parts]))
-                back = bpe.decode(ids)
-                row = (doc, len(ids), hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), len(back))
-                out.append(row + ((ids, bpe.offsets(ids)) if keep_ids else ()))
+                back, starts = bpe.decode(ids), bpe.starts(ids)
+                row = (doc, len(ids), hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), len(back), zlib.crc32(starts.astype("<i8").tobytes()))
+                out.append(row + ((ids, starts.tolist()) if keep_ids else ()))
             return out
 
         return step

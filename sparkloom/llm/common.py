@@ -50,7 +50,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """``df`` written and read again. ``small``: much less than what it was made from, so its rows are first gathered in partitions of a useful size, of which there are few."""
+        df = df.hint("rebalance") if small else df
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

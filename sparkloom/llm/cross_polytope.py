@@ -123,7 +123,7 @@ def _hash(vectors: DataFrame, parts: int, tables: int, single: bool) -> DataFram
                 starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
                 for size in np.unique(sizes):
                     pick = np.flatnonzero(sizes == size)
-                    raw = values[starts[pick, None] + np.arange(size)]
+                    raw = values[starts[pick, None] + np.arange(size)].astype(np.float64)
                     # Scaled by the largest component first, so that neither squares overflow nor vanish.
                     x = raw / np.abs(raw).max(1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -244,19 +244,16 @@ def groups(embeddings: DataFrame, least: float = COSINE, tables: int | None = No
     """vec_id, n_links, component_id, kept (vec_id is its component's smallest)."""
     spark = embeddings.sparkSession
     scratch, n = Scratch(spark), partitions(spark)
-    v = F.col(vec_col).cast("array<double>")
+    single = isinstance(embeddings.schema[vec_col].dataType.elementType, FloatType)
+    v = F.col(vec_col).cast("array<float>" if single else "array<double>")
     bad = F.coalesce(F.size(v) < 1, F.lit(True)) | F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) | F.coalesce(F.forall(v, lambda x: x == 0), F.lit(True))
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.when(~bad, v).alias("v"))
-    rows = rows.withColumn("fp", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256)))
-    rows = scratch.keep(rows, "rows")
-    # Equal vectors are one candidate; its rid is their smallest vec_id, made unique by the vector's hash.
-    good = rows.where(F.col("fp").isNotNull())
-    distinct = good.groupBy("fp").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"), F.first("v").alias("v"))
-    distinct = scratch.keep(distinct.withColumn("rid", F.xxhash64("fp")), "distinct")
+    rows = scratch.keep(embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.when(~bad, v).alias("v")), "rows")
+    # Equal vectors, component by component, are one candidate with a number of its own.
+    distinct = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
+    distinct = scratch.keep(distinct.withColumn("rid", F.monotonically_increasing_id()), "distinct")
     lengths = distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
     total, dim = lengths.agg(F.sum("n"), F.max_by("d", "n")).first()
     parts = _parts(total or 0, dim or 1)
-    single = isinstance(embeddings.schema[vec_col].dataType.elementType, FloatType)
     hashed = scratch.keep(_hash(distinct, parts, tables or _tables(parts), single), "hashed")
     # Buckets travel without vectors until those of a single vector are gone, which are most.
     named = hashed.select(F.explode("buckets").alias("bucket"), "rid")
@@ -269,11 +266,11 @@ def groups(embeddings: DataFrame, least: float = COSINE, tables: int | None = No
     found = scratch.keep(_verify(dealt, least, n, single), "found")
     linked = found.where(F.col("kind") == 0).groupBy(F.col("a").alias("rid")).agg(F.sum("b").alias("other_links"))
     roots = components(found.where(F.col("kind") == 1).select("a", "b"), scratch)
-    named = distinct.select("fp", "rid", "first", "weight").join(roots.withColumnRenamed("id", "rid"), "rid", "left").join(linked, "rid", "left")
+    named = distinct.select("rid", "first", "weight").join(roots.withColumnRenamed("id", "rid"), "rid", "left").join(linked, "rid", "left")
     named = scratch.keep(named.withColumn("root", F.coalesce("root", "rid")), "named")
     label = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = named.join(label, "root").select("fp", "component", (F.coalesce("other_links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    out = rows.drop("v").join(named, "fp", "left")
+    named = named.join(label, "root").select("rid", "component", (F.coalesce("other_links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    out = rows.join(distinct.select("v", "rid").join(named, "rid"), "v", "left")
     return out.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept")
     )

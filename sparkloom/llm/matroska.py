@@ -8,8 +8,8 @@ track's byte ranges again. The work is per row, so no shuffle is needed and a lo
 its own tasks.
 
 Defined results: a null or empty text becomes one unit of padding; very long texts become more
-clusters; repeated rows give equal values; extra input columns are ignored; a file cut short yields the
-packets that are whole; bytes that are not EBML raise ``ValueError``.
+clusters; repeated rows give equal values; an empty table gives no row; extra input columns are ignored. A file that is cut short or damaged yields what
+was read up to there, whole packets only; bytes that don't begin as EBML raise ``ValueError`` in ``demux`` and have no packets in a table.
 """
 
 from __future__ import annotations
@@ -119,6 +119,8 @@ def _frames(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     if kind == NO_LACE:
         return [(at, end - at)]
     n, at, sizes = data[at] + 1, at + 1, []
+    if kind not in (XIPH, FIXED, EBML_LACE):
+        raise ValueError("no such lacing")
     if kind == XIPH:
         for _ in range(n - 1):
             s = 0
@@ -134,6 +136,8 @@ def _frames(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     else:
         sizes = [(end - at) // n] * (n - 1)
     sizes.append(end - at - sum(sizes))
+    if min(sizes) < 0 or at > end:
+        raise ValueError("frames are longer than their block")
     out = []
     for s in sizes:
         out.append((at, s))
@@ -145,17 +149,25 @@ def demux(data: bytes) -> Media:
     """Tracks, packets and cues of a Matroska file. Timestamps are in ns; offsets are of the file."""
     if data[:4] != EBML.to_bytes(4, "big"):
         raise ValueError("not a Matroska file")
-    scale, duration, tracks, packets, cues, clusters = 1_000_000, 0.0, [], [], [], []
+    media = Media([], [], [], [], [0])
+    try:
+        _parse(data, media)
+    except (IndexError, struct.error, ValueError, OverflowError):
+        pass  # what was read up to here stands
+    return media._replace(duration_ns=media.duration_ns[0])
+
+
+def _parse(data: bytes, media: Media) -> None:
+    """Read all elements into ``media``; its duration is the one element of a list."""
+    tracks, packets, cues, clusters, _ = media
+    scale, duration = 1_000_000, 0.0
     num = lambda a, b: int.from_bytes(data[a:b], "big")
     real = lambda a, b: struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
     at, base, segment = 0, 0, 0
     while at < len(data):
-        try:
-            start = at
-            ident, body = _vint(data, at, True)
-            n, body = _vint(data, body)
-        except IndexError:
-            break
+        start = at
+        ident, body = _vint(data, at, True)
+        n, body = _vint(data, body)
         end = len(data) if n < 0 else body + n
         if ident in INSIDE:
             at = body
@@ -169,7 +181,7 @@ def demux(data: bytes) -> Media:
                 cues.append({})
             continue
         if end > len(data):
-            break
+            return
         at = end
         if ident == SCALE:
             scale = num(body, end)
@@ -188,10 +200,16 @@ def demux(data: bytes) -> Media:
         elif ident in (SIMPLE, BLOCK):
             track, p = _vint(data, body)
             rel, flags = struct.unpack(">hB", data[p : p + 3])
+            if p + 3 > end:
+                raise ValueError("a block without a header")
             kind, step = flags >> 1 & 3, next((t.get(DEFAULT_NS, 0) for t in tracks if t.get(NUMBER) == track), 0)
-            for i, (o, s) in enumerate(_frames(data, p + 3, end, kind)):
+            frames = _frames(data, p + 3, end, kind)
+            if not 0 <= (base + rel) * scale + len(frames) * step < 1 << 63:
+                raise ValueError("a time beyond 64 bits")
+            for i, (o, s) in enumerate(frames):
                 packets.append(Packet(track, (base + rel) * scale + i * step, o, s, bool(flags & 0x80) or ident == BLOCK, kind, len(clusters) - 1))
-    return Media(tracks, packets, cues, clusters, int(duration * scale))
+        if duration == duration and 0 <= duration * scale < 1 << 63:
+            media.duration_ns[0] = int(duration * scale)
 
 
 def payload(data: bytes, media: Media, track: int = 1) -> bytes:
@@ -244,10 +262,16 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(media_id, media): each text's bytes as a Matroska file."""
+    return text_map(docs.select(F.col(id_col), F.col(text_col)), lambda: lambda rows: [(i, mux(pad((t or "").encode()))) for i, t in rows], "media_id long, media binary", rows=64)
+
+
 def packet_table(media: DataFrame, id_col: str = "media_id", bytes_col: str = "media") -> DataFrame:
-    """One row per packet of each binary Matroska value; null values have none."""
+    """One row per packet of each binary Matroska value; null values and those that are no such file have none."""
+    begins = EBML.to_bytes(4, "big")
 
     def start():
-        return lambda rows: [(i, n, *p) for i, data in rows if data is not None for n, p in enumerate(demux(data).packets)]
+        return lambda rows: [(i, n, *p) for i, data in rows if data is not None and bytes(data[:4]) == begins for n, p in enumerate(demux(bytes(data)).packets)]
 
     return text_map(media.select(id_col, bytes_col), start, "media_id long, packet long, track long, timestamp_ns long, byte_offset long, byte_length long, keyframe boolean, lacing int, cluster int", rows=16)

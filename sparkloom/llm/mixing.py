@@ -3,21 +3,22 @@
 Targets: sources in code point order, null last, take the given weights in turn; shares of all words
 follow the weights, a target stops at ``CAP`` times its source's words, and the excess is shared again by weight.
 
-Rates: the document rates r closest to 1 in relative entropy, within [0, CAP], whose words meet the
-target of their source. The convex dual has one multiplier for each source's token constraint, and its
-solution tilts rates exponentially in a document's words x (over the source's mean):
-r = CAP / (1 + (CAP - 1) exp(-t x)). Newton's method, kept inside a bracket, finds t from sums of
-words and curvature over the source's documents. These depend only on how many documents have how many
-words, so documents are counted by (source, words) once, and every iteration is a small distributed aggregation.
+Rates: the document rates r closest to 1 in relative entropy (the sum of r log r - r + 1), at most ``CAP``, whose words meet the
+target of their source. The convex dual has one multiplier t for each source's token constraint, and its
+solution tilts rates exponentially in a document's words x (over the source's mean): r = exp(t x), or ``CAP`` where that is more.
+Newton's method, kept inside a bracket, finds t from sums of words and curvature over the source's documents. These depend only on how many
+documents have how many words, so documents are counted by (source, words) once, and every iteration is a small distributed aggregation. If
+``ITERATIONS`` don't bring every source within ``CLOSE`` of its target, that is an error.
 
 Rounding: documents are dealt by a hash to bins of about ``BIN`` in each source; in a bin, from the
 longest down, each takes the copies that bring the bin's words closest to its expected words so far.
-The error left over is about half of a bin's shortest document.
+The error left over is about half of a bin's shortest document. Rows that share id and size are told apart by a number, so they don't fill one bin.
 
-Sums of rates are kept in fixed point, so they don't depend on the order of rows, and reruns agree.
+Sums of rates are exact sums of decimals, so they don't depend on the order of rows, and reruns agree.
 
-Defined results: a null text has no words and is never taken; a null source is a source of its own; a source without words has
-target 0; a null doc_id is dealt like any other value; repeated rows count each; ties in a bin go by doc_id; an empty table gives no row; extra columns are ignored.
+Defined results: a null text has no words and is never taken; a very long text is counted whole and is one document; a null source is a source of its
+own; a source without words has target 0; a null doc_id is dealt like any other value; repeated rows count each; ties in a bin go by doc_id; an empty table gives
+no row; extra columns are ignored. Sources themselves are ordered and shared out in one task: there is one row for each.
 """
 
 from __future__ import annotations
@@ -25,15 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, with_key
+from .common import WORD, Scratch, is_key, partitions, with_key
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
 BIN = 48
-ITERATIONS = 60
-#: Words that rounding may leave a target apart when iterations end, as a share of it.
-CLOSE = 1e-7
-_FIX = 4096.0
+ITERATIONS = 80
+#: How far from its target a source's expected words may be when iterations end: as a share of it, or in words where that is more.
+CLOSE, CLOSE_WORDS = 1e-7, 0.01
+#: Rows of one id and size that are numbered by one task.
+RUN = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -61,7 +63,7 @@ def targets(sources: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEI
 
 
 def _rate(t: Column, x: Column, cap: int) -> Column:
-    return F.lit(float(cap)) / (1 + (cap - 1) * F.exp(F.least(F.lit(700.0), -t * x)))
+    return F.least(F.lit(float(cap)), F.exp(F.least(F.lit(700.0), t * x)))
 
 
 def tilts(counts: DataFrame, goals: DataFrame, scratch: Scratch, cap: int = CAP) -> DataFrame:
@@ -77,17 +79,17 @@ def tilts(counts: DataFrame, goals: DataFrame, scratch: Scratch, cap: int = CAP)
         at = counts.join(state, counts["source"].eqNullSafe(state["source"])).where(~F.col("full") & (F.col("size") > 0))
         x = F.col("size") / F.col("mean")
         r = _rate(F.col("tilt"), x, cap)
-        sums = at.groupBy(state["source"].alias("s")).agg(
-            F.sum((r * F.col("size") * F.col("n") * _FIX).cast("long")).alias("got"), F.sum((r * (1 - r / cap) * x * F.col("size") * F.col("n") * _FIX).cast("long")).alias("slope")
-        )
+        exact = lambda c: F.sum(c.cast("decimal(38,10)")).cast("double")
+        sums = at.groupBy(state["source"].alias("s")).agg(exact(r * F.col("size") * F.col("n")).alias("got"), exact(F.when(r < cap, r * x * F.col("size") * F.col("n")).otherwise(0.0)).alias("slope"))
         new = state.join(sums, state["source"].eqNullSafe(sums["s"]), "left")
-        gap = F.coalesce(F.col("got") / _FIX - F.col("target"), F.lit(0.0))
+        gap = F.coalesce(F.col("got") - F.col("target"), F.lit(0.0))
         low, high = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low")), F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
-        step = F.col("tilt") - gap / F.greatest(F.col("slope") / _FIX, F.lit(1e-12))
+        step = F.col("tilt") - gap / F.greatest(F.col("slope"), F.lit(1e-12))
         # Outside the bracket a step is replaced: doubling towards an open end, halving between two ends.
         inner = F.when(high >= 1e9, F.greatest(low * 2, F.lit(1.0))).when(low <= -1e9, F.least(high * 2, F.lit(-1.0))).otherwise((low + high) / 2)
-        fine = F.abs(gap) <= F.col("target") * CLOSE
-        tilt = F.when(fine | F.col("full"), F.col("tilt")).when((step > low) & (step < high) & (F.abs(step) < 1e8), step).otherwise(inner)
+        fine = F.abs(gap) <= F.greatest(F.col("target") * CLOSE, F.lit(CLOSE_WORDS))
+        halve = F.lit(k % 4 == 3) & (low > -1e9) & (high < 1e9)  # now and then, so that the bracket is sure to close
+        tilt = F.when(fine | F.col("full"), F.col("tilt")).when(~halve & (step > low) & (step < high) & (F.abs(step) < 1e8), step).otherwise(inner)
         new = new.select(
             state["source"], "source_size", "docs", "target", "mean", "full", tilt.alias("tilt"), low.alias("low"), high.alias("high"), F.when(fine | F.col("full"), 0.0).otherwise(F.abs(gap) / F.col("target")).alias("off")
         )
@@ -96,9 +98,20 @@ def tilts(counts: DataFrame, goals: DataFrame, scratch: Scratch, cap: int = CAP)
         state = new
         if not state.where(F.col("off") > 0).head(1):
             break
+    else:
+        raise RuntimeError(f"{ITERATIONS} iterations left sources apart from their targets, by up to {state.agg(F.max('off')).first()[0]:.1e} of them")
     return state.select("source", "source_size", "docs", "target", "mean", F.when(~F.col("full"), F.col("tilt")).alias("tilt"))
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """``sized`` with a number k that tells rows of one source, id and size apart."""
+    if is_key(sized):
+        return sized.withColumn("k", F.lit(0).cast("long"))
+    runs = sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n")).withColumn("b", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {RUN}"))))
+    dealt = runs.repartition(partitions(sized.sparkSession), "doc_id", "size", "b")
+    return dealt.withColumn("k", F.explode(F.sequence(F.col("b") * RUN, F.least(F.col("n"), (F.col("b") + 1) * RUN) - 1))).drop("n", "b")
+
+
 def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies) from (doc_id, source, size)."""
     scratch = Scratch(sized.sparkSession)
@@ -107,10 +120,11 @@ def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     goals = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")), scratch, weights, cap)
     found = tilts(counts, goals, scratch, cap).withColumnRenamed("source", "s")
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("tilt").isNull(), float(cap)).otherwise(_rate(F.col("tilt"), F.col("size") / F.col("mean"), cap))
+    sized = _numbered(sized)
     rated = sized.join(found, sized["source"].eqNullSafe(found["s"])).withColumn("rate", rate)
     # Bins by a hash that many documents of one source share no more than by chance.
     bins = F.greatest(F.lit(1), F.ceil(F.col("docs") / BIN)).cast("long")
-    rated = rated.withColumn("bin", F.pmod(F.xxhash64("doc_id", "size"), bins))
+    rated = rated.withColumn("bin", F.pmod(F.xxhash64("doc_id", "size", "k"), bins))
     doc = F.struct((-F.col("size")).alias("k"), "doc_id", "rate")
     binned = rated.groupBy("source", "source_size", "target", "bin").agg(F.array_sort(F.collect_list(doc)).alias("docs"))
 

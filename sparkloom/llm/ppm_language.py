@@ -9,12 +9,14 @@ languages are merged into one automaton: the longest context known to any of the
 next byte a cell, and the cell holds the cost in every language, computed once. Scoring is two gathers a byte
 over whole batches.
 
-Fitting reads at most ``TRAIN_BYTES`` of text for each of at most ``MAX_LANGUAGES`` languages (the
-documented sample, drawn by a hash of id and text); scoring is per row, without a shuffle.
+Fitting reads at most ``TRAIN_BYTES`` of text for each language, and ``TRAIN_TOTAL`` for all (the documented sample, drawn by a hash of
+id and text; a drawn text beyond that is read to there). A language keeps its ``MAX_CONTEXTS`` commonest long contexts, whatever other
+languages there are. Languages are scored in groups of ``GROUP``, each with an automaton of its own, which bounds what is broadcast; a text's
+best language and score are carried from group to group. Scoring is per row, without a shuffle.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; very long texts are scored
 whole; ties go to the language first by code point; repeated rows get equal results; without any
-training row every text is ``und``; extra columns are ignored.
+training row every text is ``und``; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +27,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bound_batches, crc_mod
+from .common import Scratch, arrow_schema, bound_batches, crc_mod
 
 ORDER = 3
 TRAIN_BYTES = 600_000
 TRAIN_DOCS = 1_500
-#: Longer documents aren't drawn into the sample; every document is scored whole.
-TRAIN_CHARS = 200_000
-MAX_LANGUAGES = 64
-#: Rows of the merged automaton; beyond that the rarest long contexts are pruned.
-MAX_STATES = 24_000
+TRAIN_TOTAL = 64_000_000
+#: Contexts of ``ORDER`` bytes that a language keeps, the commonest ones.
+MAX_CONTEXTS = 6_000
+#: Languages in one automaton.
+GROUP = 6
 LETTER = regex.compile(r"\p{L}")
 BREAK = 0  # the symbol before a text's first byte
 
@@ -107,17 +109,18 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
                 code = code + s[ORDER - k : len(s) - k] * size**k
             per.append(np.unique(code[s[ORDER:] != BREAK], return_counts=True))
         grams[lang] = per
-    # States: contexts known to any language, by order; the longest ones that are rarest give way.
+    # A language's rarest contexts of full length give way, so its code lengths don't depend on other languages.
+    for lang in langs:
+        code, count = grams[lang][ORDER]
+        ctx, inverse = np.unique(code // size, return_inverse=True)
+        if len(ctx) > MAX_CONTEXTS:
+            kept = np.zeros(len(ctx), bool)
+            kept[np.argsort(-np.bincount(inverse, count), kind="stable")[:MAX_CONTEXTS]] = True
+            grams[lang][ORDER] = code[kept[inverse]], count[kept[inverse]]
+    # States: contexts known to any language, by order.
     known = [np.zeros(1, np.int64)]
     for order in range(1, ORDER + 1):
-        codes = np.concatenate([grams[g][order][0] // size for g in langs])
-        counts = np.concatenate([grams[g][order][1] for g in langs])
-        ctx, inverse = np.unique(codes, return_inverse=True)
-        total = np.bincount(inverse, counts)
-        room = MAX_STATES - sum(map(len, known))
-        if len(ctx) > room:
-            ctx = np.sort(ctx[np.argsort(-total, kind="stable")[:room]])
-        known.append(ctx)
+        known.append(np.unique(np.concatenate([grams[g][order][0] // size for g in langs])))
     base = np.concatenate([[0], np.cumsum([len(k) for k in known])])
     cost = np.empty((len(langs), base[-1] * size), np.float32)
     for i, lang in enumerate(langs):
@@ -156,68 +159,89 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
 
 
 def sample(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[bytes]]:
-    """About TRAIN_DOCS documents or TRAIN_BYTES of folded text for each language, by a hash of id and text."""
-    rows = docs.where(train & F.col(lang_col).isNotNull() & F.length(F.col(text_col)).between(1, TRAIN_CHARS)).select(
+    """About TRAIN_DOCS documents or TRAIN_BYTES of folded text for each language, by a hash of id and text, and at least one document."""
+    rows = docs.where(train & F.col(lang_col).isNotNull() & (F.length(F.col(text_col)) > 0)).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")
     )
     # The share to draw follows from counts, so that no task gathers a language and the driver gets a bounded part.
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("size")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    share = [(r.lang, min(1.0, TRAIN_DOCS / r.n, TRAIN_BYTES / (r.n * r.size))) for r in counts.collect()]
-    if not share:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("size"), F.min(F.struct(F.pmod("h", F.lit(1_000_003)).alias("u"), "h")).alias("first"))
+    langs = counts.count()
+    if not langs:
         return {}
-    unit = F.pmod(F.col("h"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    want = F.lit(False)
-    for lang, p in share:
-        want = want | ((F.col("lang") == lang) & (unit < p))
+    room = min(TRAIN_BYTES, TRAIN_TOTAL // langs)
+    share = F.least(F.lit(1.0), F.lit(TRAIN_DOCS) / F.col("n"), F.lit(room) / (F.col("n") * F.col("size")))
+    picked = rows.join(counts.select("lang", share.alias("share"), "first"), "lang").where((F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0) < F.col("share")) | (F.col("h") == F.col("first.h")))
+    # Rows that are equal in id and text are drawn together and count once.
+    drawn = picked.groupBy("lang", "h").agg(F.min(F.substring("text", 1, room)).alias("text")).collect()
     out: dict[str, list[bytes]] = {}
     used: dict[str, int] = {}
-    # Rows that are equal in id and text are drawn together; the limit bounds them too.
-    drawn = rows.where(want).select("lang", "text").limit(4 * TRAIN_DOCS * len(share)).collect()
-    for r in sorted(drawn):
-        t = _fold(r.text)
-        if used.get(r.lang, 0) < 2 * TRAIN_BYTES:
+    for r in sorted(drawn, key=lambda r: (r.lang, r.h % 1_000_003, r.h)):
+        t = _fold(r.text)[:room]
+        if used.get(r.lang, 0) < 2 * room:
             out.setdefault(r.lang, []).append(t)
             used[r.lang] = used.get(r.lang, 0) + len(t)
     return out
 
 
-def _predict(model: Model | None, texts: list[str | None]) -> list[tuple[str, float, float]]:
-    """(language, score, bits a byte) of each text."""
-    live = [i for i, t in enumerate(texts) if t and model and LETTER.search(t)]
-    out = [("und", 0.0, 0.0)] * len(texts)
+def fit_all(samples: dict[str, list[bytes]]) -> list[Model]:
+    """Models of all languages, ``GROUP`` in each."""
+    langs = sorted(samples)
+    return [fit({g: samples[g] for g in langs[at : at + GROUP]}) for at in range(0, len(langs), GROUP)]
+
+
+def _predict(model: Model, texts: list[str | None], before: list[tuple]) -> list[tuple]:
+    """(language, its bits, bytes, log of the sum of all languages' likelihoods) of each text, over this model's languages and those ``before``; nulls where there is none yet, or the text has no letter."""
+    live = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    out = list(before)
     if live:
         folded = [_fold(texts[i]) for i in live]
         bits = model.bits(folded)
-        size = np.array([max(1, len(t)) for t in folded])
         # Evidence of a long text is scaled to that of 64 bytes, so the score still tells mixed texts from pure ones.
-        z = -bits * np.log(2) * np.minimum(1, 64 / size)[:, None]
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
+        size = np.array([max(1.0, len(t)) for t in folded])
+        scale = np.log(2) * np.minimum(1, 64 / size)
+        z = -bits * scale[:, None]
+        total = z.max(1) + np.log(np.exp(z - z.max(1, keepdims=True)).sum(1))
         best = bits.argmin(1)
         for k, i in enumerate(live):
-            out[i] = (model.langs[best[k]], float(p[k, best[k]]), float(bits[k, best[k]] / size[k]))
+            lang, had, _, sum_ = before[i]
+            mine = float(bits[k, best[k]])
+            # Groups are in the order of code points, so that an earlier one wins a tie.
+            out[i] = (lang if lang is not None and had <= mine else model.langs[best[k]], mine if had is None else min(had, mine), float(size[k]), float(total[k] if sum_ is None else np.logaddexp(total[k], sum_)))
     return out
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+def identify(docs: DataFrame, models: list[Model], text_col: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
     """All columns of ``docs`` with the language, score (0 to 1) and bits a byte added under the names ``out``."""
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_STATES and MAX_LANGUAGES
     names = [f for f in docs.schema.fields if f.name not in out]
-    frame = docs.select(*[F.col(f"`{f.name}`") for f in names], F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in names), f"{out[0]} string, {out[1]} double, {out[2]} double"])
-    arrow = arrow_schema(schema)
+    state = ("__ppm_lang", "__ppm_bits", "__ppm_bytes", "__ppm_sum")
+    frame = docs.select(*[F.col(f"`{f.name}`") for f in names], F.col(text_col).alias("__ppm_text"), F.lit(None).cast("string").alias(state[0]), *[F.lit(None).cast("double").alias(c) for c in state[1:]])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in names), f"__ppm_text string, {state[0]} string, {state[1]} double, {state[2]} double, {state[3]} double"])
+    arrow, scratch = arrow_schema(schema), Scratch(spark)
+
+    def step(model: Model):
+        shared = spark.sparkContext.broadcast(model)  # bounded by GROUP and MAX_CONTEXTS
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    text, *before = (c.to_pylist() for c in part.columns[-5:])
+                    found = list(zip(*_predict(shared.value, text, list(zip(*before)))))
+                    arrays = [c.cast(f.type) for c, f in zip(part.columns[:-4], arrow)]
+                    yield pa.RecordBatch.from_arrays(arrays + [pa.array(list(c), arrow.field(n).type) for c, n in zip(found, state)], schema=arrow)
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                cols = list(zip(*_predict(shared.value, part.column(part.num_columns - 1).to_pylist())))
-                arrays = [c.cast(f.type) for c, f in zip(part.columns[:-1], arrow)]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(list(c), arrow.field(n).type) for c, n in zip(cols, out)], schema=arrow)
+        return run
 
-    return frame.mapInArrow(run, schema)
+    for k, model in enumerate(models):
+        frame = frame.mapInArrow(step(model), schema)
+        if k + 1 < len(models):
+            frame = scratch.keep(frame, f"scored{k}")  # one model at a time in a worker
+            scratch.drop(f"scored{k - 1}")
+    lang, bits, size, total = map(F.col, state)
+    score = F.when(lang.isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.exp(-bits * F.lit(float(np.log(2))) * F.least(F.lit(1.0), F.lit(64.0) / size) - total)))
+    return frame.select(*[F.col(f"`{f.name}`") for f in names], F.coalesce(lang, F.lit("und")).alias(out[0]), score.alias(out[1]), F.coalesce(bits / size, F.lit(0.0)).alias(out[2]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -226,12 +250,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_byte: fitted on the documents that are not held out."""
-    found = sample(docs, ~held_out())
-    return identify(docs.select("doc_id", "text"), fit(found) if found else None).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    return identify(docs.select("doc_id", "text"), fit_all(sample(docs, ~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the texts that have no language, ``lang`` set to the one found."""
-    found = sample(docs, ~held_out())
-    named = identify(docs, fit(found) if found else None, out=("__lang", "__score", "__bits"))
+    named = identify(docs, fit_all(sample(docs, ~held_out())), out=("__lang", "__score", "__bits"))
     return named.where(F.col("__lang") != "und").withColumn("lang", F.col("__lang")).select(*docs.columns)

@@ -32,6 +32,10 @@ def op6_matroska(spark, sf_dir):
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
 
+def media_packets(spark, sf_dir):
+    return matroska.packet_table(matroska.files(table(spark, sf_dir, "documents")))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op8_cross_polytope": op8_cross_polytope,
     "op9_token_index": op9_token_index,
     "op10_byte_bpe": op10_byte_bpe,
+    "media_packets": media_packets,
 }
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 

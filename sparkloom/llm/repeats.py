@@ -250,7 +250,7 @@ def spans(
     parts = [found.where("off < 0").select("uid", F.col("st").alias("a"), F.col("n").alias("b"))]
     step, width = 0, length - anchor
     while True:
-        large = scratch.keep(rest.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), f"large{step}")
+        large = scratch.keep(rest.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), f"large{step}", small=True)
         if large.isEmpty():
             break
         parts.append(rest.join(large, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key").mapInArrow(match, "uid long, a int, b int"))

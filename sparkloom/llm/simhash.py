@@ -319,7 +319,7 @@ def linked(distinct: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     n = partitions(distinct.sparkSession)
     bound_batches(distinct.sparkSession)
     sharded = _shards(distinct, radius)
-    large = scratch.keep(sharded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > ROOM), "large")
+    large = scratch.keep(sharded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > ROOM), "large", small=True)
     if large.isEmpty():
         return _inside(sharded, radius, n)
     return _inside(sharded.join(large, "key", "left_anti"), radius, n).union(_between(sharded, large, radius, n, scratch))
@@ -344,7 +344,7 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, id_col: str
     scratch = Scratch(spark)
     prints = scratch.keep(fingerprints(docs, shingle, id_col, text_col), "prints")
     distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(scratch.keep(linked(distinct.select("fp"), radius, scratch).distinct(), "links"), scratch)
+    roots = components(scratch.keep(linked(distinct.select("fp"), radius, scratch).distinct(), "links", small=True), scratch)
     # The label of a component is its smallest doc_id.
     member = distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = scratch.keep(member.select("fp", "root", "first"), "member")
@@ -418,50 +418,64 @@ class _LongList:
     def near(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(of x, of y, distance of sketches) for the pairs of rows x and y that may be near: sets of n and m shingles at 0.8 differ in at most (n + m) / 9."""
         step = max(1, (1 << 18) // max(len(y), 1))
+        theirs, size = self.bits[y].T.copy(), self.n[y].astype(np.int32)
         for at in range(0, len(x), step):
             p = x[at : at + step]
-            total = self.n[p][:, None] + self.n[y][None]
-            d = np.bitwise_count(self.bits[p][:, None, :] ^ self.bits[y][None, :, :]).sum(2, dtype=np.int64)
-            good = (9 * d <= total) & may_be_near(self.n[p][:, None], self.i[p][:, None], self.n[y][None], self.i[y][None])
+            d = np.zeros((len(p), len(y)), np.uint16)
+            for mine, other in zip(self.bits[p].T, theirs):
+                d += np.bitwise_count(mine[:, None] ^ other)
+            good = d <= (self.n[p].astype(np.int32)[:, None] + size) // 9
             if self.cross:
-                good &= self.side[p][:, None] != self.side[y][None]
+                good &= self.side[p][:, None] != self.side[y]
             a, b = np.nonzero(good)
-            yield p[a], y[b], d[a, b]
-
-    def _closest(self, rows: np.ndarray, main: np.ndarray) -> tuple[int, int] | None:
-        """The pair of rows whose sketches differ least among those that may be near, or one that differs in under half of what it may."""
-        best = None
-        for at in range(0, len(main), 256):
-            for a, b, d in self.near(rows, main[at : at + 256]):
-                if len(d):
-                    k = d.argmin()
-                    best = min(best or (1 << 60, 0, 0), (int(d[k]), int(a[k]), int(b[k])))
-                    if 18 * d[k] <= self.n[a[k]] + self.n[b[k]]:
-                        return best[1:]
-        return best and best[1:]
+            i, j = p[a], y[b]
+            fits = may_be_near(self.n[i], self.i[i], self.n[j], self.i[j])
+            yield i[fits], j[fits], d[a[fits], b[fits]].astype(np.int64)
+
+    def _apart(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of different parts that may be near, with the distance of their sketches, in blocks of rows outside of the largest part."""
+        main, every = self.counts.argmax(), np.arange(len(self.v))
+        out = np.flatnonzero(self.part != main)
+        for at in range(0, len(out), 256):
+            found = list(self.near(out[at : at + 256], every))
+            a, b, d = (np.concatenate(c) for c in zip(*found))
+            p, q = self.part[a], self.part[b]
+            good = (p != q) & ((q == main) | (q > p))
+            yield a[good], b[good], d[good]
 
     def forest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """A close pair for each part that may be near others: as many as parts at most."""
-        by_part = np.split(np.argsort(self.part, kind="stable"), np.cumsum(self.counts)[:-1])
-        todo = sorted(by_part, key=lambda rows: -len(rows))
-        while len(todo) > 1:
-            main, rest = todo[0], []
-            for rows in todo[1:]:
-                if found := self._closest(rows, main):
-                    yield np.array(found[:1]), np.array(found[1:])
-                    main = np.concatenate([main, rows])
-                else:
-                    rest.append(rows)
-            todo = rest
+        """Close pairs that would connect all parts that may be near: fewer than there are parts."""
+        label = np.arange(len(self.counts))
+
+        def top(p: int) -> int:
+            while label[p] != p:
+                label[p] = label[label[p]]
+                p = label[p]
+            return p
+
+        for a, b, d in self._apart():
+            order = np.argsort(d, kind="stable")
+            a, b = a[order], b[order]
+            while True:
+                while (label[label] != label).any():
+                    label[:] = label[label]
+                p, q = label[self.part[a]], label[self.part[b]]
+                a, b, p = a[p != q], b[p != q], p[p != q]
+                if not len(a):
+                    break
+                # The closest pair of each part joins it to another one.
+                pick, joined = np.sort(np.unique(p, return_index=True)[1]), []
+                for k in pick.tolist():
+                    x, y = top(self.part[a[k]]), top(self.part[b[k]])
+                    if x != y:
+                        label[max(x, y)] = min(x, y)
+                        joined.append(k)
+                yield a[joined], b[joined]
 
     def all(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of different parts that may be near."""
-        main = self.counts.argmax()
-        for x in np.flatnonzero(self.part != main):
-            y = np.flatnonzero((self.part == main) | (self.part > self.part[x]))
-            y = y[self.part[y] != self.part[x]]
-            for a, b, _ in self.near(np.array([x]), y):
-                yield a, b
+        for a, b, _ in self._apart():
+            yield a, b
 
 
 def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -522,7 +536,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
 
     two = pairs.join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
-    return scratch.keep(two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), name)
+    return scratch.keep(two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), name, small=True)
 
 
 def near_groups(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -554,7 +568,7 @@ def near_groups(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols]], schema=schema)
 
-    names = scratch.keep(docs.select(F.col(key), F.col(text_col)).mapInArrow(name, ddl), "names")
+    names = scratch.keep(docs.select(F.col(key), F.col(text_col)).mapInArrow(name, ddl), "names", small=True)
     distinct = scratch.keep(names.groupBy("x", "y").agg(F.min("key").alias("v"), F.min_by("fp", "key").alias("fp")), "distinct")
     texts = docs.select(F.col(key).cast("long").alias("v"), F.col(text_col).alias("text")).join(distinct.select("v"), "v", "left_semi")
     # The first candidates: fingerprints that are equal or linked.
@@ -563,7 +577,7 @@ def near_groups(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     close = linked(prints.select("fp"), RADIUS, scratch).distinct()
     ends = [prints.select(F.col("fp").alias(c), F.col("v").alias(f"v{c}")) for c in "ab"]
     close = close.join(ends[0], "a").join(ends[1], "b").select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"))
-    links = _verified(scratch.keep(equal.union(close), "close"), texts, scratch, "linked")
+    links = _verified(equal.union(close), texts, scratch, "linked")
     scratch.reclaim()
     part = components(links, Scratch(spark)).withColumnRenamed("id", "v")
     order = spark.sparkContext.broadcast(_common(texts, distinct.count()))
@@ -620,10 +634,10 @@ def near_groups(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     few = few.join(heavy.select(F.col("v").alias("a"), F.col("h").alias("ha")), "a", "left").join(heavy.select(F.col("v").alias("b"), F.col("h").alias("hb")), "b", "left")
     # What two prefixes share and what may follow one of them bounds the overlap.
     few = few.where("9 * (c + least(coalesce(ha, 0), coalesce(hb, 0)) + (4 * greatest(n, m) + 4) div 5 - 1) >= 4 * (n + m)").select("a", "b")
-    few = _verified(scratch.keep(few, "candidates"), texts, scratch, "near")
+    few = _verified(few, texts, scratch, "near")
     links = links.union(few)
     if not many.isEmpty():
-        drawn = scratch.keep(texts.join(heavy.select("v"), "v", "left_semi").select("v", "text").mapInArrow(draw, "v long, bits binary"), "sketches")
+        drawn = scratch.keep(texts.join(heavy.select("v"), "v", "left_semi").select("v", "text").mapInArrow(draw, "v long, bits binary"), "sketches", small=True)
         # A list of over BLOCK is dealt to several tasks by pairs of blocks.
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         dealt = many.join(many.groupBy("key").agg(F.count("*").alias("size")), "key").withColumn("side", F.pmod(F.xxhash64("v", F.lit(3)), blocks).cast("int"))
@@ -642,7 +656,7 @@ def near_groups(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         # Pairs that also share a shingle of a short list are decided above, so the long lists that a pair shares are all that its prefixes share.
         rest = rest.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
         rest = rest.where("9 * (c + (4 * greatest(n, m) + 4) div 5 - 1) >= 4 * (n + m)").select("a", "b").join(tried, ["a", "b"], "left_anti")
-        links = links.union(_verified(scratch.keep(rest, "others"), texts, scratch, "rest"))
+        links = links.union(_verified(rest, texts, scratch, "rest"))
     roots = components(links, scratch)
     named = distinct.join(roots.withColumnRenamed("id", "v"), "v", "left").select("x", "y", F.coalesce("root", "v").alias("root"))
     return names.join(named, ["x", "y"]).select(F.col("key").alias(key), "root")

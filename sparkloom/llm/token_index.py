@@ -40,7 +40,7 @@ SHARD_DOCS = 4096
 #: Words and pieces that a generation of a worker's cache holds, of which there are two; at about 200 bytes each this bounds it.
 CACHE = 450_000
 SHARD_SCHEMA = (
-    "part int, shard int, first_doc long, last_doc long, n_docs long, n_ids long, first_id long, width int, "
+    "part int, shard int, first_doc long, last_doc long, n_nulls long, n_docs long, n_ids long, first_id long, width int, "
     "keys array<long>, ordinals binary, disp binary, fingerprints binary, offsets binary, lengths binary, payload binary"
 )
 
@@ -185,10 +185,43 @@ class WordEncoder:
         return b"".join(map(known.__getitem__, words))
 
 
+class LibraryEncoder:
+    """Encodes whole texts with the library, for tokenizers of any other kind."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_file(path)
+        self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
+
+    pack = WordEncoder.pack
+
+    def encode(self, text: str) -> bytes:
+        return self.pack(self.lib.encode(text, add_special_tokens=False).ids)
+
+
+#: Normaliser and split of the tokenizers that ``WordEncoder`` is right for, fixed values.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def word_by_word(path: str) -> bool:
+    """Whether the tokenizer file's rules are those that ``WordEncoder`` has."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    last = {k: v for k, v in split[-1].items() if k in ("type", "add_prefix_space", "use_regex")}
+    return (
+        spec.get("normalizer") == NORMALIZER and len(split) == 2 and split[0] == SPLIT and last == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and not spec.get("truncation") and not spec.get("padding")
+        and all(t["content"].startswith("<|") and not t["normalized"] for t in spec.get("added_tokens", []))
+    )
+
+
 @cache
-def encoder(path: str) -> WordEncoder:
-    """One encoder for all tasks of a worker, so that they share its caches."""
-    return WordEncoder(path)
+def encoder(path: str) -> WordEncoder | LibraryEncoder:
+    """One encoder for all tasks of a worker, so that they share its caches: word by word where the file's rules allow that, else the library's."""
+    return WordEncoder(path) if word_by_word(path) else LibraryEncoder(path)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -216,7 +249,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id
                 prints[s], offsets[s], lengths[s] = h[3], at, k
                 at += k
             known = [k for k in keys if k is not None]
-            row = [part, shard, min(known, default=None), max(known, default=None), n, at, first, enc.width, keys, np.array(ordinals, "<u4").tobytes(), disp.astype("<i4").tobytes(), prints.tobytes(), offsets.tobytes(), lengths.tobytes(), b"".join(pieces)]
+            row = [part, shard, min(known, default=None), max(known, default=None), n - len(known), n, at, first, enc.width, keys, np.array(ordinals, "<u4").tobytes(), disp.astype("<i4").tobytes(), prints.tobytes(), offsets.tobytes(), lengths.tobytes(), b"".join(pieces)]
             first, shard, keys, ordinals, pieces, size = first + at, shard + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
@@ -264,27 +297,36 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return shards.join(F.broadcast(before), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, shard int")
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """Ids of the asked documents (a caller's list, so of bounded size): only shards whose range may hold one are opened."""
+def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """Ids of the asked documents (a caller's list, so of bounded size), null among them if asked: shards whose range holds none are passed over by the scan."""
     bound_batches(spark)
-    want = sorted(set(doc_ids))
-    shards = spark.read.parquet(path)
-    may = shards.where(F.exists(F.array(*map(F.lit, want)) if want else F.array().cast("array<long>"), lambda x: x.between(F.col("first_doc"), F.col("last_doc"))))
+    want = sorted({d for d in doc_ids if d is not None})
+    shards, may = spark.read.parquet(path), F.lit(False)
+    # Ranges that a scan can test against what Parquet knows of a row group or page; neighbours share one where there are many.
+    step = max(1, -(-len(want) // 64))
+    for at in range(0, len(want), step):
+        may = may | ((F.col("first_doc") <= want[min(at + step, len(want)) - 1]) & (F.col("last_doc") >= want[at]))
+    if None in doc_ids:
+        may = may | (F.col("n_nulls") > 0)
     schema = arrow_schema("doc_id long, ids array<int>")
+    asked = [*want, *([None] if None in doc_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, out = Shard({n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}), []
-                for doc in want:
+                row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+                shard, out = Shard(row), []
+                for doc in asked:
+                    if doc is not None and not (row["first_doc"] is not None and row["first_doc"] <= doc <= row["last_doc"]):
+                        continue
                     o = 0
-                    while (found := shard.find(doc, o)) is not None:
+                    while (found := shard.find(doc, o)) is not None and o < shard.n:
                         out.append((doc, found[1].tolist()))
                         o += 1
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return may.mapInArrow(run, "doc_id long, ids array<int>")
+    return shards.where(may).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def encode_index(docs: DataFrame, tokenizer: str, end_id: int | None = 1, path: str | None = None) -> DataFrame:

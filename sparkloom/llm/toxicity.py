@@ -12,8 +12,9 @@ counts are aggregated by Spark, and only the lexicon and the hits of that sample
 row, without a shuffle; the model it broadcasts is bounded by ``TERMS``.
 
 Defined results: null and empty texts get the score of a text without hits; very long texts are read
-whole; repeated rows get equal scores; null labels are ignored and a document labelled twice takes the higher label; without toxic training
-rows every score is 0; extra columns are ignored.
+whole; repeated rows get equal scores; null labels are ignored and a document labelled twice takes the higher label; of texts that share a doc_id the first in
+order is learned from; terms of equal weight go in order, and a word as near to two terms takes the first; without toxic training
+rows every score is 0; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -205,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     drawn = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
     scratch = Scratch(spark)
     # The drawn labels are bounded by TRAIN_DOCS, so they may be broadcast.
-    rows = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select(F.col("__toxic").cast("int").alias("y"), "text"), "train")
+    rows = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.first("__toxic").cast("int").alias("y"), F.min("text").alias("text")).select("y", "text"), "train")
     size = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1:

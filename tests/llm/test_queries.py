@@ -268,6 +268,30 @@ def test_sketches_differ_no_more_than_sets():
         assert d <= len(np.setxor1d(a, b)) and simhash.sketch(a) == simhash.sketch(a.copy())
 
 
+def test_long_lists_against_all_pairs():
+    """A list's forest connects what its pairs connect, and is as short as it can be; 6,000 sets that are all near take a moment, and so do as many that aren't."""
+    rng = np.random.default_rng(7)
+
+    def make(sets, roots):
+        n = np.array([len(s) for s in sets])
+        bits = np.array([simhash.sketch(s) for s in sets], object)
+        return simhash._LongList(np.arange(len(sets)), n, np.zeros(len(sets), np.int32), np.array(roots), bits, np.zeros(len(sets), np.int32), False)
+
+    base = [np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.concatenate([base[i % 4][rng.integers(0, 12) :], rng.integers(0, 1 << 63, 2).astype(np.uint64)])) for i in range(60)]
+    roots = [i % 7 if i % 5 else i for i in range(60)]
+    found = make(sets, roots)
+    pairs = {(min(i, j), max(i, j)) for a, b in found.all() for i, j in zip(a.tolist(), b.tolist())}
+    want = {(i, j) for i, j in itertools.combinations(range(60), 2) if roots[i] != roots[j] and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert want <= pairs
+    forest = {(min(i, j), max(i, j)) for a, b in found.forest() for i, j in zip(a.tolist(), b.tolist())}
+    same = lambda i, j: roots[i] == roots[j]
+    assert forest <= pairs and components(range(60), lambda i, j: same(i, j) or (i, j) in forest) == components(range(60), lambda i, j: same(i, j) or (i, j) in pairs) and len(forest) < len(set(roots))
+    for near in (True, False):
+        many = [np.unique(np.concatenate([base[0][: 95 if near else 60], rng.integers(0, 1 << 63, 5 if near else 40).astype(np.uint64)])) for _ in range(3000)]
+        assert sum(len(a) for a, _ in make(many, list(range(3000))).forest()) == (2999 if near else 0)
+
+
 def test_deduplicate_keeps_what_is_below(spark):
     """Edited relatives of a similarity of 0.65 to 0.79 all stay."""
     rnd, texts = random.Random(13), []
@@ -389,6 +413,75 @@ def test_code_lengths_are_those_of_a_distribution():
     assert np.allclose(model.bits([long])[0], model.bits([long[:300_000]])[0] * 1.0 + model._some([long[300_000:]], long[299_997:300_000])[0], rtol=1e-6)
 
 
+def direct_bits(samples, lang, text):
+    """Code length by the definition: counts of each context, escapes with exclusion, one byte at a time."""
+    seen = sorted({b for ts in samples.values() for t in ts for b in t})
+    symbols = {b: i + 2 for i, b in enumerate(seen)}
+    size = len(seen) + 2
+    counts = {}
+    for t in samples[lang]:
+        s = [0] * ppm_language.ORDER + [symbols[b] for b in t]
+        for i in range(ppm_language.ORDER, len(s)):
+            for k in range(ppm_language.ORDER + 1):
+                own = counts.setdefault(tuple(s[i - k : i]), {})
+                own[s[i]] = own.get(s[i], 0) + 1
+    base = [1 / 256] * size
+    base[1] = (257 - size + 1) / 256 / 256
+    base = [b / sum(base) for b in base]
+
+    def probability(ctx, x):
+        own = counts.get(ctx)
+        low = (lambda y: probability(ctx[1:], y)) if ctx else (lambda y: base[y])
+        if not own:
+            return low(x)
+        n, q = sum(own.values()), len(own)
+        left = 1 - sum(low(y) for y in own)
+        escape = q / (n + q) if left > 1e-12 else 0
+        return own[x] / (n + (q if escape else 0)) if x in own else escape * low(x) / max(left, 1e-12)
+
+    s = [0] * ppm_language.ORDER + [symbols.get(b, 1) for b in text]
+    return sum(-np.log2(max(probability(tuple(s[i - ppm_language.ORDER : i]), s[i]), 1e-9)) for i in range(ppm_language.ORDER, len(s)))
+
+
+def test_language_against_code_lengths_by_definition(spark, monkeypatch):
+    """The query's languages and scores from code lengths that are computed one byte at a time, in one group of languages and in several."""
+    rows = languages(36, 3) + [(500, "les THE ein où", None), (501, "les THE ein où", "aa"), (502, None, None), (503, "1 2", "bb"), (501, "les THE ein où", "aa")]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    samples = ppm_language.sample(df, ~ppm_language.held_out())
+    want = {}
+    for _, text, _ in rows:
+        if text and any(c.isalpha() for c in text):
+            folded = text.lower().encode()
+            bits = {g: direct_bits(samples, g, folded) for g in samples}
+            best = min(sorted(bits), key=bits.get)
+            z = [-b * np.log(2) * min(1, 64 / len(folded)) for b in bits.values()]
+            want[text] = (best, 1 / sum(np.exp(v + bits[best] * np.log(2) * min(1, 64 / len(folded))) for v in z))
+    for group in (6, 1):
+        monkeypatch.setattr(ppm_language, "GROUP", group)
+        got = ppm_language.detect(df).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            text = next(t for d, t, _ in rows if d == r.doc_id)
+            # Groups may see different bytes, which moves what is left for bytes that no sample has.
+            lang, score = want.get(text, ("und", 0.0))
+            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6 if group > 1 else 0.05)
+    assert ppm_language.detect(df.limit(0)).count() == 0
+
+
+def test_a_hundred_languages(spark, monkeypatch):
+    """No language is left out, a text too long to draw whole is learned from, and reruns agree."""
+    rnd = random.Random(2)
+    words = {f"l{k:03d}": ["".join(rnd.choices("abcdefghijklmnop", k=5)) for _ in range(6)] for k in range(100)}
+    rows = [(i, " ".join(rnd.choices(words[g], k=12)), g) for i, g in enumerate(list(words) * 6)]
+    rows = [r for r in rows if r[2] != "l099"] + [(7000 + i, " ".join(rnd.choices(words["l099"], k=300)), "l099") for i in range(4)]
+    monkeypatch.setattr(ppm_language, "TRAIN_BYTES", 900)
+    monkeypatch.setattr(ppm_language, "GROUP", 25)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in ppm_language.detect(df).collect()}
+    assert {r.lang_pred for r in got.values()} == set(words) and sum(got[i].lang_pred == g for i, _, g in rows) >= 0.99 * len(rows)
+    assert {i: tuple(r) for i, r in got.items()} == {r.doc_id: tuple(r) for r in ppm_language.detect(df.repartition(5)).collect()}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -432,6 +525,91 @@ def test_toxicity(spark):
     assert m.hits('he said "zorblax" here')[0][2] == -1 and m.hits("you zorblax")[0][2] == 1 and m.hits("a zorblax")[0][2] == 0
 
 
+def test_toxicity_query_against_edit_distance(spark):
+    """The query's scores from hits that are found by comparing every word with every term."""
+    rnd = random.Random(10)
+    plain = "the house is near a quiet river and we walk there on most days he said you".split()
+    docs, labels = [], []
+    for i in range(200):
+        w = rnd.choices(plain, k=20)
+        if i % 4 == 0:
+            w[rnd.randrange(20)] = rnd.choice(["zorblax", "grumphit", "wexlorpian", "zorblex", "wexlorpain", '"zorblax"'])
+        docs.append((i, " ".join(w), "x"))
+        labels.append((i, int(i % 4 == 0)))
+    docs += [(1000, None, "x"), (1001, "", "x"), (3, "another text of 3 zorblax", "x"), (None, "you zorblax", "x")]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, lab, ~toxicity.held_out())
+
+    def nearest(word):
+        near = [(edits(word, t), i) for i, t in enumerate(model.terms) if edits(word, t) <= toxicity.Automaton.edits(t)] if len(word) < 64 else []
+        return min(near, default=None)
+
+    def hits(text):
+        low, out = (text or "").lower(), []
+        tokens = [(m[0], m.start(), m.end()) for m in toxicity.TOKEN.finditer(low)]
+        for i, (w, a, b) in enumerate(tokens):
+            if found := nearest(w):
+                near = tokens[max(0, i - 4) : i + 5]
+                quoted = any(c in low[near[0][1] : a] for c in toxicity.QUOTES) and any(c in low[b : near[-1][2] + 1] for c in toxicity.QUOTES) or any(t[0] in toxicity.REPORTING for t in tokens[max(0, i - 4) : i])
+                out.append((found[1], found[0], -1 if quoted else int(any(t[0] in toxicity.ADDRESS for t in near))))
+        return out
+
+    got = toxicity.detect(df, lab).collect()
+    assert len(got) == len(docs) and sorted((str(r.doc_id), round(r.score, 9)) for r in got) == sorted((str(d), round(float(model.score(hits(t))), 9)) for d, t, _ in docs)
+    assert all(r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode() if r.doc_id is not None else b"") % 5 == 0) for r in got)
+    assert toxicity.detect(df.limit(0), lab).count() == 0 and {r.score for r in toxicity.detect(df, lab.limit(0)).collect()} == {0.0}
+
+
+def test_mixing_deals_repeated_rows(spark):
+    """Rows without an id, or with one id and size, are dealt to many bins, and reach the target like others."""
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c d e f g").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
+    sized = df.select("doc_id", "source", F.lit(7).cast("long").alias("size"))
+    assert mixing._numbered(sized).groupBy("source").agg(F.count_distinct("k").alias("n"), F.count("*").alias("c")).where("n <> c").count() == 0
+    got = mixing.mix(df).groupBy("target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in got) == 20_000 and all(abs(r.taken - r.target) <= 0.01 * r.target for r in got)
+    twice = spark.createDataFrame([(5, "a b", "s", "e")] * 40 + [(None, "c d e", None, "f")] * 40, "doc_id long, text string, source string, copies string")
+    assert mixing.mix(twice).count() == 80
+
+
+def test_mixing_tilts_exponentially(spark):
+    rnd = random.Random(3)
+    rows = [(i, "w " * rnd.randrange(1, 200), rnd.choice("abc")) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "abc":
+        own = [r for r in got if rows[r.doc_id][2] == s]
+        assert sum(r.rate * r.size for r in own) == pytest.approx(own[0].target, abs=0.05)
+        slope = {round(np.log(r.rate) / r.size, 9) for r in own if r.rate < 3}
+        assert max(slope) - min(slope) < 1e-8
+
+
+def test_damaged_media_have_the_packets_before_the_fault(spark):
+    rnd = random.Random(8)
+    good = matroska.mux(bytes(rnd.getrandbits(8) for _ in range(192 * 200)))
+    whole, bad = matroska.demux(good).packets, []
+    for _ in range(3000):
+        b = bytearray(good)
+        for _ in range(rnd.randrange(1, 5)):
+            b[rnd.randrange(4, len(b) if rnd.random() < 0.5 else 400)] = rnd.randrange(256)
+        b = bytes(b[: rnd.randrange(4, len(b))] if rnd.random() < 0.2 else b)
+        bad.append(b)
+        for p in matroska.demux(b).packets:
+            assert 0 <= p.offset and p.length >= 0 and p.offset + p.length <= len(b) and 0 <= p.timestamp_ns < 1 << 63
+    rows = [(0, good), (1, None), (2, b"RIFF"), (3, b"")] + [(10 + i, b) for i, b in enumerate(bad[:60])]
+    got = matroska.packet_table(spark.createDataFrame(rows, "media_id long, media binary")).collect()
+    assert [(r.track, r.timestamp_ns, r.byte_offset, r.byte_length, r.keyframe, r.lacing, r.cluster) for r in sorted((r for r in got if r.media_id == 0), key=lambda r: r.packet)] == [tuple(p) for p in whole]
+    assert not {1, 2, 3} & {r.media_id for r in got}
+    texts = spark.createDataFrame([(1, "ä" * 5000), (2, None)], "doc_id long, text string")
+    packets = matroska.packet_table(matroska.files(texts)).collect()
+    assert sum(r.byte_length for r in packets if r.media_id == 1) == 10_176 and sum(r.byte_length for r in packets if r.media_id == 2) == 192
+
+
+def test_embeddings_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 2.0]), (4, [2.0, 4.0]), (5, [0.0, -0.0])], "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in cross_polytope.groups(df).collect()), key=str)
+    assert got == [(0, 3, 1, None), (1, 3, 1, True), (1, 3, 1, True), (4, 3, 1, False), (5, 0, 5, True)]
+    assert cross_polytope.groups(df.limit(0)).count() == 0
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline
 

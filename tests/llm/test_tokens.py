@@ -1,6 +1,7 @@
 """Token operators against the libraries themselves, on planted and random texts."""
 
 import base64
+import hashlib
 import random
 import zlib
 
@@ -88,6 +89,50 @@ def test_index_round_trip(spark, tmp_path):
     assert sorted(r.doc_id for r in found) == [3, 3, 3, 200]
 
 
+def test_other_tokenizers_are_left_to_the_library(spark, tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    assert token_index.word_by_word(P.path("word_bpe_49k.json")) and not token_index.word_by_word(path)
+    enc, lib = token_index.encoder(path), Tokenizer.from_file(path)
+    for t in texts()[:200]:
+        assert np.frombuffer(enc.encode(t), f"<u{enc.width}").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_lookup_reads_the_shards_in_question(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_index, "SHARD_BYTES", 2000)
+    path = f"file://{tmp_path}/shards"
+    rows = [(i, f"text number {i} " * 20) for i in range(300)] + [(None, "one"), (None, "another"), (77, "again " * 3000)]
+    token_index.write(spark.createDataFrame(rows, "doc_id long, text string"), path, P.path("word_bpe_49k.json"))
+    shards = spark.read.parquet(path)
+    assert shards.where("n_docs > 1 AND octet_length(payload) > 2000").isEmpty() and shards.where("octet_length(payload) > 2000").count() == 1
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = token_index.lookup(spark, path, [5, 77, None])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(first_doc,5)" in text and "GreaterThanOrEqual(last_doc,5)" in text and "GreaterThan(n_nulls,0)" in text
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = lambda t: lib.encode(t, add_special_tokens=False).ids + [1]
+    assert sorted((str(r.doc_id), r.ids) for r in plan.collect()) == sorted((str(d), ids(t)) for d, t in rows if d in (5, 77, None))
+    assert token_index.lookup(spark, path, list(range(0, 300, 3))).count() == 100 and token_index.lookup(spark, path, []).count() == 0
+
+
+def test_byte_bpe_query_is_the_library(spark):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(i, t, "x") for i, t in enumerate(texts()[:400])] + [(5, None, "x"), (None, "no id", "x"), (7, "long " * 60_000, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want, at = [], {}
+    for d, t, _ in rows:
+        ids = lib.encode_ordinary(t or "")
+        starts = np.cumsum([0, *[len(lib.decode_single_token_bytes(i)) for i in ids]])[:-1]
+        at[str(d), sha(" ".join(map(str, ids)).encode())] = (ids, starts.tolist())
+        want.append((str(d), len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode()), zlib.crc32(starts.astype("<i8").tobytes())))
+    got = byte_bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), keep_ids=False).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256, r.offsets_crc32) for r in got) == sorted(want)
+    for r in byte_bpe.encode(df, P.path("byte_bpe_50k.tiktoken")).collect():
+        assert (r.ids, r.offsets) == at[str(r.doc_id), r.ids_sha256]
+
+
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert token_index.encode_index(df, P.path("word_bpe_49k.json"), path=f"file://{tmp_path}/s").count() == 0
