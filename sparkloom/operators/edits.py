@@ -53,7 +53,7 @@ def copy_into(source: Catalog, cls: str, target: Catalog, where: str = "TRUEPRED
             for p in source.get(name).properties.values():
                 if p.kind in ("link", "links") and p.target in target.classes:
                     to = F.explode(q(p.col)) if p.kind == "links" else q(p.col)
-                    keys = rows.select(to.cast("string").alias("__to")).where("__to IS NOT NULL")
+                    keys = rows.select(to.alias("__to")).select(q("__to").cast("string").alias("__to")).where("__to IS NOT NULL")
                     asked[p.target] = asked[p.target].union(keys) if p.target in asked else keys
         frontier = {}
         for name, keys in asked.items():
