@@ -460,11 +460,12 @@ class _LongList:
                 while (label[label] != label).any():
                     label[:] = label[label]
                 p, q = label[self.part[a]], label[self.part[b]]
-                a, b, p = a[p != q], b[p != q], p[p != q]
+                other = p != q
+                a, b, p, q = a[other], b[other], p[other], q[other]
                 if not len(a):
                     break
-                # The closest pair of each part joins it to another one.
-                pick, joined = np.sort(np.unique(p, return_index=True)[1]), []
+                # The closest pair of each part on either side joins it to another one.
+                pick, joined = np.unique(np.concatenate([np.unique(c, return_index=True)[1] for c in (p, q)])), []
                 for k in pick.tolist():
                     x, y = top(self.part[a[k]]), top(self.part[b[k]])
                     if x != y:
