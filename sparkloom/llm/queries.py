@@ -32,6 +32,16 @@ def op6_matroska(spark, sf_dir):
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
 
+def mixing_targets(spark, sf_dir):
+    """What of op 1 SQL can express: sizes and targets."""
+    return mixing.mix(table(spark, sf_dir, "documents")).selectExpr("doc_id", "size", "source_size", "round(target, 4) AS target")
+
+
+def media_payload(spark, sf_dir):
+    """What of op 6 SQL can express: the payload that is read back."""
+    return matroska.text_media(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def media_packets(spark, sf_dir):
     return matroska.packet_table(matroska.files(table(spark, sf_dir, "documents")))
 
@@ -64,10 +74,28 @@ QUERIES = {
     "op9_token_index": op9_token_index,
     "op10_byte_bpe": op10_byte_bpe,
     "media_packets": media_packets,
+    "media_payload": media_payload,
+    "mixing_targets": mixing_targets,
 }
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL: dict[str, str] = {
+    "mixing_targets": f"""
+        WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY 1),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+        -- All sources up to a certain ratio of words to weight are full; the level of the others follows. The right one fills exactly those.
+        l AS (SELECT a.source, ((SELECT sum(n) FROM w) - 3 * coalesce(sum(b.n), 0)) / ((SELECT sum(w) FROM w) - coalesce(sum(b.w), 0)) AS level, any_value(a.n / a.w) AS ratio
+            FROM w a LEFT JOIN w b ON b.n / b.w < a.n / a.w GROUP BY 1),
+        o AS (SELECT min_by(level, ratio) AS level FROM l WHERE 3 * ratio >= level)
+        SELECT doc_id, size, n AS source_size, round(CAST(least(3 * n, coalesce(level * w, 3 * n)) AS DOUBLE), 4) AS target
+        FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source CROSS JOIN o
+    """,
+    "media_payload": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents),
+        p AS (SELECT doc_id, n, CASE WHEN n = 0 THEN 192 ELSE (192 - n % 192) % 192 END AS pad, t FROM d)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n + pad AS BIGINT) AS payload_bytes, sha256(t || repeat(' ', pad)) AS payload_sha256 FROM p
+    """,
     "op2_suffix_array": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         b AS (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(len(h) // 2)) AS p FROM d),

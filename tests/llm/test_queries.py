@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small fixtures with nulls, ties, repeats and odd texts."""
 
+import base64
 import hashlib
 import itertools
 import random
@@ -629,6 +630,46 @@ def test_pipeline(spark, rows, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[4]
 
 
+def test_pipeline_stages_by_brute_force(spark, rows, tmp_path):
+    """Each stage's rows against its definition, on what the stage before kept."""
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    base = [f"w{i}" for i in range(120)]
+    near = [" ".join([*base[:k], "odd", *base[k + 1 :]]) for k in (3, 60, 117)] + [" ".join(base)]
+    data = [(d, t, lang, s, n) for d, t, lang, s, n, *_ in rows] + [(1000 + i, t, "en", "a", len(t)) for i, t in enumerate(near)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = sorted(docs.collect(), key=lambda r: r.doc_id) if k < 4 else docs.collect()
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        seen.append((before, docs.collect()))
+    (a, b), (c, d), (e, f), (g, h), (i, j) = seen
+    assert {r.doc_id for r in b} == {r.doc_id for r in a if r.text and any(x.isalpha() for x in r.text)} and {r.doc_id: r.text for r in b}.items() <= {r.doc_id: r.text for r in a}.items()
+    sets = {r.doc_id: five_words(r.text) for r in c}
+    root = components(sorted(sets), lambda x, y: jaccard(sets[x], sets[y]) >= 0.8)
+    assert {r.doc_id for r in d} == set(root.values()) and len(d) < len(c)
+    want = {}
+    for doc, words, mask in cut([(r.doc_id, r.text) for r in e], WORD.findall, 20):
+        kept = " ".join(w for w, m in zip(words, mask) if not m)
+        if kept or not any(mask):
+            want[doc] = kept if any(mask) else next(r.text for r in e if r.doc_id == doc)
+    assert {r.doc_id: r.text for r in f} == want and all(r.n_chars == len(r.text) for r in f if r.text != next(x.text for x in e if x.doc_id == r.doc_id))
+    times, size = {}, {r.doc_id: len(WORD.findall(r.text)) for r in g}
+    for r in h:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert max(times.values()) <= 3 and times.keys() <= size.keys()
+    goals = {r.doc_id: (r.target, r.taken) for r in mixing.mix(spark.createDataFrame(g)).collect()}
+    for s in {r.source for r in g}:
+        own = [r.doc_id for r in g if r.source == s]
+        assert abs(sum(times.get(x, 0) * size[x] for x in own) - goals[own[0]][0]) <= max(3, 0.05 * goals[own[0]][0])
+    ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert sorted((r.doc_id, r.ids) for r in j) == sorted((r.doc_id, lib.encode_ordinary(r.text)) for r in i)
+
+
 def test_stages_take_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
