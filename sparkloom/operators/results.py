@@ -12,7 +12,7 @@ from ..functions import values
 from ..plans.catalog import Catalog
 from ..plans.lower import Lowering, Scalar, q
 from ..plans.parser import Parser, merged, parse
-from ..plans.tree import And, Distinct, Keep, Limit, Or, Path, Query, QueryError, Restrict, Sort, Truth, Within
+from ..plans.tree import And, Compare, Const, Distinct, Keep, Key, Limit, Or, Path, Query, QueryError, Restrict, Sort, Truth, Within
 
 CUTS = (Distinct, Limit, Keep, Restrict, Within)
 
@@ -152,6 +152,13 @@ class Results:
             raise QueryError(f"'{prop}' is no single value")
         return low.root.df, x
 
+    def backlinks(self, key: Any, origin: str, link: str) -> "Results":
+        """The objects of class ``origin`` whose link (or list of links) leads to this class's object of that key: the view from its other end."""
+        p = self.catalog.get(origin).find(link)
+        if p.kind not in ("link", "links") or p.target != self.cls.name:
+            raise QueryError(f"'{origin}.{link}' doesn't link to '{self.cls.name}'")
+        return Results(self.catalog, origin, Compare("==", Path((link,)), Const(Key(key))))
+
     # -- aggregates; these honour the ordering
 
     def aggregates(self, **wanted: tuple[str, str]) -> DataFrame:

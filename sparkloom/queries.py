@@ -489,8 +489,8 @@ def last_and_index(spark, sf_dir):
     return spark.createDataFrame([(last.o_orderkey, r.index_of(last.o_orderkey))], "o_orderkey long, at long")
 
 
-rql("keyless_distinct", "lineitem", "", "l_quantity > 20 DISTINCT(l_partkey)", ITEM, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 20 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1")
-rql("keyless_limit", "lineitem", "", "l_quantity > 20 LIMIT(500)", ITEM, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 20 ORDER BY l_orderkey, l_linenumber LIMIT 500")
+rql("keyless_distinct", "lineitem", "", "l_quantity > 20 DISTINCT(l_partkey)", ITEM, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 20 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1")
+rql("keyless_limit", "lineitem", "", "l_quantity > 20 LIMIT(500)", ITEM, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 20 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice LIMIT 500")
 rql("filter_not_in", "part", "", "!(p_size IN {1, 5, 9} || p_brand == 'Brand#11' || p_size > 40)", PART, "SELECT p_partkey, p_name, p_size FROM part WHERE p_size NOT IN (1, 5, 9) AND p_brand <> 'Brand#11' AND p_size <= 40")
 rql("literals", "part", "", "(p_size == 0x10 || p_size == +7 || p_retailprice > 1.5e3f) && p_retailprice < +infinity && p_size != NaN", PART, "SELECT p_partkey, p_name, p_size FROM part WHERE p_size IN (16, 7) OR p_retailprice > 1500")
 rql("literal_dates", "orders", "", "o_orderdate >= T820454400:0 && o_orderdate < 1997-02-03T00:00:00:500", ORD, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1997-02-03'")
@@ -509,6 +509,25 @@ def query_counts(spark, sf_dir):
     return spark.createDataFrame([(r.query_count(), r.count(), Results(r.catalog, "orders", r.where).count_equal("o_custkey", 7))], "query long, results long, equal long")
 
 
+@add("backlink_view", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_totalprice > 50000")
+def backlink_view(spark, sf_dir):
+    return Results(tables.star(spark, sf_dir, "customer", "orders"), "customer").backlinks(7, "orders", "customer").filter("o_totalprice > 50000").df().select(*ORD.split())
+
+
+@add("backlink_view_of_lists", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey = 5")
+def backlink_view_of_lists(spark, sf_dir):
+    return Results(_baskets(spark, sf_dir), "part").backlinks(5, "basket", "parts").df().select("l_orderkey")
+
+
+@add("schema_merge", "SELECT 'log' AS \"table\", event_type AS field, CAST(max_by(user_id, (ts, event_id)) AS VARCHAR) AS type FROM events GROUP BY 2 HAVING max_by(value > 10, (ts, event_id))")
+def schema_merge(spark, sf_dir):
+    """Columns that writers added and erased: the last instruction on each decides."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    own = e.select(F.lit("log").alias("table"), F.lit("").alias("key"), F.when(F.col("value") > 10, "add_column").otherwise("erase_column").alias("op"), F.col("event_type").alias("field"), F.col("user_id").cast("string").alias("value"), F.lit(0).cast("bigint").alias("delta"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"), F.col("event_id").alias("origin"), F.lit(False).alias("default"))
+    made = own.limit(1).withColumns({"op": F.lit("add_table"), "field": F.lit(""), "time": F.lit(0).cast("bigint")})
+    return instructions.schema(made.union(own))
+
+
 # -- predicates without text
 
 

@@ -10,8 +10,8 @@ from ..plans.catalog import Catalog, Property
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations pages benchmark".split()
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "labels": "doc_id", "pages": "page_id", "benchmark": "item_id"}
-#: What orders the rows of tables without a key.
-NATURAL = {"lineitem": ("l_orderkey", "l_linenumber"), "conversations": ("conv_id", "turn")}
+#: What orders the rows of tables without a key; line numbers repeat within an order.
+NATURAL = {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), "conversations": ("conv_id", "turn")}
 LINKS = [
     ("nation", "region", "n_regionkey", "region", "nations"), ("customer", "nation", "c_nationkey", "nation", "customers"), ("supplier", "nation", "s_nationkey", "nation", "suppliers"),
     ("orders", "customer", "o_custkey", "customer", "orders"), ("lineitem", "order", "l_orderkey", "orders", "items"), ("lineitem", "part", "l_partkey", "part", "items"),

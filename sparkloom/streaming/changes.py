@@ -106,7 +106,7 @@ class LiveQuery:
     tables: frozenset[str]
     text: str = ""
     columns: list[str] | None = None
-    state: str = "uncommitted"  # then pending, bootstrapping, complete or error; superseded where another one took its name
+    state: str = "uncommitted"  # then pending, bootstrapping, awaiting mark, complete or error; superseded where another one took its name
     version: int = -1
     error: str | None = None
 
@@ -198,6 +198,7 @@ class Live:
                 new = q.query({t: self.table(t) for t in q.tables})
                 had = f"query_{q.name}" in self.versions
                 v = self.write(f"query_{q.name}", new)
+                q.state = "awaiting mark" if q.version < 0 else q.state
                 old = self.table(f"query_{q.name}", v - 1) if had else self.spark.createDataFrame([], new.schema)
                 diff(old, self.table(f"query_{q.name}"), q.key, q.columns).write.mode("overwrite").parquet(self.path(f"changes_{q.name}", v))
                 q.state, q.version, q.error = "complete", v, None
