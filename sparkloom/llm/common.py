@@ -61,6 +61,7 @@ class Scratch:
         n = partitions(self.spark)
         self.tables[name] = f"sparkloom_{self.id}_{name}"
         df.repartition(n, col).write.bucketBy(n, col).sortBy(col).mode("overwrite").option("path", self.path(name)).saveAsTable(self.tables[name])
+        self.reclaim()  # what was shuffled is as large as the table
         return self.spark.table(self.tables[name])
 
     def drop(self, *names: str) -> None:

@@ -35,6 +35,8 @@ TRAIN_DOCS = 1_500
 TRAIN_TOTAL = 64_000_000
 #: Contexts of ``ORDER`` bytes that a language keeps, the commonest ones.
 MAX_CONTEXTS = 6_000
+#: Languages whose shares are broadcast; beyond that documents meet them by a shuffle.
+MANY_LANGUAGES = 100_000
 #: Languages in one automaton.
 GROUP = 6
 LETTER = regex.compile(r"\p{L}")
@@ -170,7 +172,9 @@ def sample(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         return {}
     room = min(TRAIN_BYTES, TRAIN_TOTAL // langs)
     share = F.least(F.lit(1.0), F.lit(TRAIN_DOCS) / F.col("n"), F.lit(room) / (F.col("n") * F.col("size")))
-    picked = rows.join(counts.select("lang", share.alias("share"), "first"), "lang").where((F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0) < F.col("share")) | (F.col("h") == F.col("first.h")))
+    shares = counts.select("lang", share.alias("share"), "first")
+    shares = F.broadcast(shares) if langs <= MANY_LANGUAGES else shares  # a short row for each, counted above
+    picked = rows.join(shares, "lang").where((F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0) < F.col("share")) | (F.col("h") == F.col("first.h")))
     # Rows that are equal in id and text are drawn together and count once.
     drawn = picked.groupBy("lang", "h").agg(F.min(F.substring("text", 1, room)).alias("text")).collect()
     out: dict[str, list[bytes]] = {}

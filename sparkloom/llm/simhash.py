@@ -540,7 +540,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
     return scratch.keep(two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), name, small=True)
 
 
-def near_groups(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, key: str, text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(key, root): the smallest key among each document's near copies. ``key`` has to be a key of type long.
 
     Links are all pairs of a Jaccard similarity of 0.8 on five-word shingles, up to 64-bit hashes, and nothing below it. Texts with one set of
@@ -554,7 +554,7 @@ def near_groups(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     ``docs`` is read several times and joined by ``key``: best bucketed by it.
     """
     spark = docs.sparkSession
-    scratch, n = Scratch(spark), partitions(spark)
+    scratch, n = scratch or Scratch(spark), partitions(spark)
     bound_batches(spark)
     ddl = "key long, x long, y long, fp long"
     schema = arrow_schema(ddl)
@@ -667,5 +667,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest doc_id; of rows that share it, the first by content."""
     scratch = Scratch(docs.sparkSession)
     keyed = scratch.bucketed(with_key(docs, scratch), "docs", "__key")
-    kept = near_groups(keyed, "__key").where(F.col("__key") == F.col("root")).select("__key")
+    steps = Scratch(docs.sparkSession)
+    kept = scratch.keep(near_groups(keyed, "__key", scratch=steps).where(F.col("__key") == F.col("root")).select("__key"), "kept")
+    steps.close()
     return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
