@@ -88,7 +88,7 @@ def tilts(counts: DataFrame, goals: DataFrame, scratch: Scratch, cap: int = CAP)
         # Outside the bracket a step is replaced: doubling towards an open end, halving between two ends.
         inner = F.when(high >= 1e9, F.greatest(low * 2, F.lit(1.0))).when(low <= -1e9, F.least(high * 2, F.lit(-1.0))).otherwise((low + high) / 2)
         fine = F.abs(gap) <= F.greatest(F.col("target") * CLOSE, F.lit(CLOSE_WORDS))
-        halve = F.lit(k % 4 == 3) & (low > -1e9) & (high < 1e9)  # now and then, so that the bracket is sure to close
+        halve = F.lit(k > 20 and k % 4 == 3) & (low > -1e9) & (high < 1e9)  # where steps are slow, so that the bracket is sure to close
         tilt = F.when(fine | F.col("full"), F.col("tilt")).when(~halve & (step > low) & (step < high) & (F.abs(step) < 1e8), step).otherwise(inner)
         new = new.select(
             state["source"], "source_size", "docs", "target", "mean", "full", tilt.alias("tilt"), low.alias("low"), high.alias("high"), F.when(fine | F.col("full"), 0.0).otherwise(F.abs(gap) / F.col("target")).alias("off")
