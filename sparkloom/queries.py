@@ -16,6 +16,7 @@ from .plans.catalog import Catalog, Property
 from .plans.tree import Instant, Shape
 from .sources import extended_json, tables, text_files
 from .sources.store import Store
+from .sources.store import folder as _folder
 from .streaming import changes, instructions, notify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -404,31 +405,18 @@ _PLACES = "SELECT o_orderkey, o_orderkey % 50 = 0 AS moved, row_number() OVER (O
 def change_moves(spark, sf_dir):
     """The fewest moves: the orders that went to the end, but for those that stood there."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_totalprice").alias("x"), (F.col("o_orderkey") % 50 == 0).alias("moved"))
-    return changes.moves(changes.ranks(o, ["x", "o_orderkey"], "at"), changes.ranks(o, ["moved", "x", "o_orderkey"], "at"), "o_orderkey", "at")
+    return changes.moves(*[changes.ranks(o, by, "at", ["o_orderkey"]) for by in (["x", "o_orderkey"], ["moved", "x", "o_orderkey"])], "o_orderkey", "at")
 
 
 @add("rank_changes", "SELECT o_orderkey, a AS \"from\", b AS \"to\" FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS a, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice / 2 ELSE o_totalprice END, o_orderkey) AS b FROM orders) WHERE a <> b")
 def rank_changes(spark, sf_dir):
     """Every order whose rank by price changes when some prices are halved."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    rank = lambda x, at: changes.ranks(o.select("o_orderkey", x.alias("x")), ["x", "o_orderkey"], at).drop("x")
+    rank = lambda x, at: changes.ranks(o.select("o_orderkey", x.alias("x")), ["x", "o_orderkey"], at, ["o_orderkey"])
     both = rank(F.col("o_totalprice"), "from").join(rank(F.when(F.col("o_orderkey") % 50 == 0, F.col("o_totalprice") / 2).otherwise(F.col("o_totalprice")), "to"), "o_orderkey")
     return both.where("`from` <> `to`")
 
 
-def _folder(spark, name: str) -> str:
-    """A fresh folder that all executors share; without a named one only a single machine will do."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @add("live_query_changes", "WITH a AS (SELECT o_orderkey, o_totalprice AS p FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 1 THEN o_totalprice + 20000 ELSE o_totalprice END AS p FROM orders) SELECT b.o_orderkey, CASE WHEN coalesce(a.p > 200000, false) THEN 'modification' ELSE 'insertion' END AS change FROM b LEFT JOIN a ON a.o_orderkey = b.o_orderkey WHERE b.p > 200000 AND b.p IS DISTINCT FROM CASE WHEN a.p > 200000 THEN a.p END")
 def live_query_changes(spark, sf_dir):
     """A live query over a stream of all orders, in two micro-batches that overlap; the change set that the second one makes."""

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import json
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import Files
+from ..sources.store import Files, folder
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
@@ -38,62 +42,86 @@ def moves(old: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame:
     as large as the change, not the table: the runs that stay are the increasing sequence of most objects. With over ``RUNS`` runs every object
     whose rank changed is given instead.
     """
+    spark = old.sparkSession
     both = old.select(key, F.col(position).alias("from")).join(new.select(key, F.col(position).alias("to")), key)
-    both = ranks(ranks(both, ["from", key], "__r"), ["to", key], "__s")
-    before = both.select((F.col("__r") + 1).alias("__r"), (F.col("__s") + 1).alias("__s"))
-    runs = both.select("__r", "__s").join(before, ["__r", "__s"], "left_anti")
-    n, total = runs.count(), both.count()
-    if n > RUNS:
+    both, path = _ranked(both, ["from", key], "__r")
+    both = ranks(both, ["to", key], "__s")
+    Files(spark).delete(path)
+    # Neighbours are looked for in blocks of 65,536 ranks. A run that goes on into the next block counts as two, which stay or go together.
+    before = F.lag("__s").over(Window.partitionBy(F.shiftright("__r", 16)).orderBy("__r"))
+    runs = both.select("__r", "__s", before.alias("__b")).where("__b IS NULL OR __b + 1 <> __s").select("__r", "__s").toArrow().sort_by("__r")
+    if runs.num_rows > RUNS:
         return both.where("__r <> __s").select(key, "from", "to")
-    starts = sorted((r["__r"], r["__s"]) for r in runs.collect())
-    ends = [r for r, _ in starts[1:]] + [total + 1]
-    gone = [(a, b - 1) for (a, _), b, stays in zip(starts, ends, staying([s for _, s in starts], [b - a for (a, _), b in zip(starts, ends)])) if not stays]
-    spans = old.sparkSession.createDataFrame(gone, "a long, b long").select(F.explode(F.sequence("a", "b")).alias("__r"))
+    starts, places = runs["__r"].to_numpy(), runs["__s"].to_numpy()
+    ends = np.append(starts, both.count() + 1)[1:]
+    gone = ~staying(places, ends - starts)
+    spans = spark.createDataFrame(pa.table({"a": starts[gone], "b": ends[gone] - 1})).select(F.explode(F.sequence("a", "b")).alias("__r"))
     return both.join(spans, "__r").select(key, "from", "to")
 
 
-def staying(places: list[int], weights: list[int]) -> list[bool]:
-    """Which items are in the increasing subsequence of ``places`` of most weight; of several such ones, that found first."""
+def staying(places: Sequence[int], weights: Sequence[int]) -> np.ndarray:
+    """Which items are in the increasing subsequence of ``places`` of most weight; of several such ones, that of the lowest places from its end on."""
     n = len(places)
-    order = {p: i + 1 for i, p in enumerate(sorted(places))}
-    best: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # a Fenwick tree of (weight, last item) by place
-    link, whole = [-1] * n, (0, -1)
-    for i, (p, w) in enumerate(zip(places, weights)):
-        at, top = order[p] - 1, (0, -1)
+    order = np.empty(n, np.int64)
+    order[np.argsort(places)] = np.arange(1, n + 1)
+    order, weights = (array("q", np.asarray(x, np.int64).tobytes()) for x in (order, weights))
+    order.append(0)
+    # A Fenwick tree by place of the last item of the best sequence, the weight of that which ends in an item, and the item before it; n is none.
+    best, total, link = array("q", [n]) * (n + 1), array("q", [0]) * (n + 1), array("q", [n]) * n
+    for i in range(n):
+        place = order[i]
+        at, top = place - 1, n
         while at > 0:
-            if best[at][0] > top[0]:
+            if total[best[at]] >= total[top]:
                 top = best[at]
-            at -= at & -at
-        link[i], mine, at = top[1], (top[0] + w, i), order[p]
-        while at <= n:
-            if mine[0] > best[at][0]:
-                best[at] = mine
+            at &= at - 1
+        link[i], mine, at = top, total[top] + weights[i], place
+        total[i] = mine
+        # Wider nodes hold what is better still.
+        while at <= n and (mine > total[best[at]] or mine == total[best[at]] and place < order[best[at]]):
+            best[at] = i
             at += at & -at
-        if mine[0] > whole[0]:
-            whole = mine
-    out, i = [False] * n, whole[1]
-    while i >= 0:
+    i, at = n, n
+    while at > 0:
+        if total[best[at]] >= total[i]:
+            i = best[at]
+        at &= at - 1
+    out = np.zeros(n, bool)
+    while i < n:
         out[i], i = True, link[i]
     return out
 
 
-def ranks(df: DataFrame, order: list[str], position: str) -> DataFrame:
-    """``df`` with each row's rank from 1 by ``order``, as ``row_number`` over all rows gives it, nulls first.
+def ranks(df: DataFrame, order: list[str], position: str, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with each row's rank from 1 by ``order``, as ``row_number`` over all rows gives it, nulls first.
 
-    Rows are dealt to ranges of the order by bounds from a sample, ranked within each and moved by the counts of the ranges before.
-    Bounds only balance the ranges, so any sample is exact; only rows equal in all of ``order`` have to stay together.
+    Rows are sorted by ranges of the order and written once, numbered within each range; when read they are moved by the counts of the ranges
+    before. Only rows equal in all of ``order`` have to stay together.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at, rows = F.struct(*order), df.count()
-    some = df.select(*order).sample(min(1.0, 100 * n / rows) if rows else 1.0, 42).orderBy(*order).collect()
-    types = [df.schema[c].dataType for c in order]
-    bounds = [some[len(some) * k // n] for k in range(1, n)] if len(some) > n else []
-    above = [F.when(at > F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(b, types, order)]), 1).otherwise(0) for b in bounds]
-    dealt = df.withColumn("__range", reduce(lambda x, y: x + y, above, F.lit(0)))
-    counts = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
-    before = F.array(*[F.lit(sum(counts.get(j, 0) for j in range(k))).cast("long") for k in range(len(bounds) + 1)])
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return dealt.withColumn(position, own + F.element_at(before, F.col("__range") + 1)).drop("__range")
+    return _ranked(df, order, position, keep)[0]
+
+
+def _ranked(df: DataFrame, order: list[str], position: str, keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """``ranks``, and the folder that they are read from."""
+    spark = df.sparkSession
+    path = folder(spark, "ranks")
+    # The number of a range and, in the lower 33 bits, of a row in it.
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(position, F.monotonically_increasing_id())
+    dealt = dealt.select(*[c for c in dealt.columns if keep is None or c in (*keep, position)])
+    dealt.write.parquet(path)
+    atexit.register(_forget, spark, path)
+    rows, at = spark.read.schema(dealt.schema).parquet(path), F.shiftright(position, 33).cast("int")
+    counts = {r["at"]: r["count"] for r in rows.groupBy(at.alias("at")).count().collect()}
+    before = [0, *accumulate(counts.get(k, 0) for k in range(max(counts, default=0)))]
+    own = F.col(position).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn(position, own + F.element_at(F.array(*[F.lit(b + 1).cast("long") for b in before]), at + 1)), path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        Files(spark).delete(path)
+    except Exception:  # noqa: BLE001 - the JVM may have ended first
+        pass
 
 
 @dataclass

@@ -383,6 +383,32 @@ def test_moves_are_the_fewest(spark, monkeypatch):
     assert sorted(r.k for r in changes.moves(a, b, "k", "at").collect()) == [1, 2]
 
 
+def test_moves_without_objects_in_both(spark):
+    a, b = (spark.createDataFrame([(k, k)], "k long, at long") for k in (1, 2))
+    assert changes.moves(a, b, "k", "at").collect() == []
+
+
+def test_staying_weighs_most():
+    rnd = random.Random(3)
+    for n in range(9):
+        for _ in range(40):
+            places, weights = rnd.sample(range(20), n), [rnd.randrange(1, 4) for _ in range(n)]
+            sets_ = [[i for i in range(n) if m >> i & 1] for m in range(1 << n)]
+            good = [t for t in sets_ if all(places[i] < places[j] for i, j in zip(t, t[1:]))]
+            most = max(sum(weights[i] for i in t) for t in good)
+            # Of equal ones, the lowest places from the end on.
+            want = min((t for t in good if sum(weights[i] for i in t) == most), key=lambda t: [places[i] for i in reversed(t)])
+            assert [i for i, stays in enumerate(changes.staying(places, weights)) if stays] == want
+
+
+def test_ranked_orders_are_not_ranked_again(spark):
+    from sparkloom import queries
+
+    for name in ("rank_changes", "change_moves"):
+        got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert not any("orders.parquet" in f for f in got.inputFiles())
+
+
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
