@@ -383,6 +383,14 @@ def test_moves_are_the_fewest(spark, monkeypatch):
     assert sorted(r.k for r in changes.moves(a, b, "k", "at").collect()) == [1, 2]
 
 
+def test_moves_are_the_fewest_of_any_number_of_runs(spark):
+    n = 1_000_002
+    old = spark.range(n).select(F.col("id").alias("k"), F.col("id").alias("at"))
+    new = old.select("k", F.expr("at + 1 - 2 * (at % 2)").alias("at"))
+    got = changes.moves(old, new, "k", "at")
+    assert got.agg(F.count("*"), F.count_distinct(F.expr("k div 2"))).first()[:] == (n // 2, n // 2)
+
+
 def test_moves_without_objects_in_both(spark):
     a, b = (spark.createDataFrame([(k, k)], "k long, at long") for k in (1, 2))
     assert changes.moves(a, b, "k", "at").collect() == []
