@@ -28,7 +28,7 @@ def like(text: Column, pattern: str) -> Column:
 def terms(text: Column) -> Column:
     """Full-text terms of a text, folded, each cut at 64 bytes: a letter that no longer fits is left out, a narrower one after it may fit."""
     folded = F.translate(text, FOLD_FROM + SWALLOWED, FOLD_TO)
-    words = F.filter(F.split(F.regexp_replace(folded, f"[^{TERM}]+", " "), " "), lambda w: w != "")
+    words = F.regexp_extract_all(folded, F.lit(f"[{TERM}]+"), F.lit(0))  # several times as fast as a search for all that is no term
     fits = lambda out, c: F.when(F.octet_length(out) + F.octet_length(c) <= TERM_BYTES, F.concat(out, c)).otherwise(out)
     return F.transform(words, lambda w: F.when(F.octet_length(w) > TERM_BYTES, F.aggregate(F.split(w, ""), F.lit(""), fits)).otherwise(w))
 
@@ -50,6 +50,26 @@ def weighted_terms(text: Column) -> Column:
     return F.transform(F.array_distinct(t), one)
 
 
+def term_weights(text: Column) -> Column:
+    """(terms, weight): the number of different terms of a text and the sum of their weights as ``weighted_terms`` has them, null where there is no term.
+
+    One pass over the sorted terms, for texts of any length. From its k-th occurrence a term adds ``half`` = 2^(1-k) to its frequency.
+    """
+    start = {"last": F.lit(None).cast("string"), "k": F.lit(0), "half": F.lit(1.0), "terms": F.lit(0).cast("long"), "all": F.lit(0).cast("long"), "frequency": F.lit(0.0), "times": F.lit(0.0)}
+
+    def add(a: Column, w: Column) -> Column:
+        same = a["last"].eqNullSafe(w)
+        k, half = F.when(same, a["k"] + 1).otherwise(F.lit(1)), F.when(same, a["half"] / 2).otherwise(F.lit(1.0))
+        # ``times`` sums frequency times occurrences, (2 - half) k, of which (2 - 2 half) (k - 1) is there from the one before.
+        new = {"last": w, "k": k, "half": half, "terms": a["terms"] + F.when(same, 0).otherwise(1), "all": a["all"] + 1, "frequency": a["frequency"] + half, "times": a["times"] + 2 + half * (k - 2)}
+        return F.struct(*[c.alias(n) for n, c in new.items()])
+
+    def end(a: Column) -> Column:
+        return F.when(a["all"] > 0, F.struct(a["terms"].alias("terms"), (0.5 * a["times"] / a["all"] + 0.5 * a["frequency"]).alias("weight")))
+
+    return F.aggregate(F.sort_array(terms(text)), F.struct(*[c.alias(n) for n, c in start.items()]), add, end)
+
+
 def fold(word: str) -> str:
     out = ""
     for c in word.translate(str.maketrans(FOLD_FROM, FOLD_TO, SWALLOWED)):

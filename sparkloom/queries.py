@@ -608,12 +608,15 @@ def fulltext_stored(spark, sf_dir):
 
 @add("term_weights", f"SELECT doc_id, count(*) AS terms, round(sum((2 - 2 ** (1 - n)) * (0.5 * n / total + 0.5)), 6) AS weight FROM (SELECT doc_id, word, count(*) AS n, any_value(total) AS total FROM (SELECT doc_id, unnest(ws) AS word, len(ws) AS total FROM (SELECT doc_id, {WORDS_SQL} AS ws FROM documents)) GROUP BY 1, 2) GROUP BY 1")
 def term_weights(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # A long text's positions are searched for each term, so terms are counted by rows here; ``weighted_terms`` is for short texts.
-    words = d.select("doc_id", text.terms(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("total"), F.explode("t").alias("w"))
+    d, path = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), _folder(spark, "again")
+    # Where an id has one text, that is all there is to count. The ids of several are written first, so that joins know how few they are and don't shuffle texts.
+    d.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("again")).write.parquet(path)
+    again, same = spark.read.schema(d.select(F.col("doc_id").alias("again")).schema).parquet(path), F.col("doc_id").eqNullSafe(F.col("again"))
+    once = d.join(again, same, "left_anti").select("doc_id", F.inline_outer(F.array(text.term_weights(F.col("text"))))).where("terms IS NOT NULL")
+    words = d.join(again, same, "left_semi").select("doc_id", text.terms(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("total"), F.explode_outer("t").alias("w")).where("w IS NOT NULL")
     n = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"), F.first("total").alias("total"))
     weight = (2 - F.pow(F.lit(2.0), 1 - F.col("n"))) * (0.5 * F.col("n") / F.col("total") + 0.5)
-    return n.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum(weight), 6).alias("weight"))
+    return once.union(n.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum(weight).alias("weight"))).withColumn("weight", F.round("weight", 6))
 
 
 # -- changes inside of objects

@@ -627,6 +627,41 @@ def test_lists_and_schemas_of_many_writers(spark):
     assert [(r.table, r.field) for r in instructions.standing(log).collect()] == [("t", "a")]
 
 
+def test_term_weights_in_one_pass(spark):
+    rnd = random.Random(11)
+    texts = [None, "", " .,- ×÷ ", "a", "a A á b", "æ" * 40 + " " + "æ" * 33, "Idiot-idiot, IDIOT\u4e2d\U0001F600x 'x'"]
+    texts += [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(200))) for _ in range(20)] + ["w " * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, s string").select("k", text.term_weights(F.col("s")).alias("got"), text.weighted_terms(F.col("s")).alias("want")).collect()
+    for r in rows:
+        if not r.want:
+            assert r.got is None
+        else:
+            assert r.got.terms == len(r.want) and r.got.weight == pytest.approx(sum(w.weight for w in r.want), abs=1e-9)
+
+
+def test_term_weights_of_odd_ids(spark, tmp_path):
+    import duckdb
+
+    from sparkloom import queries
+
+    # Texts of one id count together, and so do those of none; where it matters which of them gives the number of words, they have equally many.
+    rows = [(1, "a b a"), (1, "a c d"), (2, "x x y"), (3, None), (4, ""), (5, None), (5, "q"), (None, "a b"), (None, "b b"), (6, "!"), (7, "é e E")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(queries.ORACLE["term_weights"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    got = queries.QUERIES["term_weights"](spark, str(tmp_path)).collect()
+    assert [pytest.approx(tuple(r)) for r in sorted(got, key=key)] == sorted(want, key=key) and len(got) == 5
+
+
+def test_term_weights_deal_out_no_terms(spark):
+    from sparkloom import queries
+
+    got = queries.QUERIES["term_weights"](spark, "/root/testdata/sf0.001")
+    assert got.count() == 200
+    got.collect()
+    assert "Exchange hashpartitioning" not in plan_of(got).split("Initial Plan")[0]
+
+
 def test_stored_terms_and_weights(spark, tmp_path):
     cat = Catalog(spark)
     rows = [(1, "Crème brûlée, crème"), (2, "plain ÷cre÷me"), (3, None), (4, "CREMES"), (5, "x" * 62 + "åb " + "y" * 63 + "åb")]
