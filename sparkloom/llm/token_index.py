@@ -22,6 +22,7 @@ import json
 import re
 import struct
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,8 +39,10 @@ from .common import Scratch, arrow_schema, bound_batches, partitions
 
 SHARD_BYTES = 1 << 20
 SHARD_DOCS = 4096
-#: Words and pieces that a generation of a worker's cache holds, of which there are two; at about 200 bytes each this bounds it.
+#: Pieces that a generation of a worker's cache holds, of which there are two; at about 200 bytes each this bounds it.
 CACHE = 450_000
+#: Bytes of text that are encoded at once; a longer text is cut at white space, so only a longer word is more.
+SLICE_BYTES = 4 << 20
 SHARD_SCHEMA = (
     "part int, shard int, first_doc long, last_doc long, n_nulls long, n_docs long, n_ids long, first_id long, width int, "
     "keys array<long>, ordinals binary, disp binary, fingerprints binary, offsets binary, lengths binary, payload binary"
@@ -116,28 +120,95 @@ class Shard:
 
 # -- encoding -----------------------------------------------------------------
 
-#: White space beyond ASCII, and control characters that Python's split() also takes for it.
-ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-#: Above these, lower-casing and normal forms are left to the library.
-PLAIN = re.compile("[\0-įı-ɏ]*")
+GAP = re.compile(r"[\x20\x09-\x0D]")
+SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
+#: First code point beyond what is split and lower-cased here.
+EDGE = 0x250
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower case of each code point up to ``EDGE``, which stands for all beyond. ``ODD`` ones leave their word to the library."""
+    kind, low = np.full(EDGE + 1, ODD, np.uint8), np.arange(EDGE + 1, dtype="<u4")
+    for c in range(EDGE):
+        lower = chr(c).lower()
+        # White space beyond ASCII, and what is longer or further on in lower case.
+        if len(lower) == 1 and ord(lower) < EDGE and not 0x1C <= c <= 0x1F and c not in (0x85, 0xA0):
+            kind[c] = SPACE if c == 32 or 9 <= c <= 13 else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(lower)[0], OTHER)
+            low[c] = ord(lower)
+    return kind, low
+
+
+KIND, LOWER = _tables()
+
+
+def split(texts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """Pieces of all texts in order, which of them are whole words that only the library may split, and each text's first piece (and the end)."""
+    joined = "\n".join(texts) + "\n\n\n"
+    points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    near = points.astype(np.intp)
+    kind, low = KIND.take(near, mode="clip"), LOWER.take(near, mode="clip")
+    del near  # the largest of these arrays
+    word = kind != SPACE
+    start = np.ones(len(kind), bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == NUMBER
+    start &= word
+    if "'" in joined:
+        at = np.flatnonzero(points == ord("'"))
+        at = at[start[at]]
+        a, b = low[at + 1], low[at + 2]
+        two = np.isin(a, [ord(c) for c in "stmd"])
+        three = (a == ord("r")) & (b == ord("e")) | (a == ord("v")) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        start[at[two | three] + 1] = False
+        ends = np.concatenate([at[two] + 2, at[three] + 3])
+        start[ends] = word[ends]
+    odd = kind == ODD
+    if "<|" in joined:
+        odd[:-1] |= (points[:-1] == ord("<")) & (points[1:] == ord("|"))
+    if odd.any():
+        begin = word.copy()
+        begin[1:] &= ~word[:-1]
+        number = np.cumsum(begin)
+        whole = np.zeros(number[-1] + 1, bool)
+        whole[number[odd]] = True
+        odd = whole[number] & word
+        start, low = np.where(odd, begin, start), np.where(odd, points, low)
+    at, kept = np.flatnonzero(start), low[word]
+    del joined, points, low, kind
+    data = kept.tobytes().decode("utf-32-le").encode()
+    offsets = np.append(np.flatnonzero(start[word]), len(kept)).astype(np.int64, copy=False)
+    if len(data) > len(kept):
+        size = np.ones(len(kept), np.uint8)
+        for c in (0x80, 0x800, 0x10000):
+            size += kept >= c
+        offsets = np.append(0, np.cumsum(size, dtype=np.int64))[offsets]
+    first = np.searchsorted(at, np.cumsum([0, *[len(t) + 1 for t in texts]]))
+    return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)), odd[at], first
+
+
+def stretches(text: str) -> Iterator[str]:
+    """A text cut at white space, so that however long it is, little more than a slice is split at once."""
+    at = 0
+    while len(text) - at > SLICE_BYTES and (gap := GAP.search(text, at + SLICE_BYTES)):
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:]
 
 
 class WordEncoder:
-    """Encodes texts word by word with a cache, for tokenizers whose pieces never span white space.
+    """Encodes many texts at once, piece by piece with a cache, for tokenizers whose pieces never span white space.
 
     The library's result for a text is the concatenation of its results for the words, as its
     normaliser only composes, lower-cases and collapses white space, and its split drops white space.
+    Pieces are numbered before they are looked up, so Python sees each of a slice's different pieces once.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
         self.lib = Tokenizer.from_file(path)
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in plain]
         self.symbols = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
@@ -147,7 +218,7 @@ class WordEncoder:
         named = {k: spec[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if spec.get(k) is not None}
         # The model's own cache is off: what it would remember is remembered here, and filling it costs as much as merging.
         self.model = BPE(spec["vocab"], merges, cache_capacity=0, **named)
-        self.words, self.parts, self.old_words, self.old_parts = {}, {}, {}, {}
+        self.known, self.old = {}, {}
 
     def pack(self, ids: list[int]) -> bytes:
         a = array("H" if self.width == 2 else "I", ids)
@@ -156,33 +227,38 @@ class WordEncoder:
         return a.tobytes()
 
     def piece(self, piece: str) -> bytes:
-        got = self.parts.get(piece)
-        if got is None:
-            got = self.old_parts.get(piece)
-            if got is None:
-                # Letters of ASCII stand for themselves in the model's alphabet.
-                spelt = piece if piece.isascii() and piece.isalpha() else "".join(map(self.symbols.__getitem__, piece.encode()))
-                got = self.pack([t.id for t in self.model.tokenize(spelt)])
-            self.parts[piece] = got
-        return got
+        # Letters of ASCII stand for themselves in the model's alphabet.
+        spelt = piece if piece.isascii() and piece.isalpha() else "".join(map(self.symbols.__getitem__, piece.encode()))
+        return self.pack([t.id for t in self.model.tokenize(spelt)])
 
     def word(self, word: str) -> bytes:
-        if "<|" in word or not word.isascii() and not PLAIN.fullmatch(word) or ODD.search(word):
-            return self.pack(self.lib.encode(word, add_special_tokens=False).ids)
-        low = word.lower()
-        return self.piece(low) if low.isalpha() else b"".join(map(self.piece, self.pieces(low)))
+        return self.pack(self.lib.encode(word, add_special_tokens=False).ids)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        pieces, whole, first = split(texts)
+        coded = pieces.dictionary_encode()
+        unlike = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        by_library = set(coded.indices.to_numpy()[whole].tolist()) if whole.any() else ()
+        if len(self.known) > CACHE:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        ids = list(map(known.get, unlike))
+        for i, got in enumerate(ids):
+            if got is None:
+                p = unlike[i]
+                got = old.get(p)
+                if got is None:
+                    got = self.word(p) if i in by_library else self.piece(p)
+                ids[i] = known[p] = got
+        out = pa.array(ids, pa.large_binary()).take(coded.indices)
+        if not len(out):
+            return [b""] * len(texts)
+        at = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1, 8 * out.offset)[first].tolist()
+        data = memoryview(out.buffers()[2]) if at[-1] else b""
+        return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
 
     def encode(self, text: str) -> bytes:
-        words = text.split() if not ODD.search(text) else WORDS.findall(text)
-        if len(self.words) > CACHE:
-            self.words, self.old_words = {}, self.words
-        if len(self.parts) > CACHE:
-            self.parts, self.old_parts = {}, self.parts
-        known, old = self.words, self.old_words
-        for w in set(words).difference(known):
-            got = old.get(w)
-            known[w] = self.word(w) if got is None else got
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(self.encode_all([t])[0] for t in stretches(text))
 
 
 class LibraryEncoder:
@@ -199,6 +275,9 @@ class LibraryEncoder:
     def encode(self, text: str) -> bytes:
         return self.pack(self.lib.encode(text, add_special_tokens=False).ids)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return list(map(self.encode, texts))
+
 
 #: Normaliser and split of the tokenizers that ``WordEncoder`` is right for, fixed values.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -224,6 +303,19 @@ def encoder(path: str) -> WordEncoder | LibraryEncoder:
     return WordEncoder(path) if word_by_word(path) else LibraryEncoder(path)
 
 
+def encoded(batch: pa.RecordBatch, enc: WordEncoder | LibraryEncoder) -> Iterator[tuple[int | None, bytes, int]]:
+    """doc_id, packed ids and part of each row; texts are encoded a slice at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        until = int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right"))
+        rows = batch.slice(at, max(1, until - at))
+        texts = [t or "" for t in rows.column("text").to_pylist()]
+        ids = enc.encode_all(texts) if len(texts) > 1 else [enc.encode(texts[0])]
+        yield from zip(rows.column("doc_id").to_pylist(), ids, rows.column("part").to_pylist())
+        at += len(texts)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` and write shards in ascending doc_id order to ``path``."""
     spark = docs.sparkSession
@@ -254,9 +346,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc, text, part = (batch.column(c)[i].as_py() for c in (0, 1, 3))
-                p = enc.encode(text or "") + end
+            for doc, text, part in encoded(batch, enc):
+                p = text + end
                 if keys and (size + len(p) > SHARD_BYTES or len(keys) >= SHARD_DOCS):
                     yield flush()
                 ordinals.append(ordinals[-1] + 1 if keys and keys[-1] == doc else 0)

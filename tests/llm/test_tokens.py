@@ -64,6 +64,36 @@ def test_word_encoder_is_the_library():
         assert np.frombuffer(enc.encode(t), "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_slices_are_the_library(monkeypatch):
+    rnd, lib = random.Random(6), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    # Every code point that is split here, and some beyond, within words and alone.
+    points = [*range(1, 0x300), 0x345, 0x3A3, 0x1E96, 0x1680, 0x2028, 0x2C65, 0x212A, 0xFB01, 0x10400, 0x1F600]
+    own = [f"{a}{chr(c)}{b}" for c in points for a, b in (("", ""), ("x", "Y"), ("'", "s"), ("1", "'RE"), ("<|", "|>"))]
+    all_texts = texts() + own + ["'", "x'", "'r", "'l", "x'l", "'re'Ve'LL'd''d", "<", "|", "< |", "x<|endoftext|>'s <|y"]
+    want = {t: lib.encode(t, add_special_tokens=False).ids for t in all_texts}
+    enc = token_index.WordEncoder(P.path("word_bpe_49k.json"))
+    for _ in range(3):
+        rnd.shuffle(all_texts)
+        at = 0
+        while at < len(all_texts):
+            some = all_texts[at : at + rnd.choice([1, 2, 3, 500])]
+            for t, ids in zip(some, enc.encode_all(some), strict=True):
+                assert np.frombuffer(ids, "<u2").tolist() == want[t], repr(t)
+            at += len(some)
+    monkeypatch.setattr(token_index, "SLICE_BYTES", 5)
+    for t in texts()[:300]:
+        assert np.frombuffer(enc.encode(t), "<u2").tolist() == want[t], repr(t)
+
+
+def test_word_encoder_keeps_pieces_once_however_words_spell_them():
+    enc = token_index.WordEncoder(P.path("word_bpe_49k.json"))
+    held = lambda: sum(len(v) for v in vars(enc).values() if isinstance(v, dict))
+    before, stems = held(), [a + b + c for a in "abcdefgh" for b in "aeiou" for c in "klmnopqr"]
+    enc.encode(" ".join(f(s) + end for s in stems for f in (str, str.upper, str.title) for end in ("", ",", ".", "'s", "!", "?", "7")))
+    # The stems and seven endings, but not the 21 words of each stem.
+    assert held() - before <= len(stems) + 7
+
+
 def test_perfect_hash_is_minimal():
     for n in (1, 2, 3, 50, 4096):
         hashes = [token_index.key_hash(i * 7919, 0) for i in range(n)]
